@@ -4,14 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash
+from corpusloom.llm import byte_bpe, html_text, langid, minhash, packing, permutation_index, toxicity, warc
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(id_col: str, n: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return minhash.near_duplicates(docs, cfg=minhash.MinHashConfig(shingle=2, percent=80))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), cfg=minhash.MinHashConfig(shingle=2, percent=80))
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_permutation_index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_table(docs.where(fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
+    """Fitted on labelled documents outside the held-out third."""
+    seen = labels.where(fold("doc_id", 3) != 1).select("doc_id", "toxic").where("toxic is not null")
+    return toxicity.fit_table(docs.select("doc_id", "text").join(seen, "doc_id"))
+
+
+def op9_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxic_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
