@@ -2,7 +2,7 @@
 
 Texts become TF-IDF vectors of hashed character 1- to 3-grams; a bounded sample of labelled rows of each language is
 clustered (spherical k-means) into several centroids. A text gets the language of the centroid with the largest cosine,
-and is rejected if that cosine is under half the least one that the sample showed for texts of such a length.
+and is rejected if that cosine is far under the least one that the sample showed for texts of such a length.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from corpusloom.llm.shared import arrow_map
 @dataclass(frozen=True)
 class LangConfig:
     """fit_rows: labelled rows per language that the model is fitted on, at most, of at most fit_chars characters each.
-    clusters: centroids per language. dims: hashed n-gram dimensions. scale: of cosines in the score's softmax."""
+    clusters: centroids per language. dims: hashed n-gram dimensions. scale: of cosines in the score's softmax.
+    slack: share of the sample's least cosine under which a text is rejected, from ``sure`` letters on; shorter texts
+    say too little and are only rejected under ``floor``."""
 
-    fit_rows: int = 800
+    fit_rows: int = 500
     fit_chars: int = 20_000
     clusters: int = 4
-    dims: int = 8192
+    dims: int = 16384
     scale: float = 25.0
     rounds: int = 8
-    slack: float = 0.5
+    slack: float = 0.4
+    sure: int = 64
+    floor: float = 0.02
     seed: int = 5
 
 
@@ -49,7 +53,8 @@ def counts(text: str, dims: int) -> np.ndarray:
     for n in range(1, 4):
         h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint64(n)) * a
         h ^= h >> np.uint64(29)
-        grams.append(((h * b) >> np.uint64(40)) % np.uint64(dims))
+        at = ((h * b) >> np.uint64(40)) % np.uint64(dims)
+        grams.append(at if n > 1 else at[c != 32])  # a blank alone tells nothing
         if n == len(c):
             break
     return np.log1p(np.bincount(np.concatenate(grams).astype(np.int64), minlength=dims)).astype(np.float32)
@@ -115,7 +120,7 @@ def fit(rows: list[tuple[str, str]], cfg: LangConfig = LangConfig()) -> LangMode
         langs += [lang] * len(c)
         centroids.append(c)
         np.minimum.at(least, sizes[labels == lang], (own @ c.T).max(axis=1))
-    least = np.where(np.isfinite(least), least * cfg.slack, 0.0)
+    least = np.where(np.isfinite(least) & (np.array([*LENGTHS, np.inf]) > cfg.sure), least * cfg.slack, cfg.floor)
     return LangModel(langs, idf, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, cfg.dims), np.float32), least, cfg)
 
 
