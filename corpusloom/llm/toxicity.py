@@ -28,9 +28,9 @@ class ToxicConfig:
     """fit_rows: labelled rows of each class that the model is fitted on, at most. prior: weight of the prior, in tokens.
     cost: subtracted from each token's log-odds. expected: segments of at most that expected count are significant."""
 
-    fit_rows: int = 6000
+    fit_rows: int = 3000
     prior: float = 2.0
-    cost: float = 1.0
+    cost: float = 2.0
     expected: float = 0.05
     top: float = 6.0
     seed: int = 9
@@ -146,14 +146,9 @@ def log_odds(toxic: dict[str, int], clean: dict[str, int], cfg: ToxicConfig) ->
             rate[k] = (c1[k] * f1 + prior * of(parent[k])) / (c1[k] * f1 + c0[k] * f0 + prior)
         return rate[k]
 
-    out = {}
-    for k in parent:
-        r = of(k)
-        x = float(np.clip(np.log(r / (1 - r)), -cfg.top, cfg.top))
-        up = of(parent[k])
-        if parent[k] is None or abs(x - np.log(up / (1 - up))) > 0.1:
-            out[k] = x
-    return out
+    # Only keys that can score, or that shield a word from a beginning that does, are kept: the rest just cost.
+    least = 1 / (1 + np.exp(-cfg.cost / 2))
+    return {k: float(np.clip(np.log(of(k) / (1 - of(k))), -cfg.top, cfg.top)) for k in parent if of(k) > least or of(parent[k]) > least}
 
 
 def fit(rows: list[tuple[int, list[str]]], cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
@@ -190,8 +185,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     z = np.column_stack([x, np.ones(len(x))])
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-z @ w))
-        g = z.T @ (p - y) + np.array([0.1, 0.01]) * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 0.01])
+        g = z.T @ (p - y) + np.array([0.02, 0.01]) * w
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.02, 0.01])
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
