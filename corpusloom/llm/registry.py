@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, html_text, langid, minhash, packing, permutation_index, toxicity, warc
+from corpusloom.llm import byte_bpe, html_text, langid, media_avi, minhash, packing, permutation_index, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op8_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is of label quality 1; labels of documents with crc32(doc_id) mod 3 of 1 are never seen."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_table(docs.where(fold("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
     """Fitted on labelled documents outside the held-out third."""
     seen = labels.where(fold("doc_id", 3) != 1).select("doc_id", "toxic").where("toxic is not null")
@@ -62,6 +69,10 @@ def op9_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+def op10_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.digests(media_avi.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
