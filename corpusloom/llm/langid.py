@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import arrow_map
@@ -157,3 +158,14 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
 
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cosine", pa.float64()), ("rejected", pa.bool_())])
     return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, lang_pred string, score double, cosine double, rejected boolean", schema).withColumnRenamed("id", id_col)
+
+
+def accepted(model: LangModel, text: Column, spark: SparkSession) -> Column:
+    """True where a text is of a learned language; a predicate, so that a filter by it moves no rows."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.predict(t)[3] for t in texts], dtype=bool)
+
+    return keep(text)

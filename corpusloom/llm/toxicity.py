@@ -14,8 +14,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import arrow_map
@@ -245,3 +246,17 @@ def passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_co
 
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
     return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, start long, end long, score double, expected double", schema).withColumnRenamed("id", id_col)
+
+
+def score_column(model: ToxicModel, text: Column, spark: SparkSession) -> Column:
+    """The score of a text as a column, so that a filter by it moves no rows."""
+    shared = spark.sparkContext.broadcast(model)
+    memo: dict[str, float] = {}
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        if len(memo) > 300_000:
+            memo.clear()
+        return pd.Series([shared.value.score(t, memo)[0] for t in texts], dtype=float)
+
+    return of(text)
