@@ -24,9 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from corpusloom.plans import retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    _load()
+    return dict(ORACLES)
