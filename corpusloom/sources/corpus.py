@@ -40,13 +40,13 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     k = F.get_json_object("props", "$.k").cast("int")
     action = F.when(F.col("event_type") == "view", "sop_search").when(F.col("event_type") == "click", "search_result_click").when(F.col("event_type") == "purchase", "quick_answer_open").otherwise("feedback_submitted")
-    return e.select("event_id", "ts", F.col("user_id").alias("actor"), action.alias("action"), k.alias("rank"), F.concat(F.lit("q"), k.cast("string")).alias("query"), "value")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("actor"), action.alias("action"), k.alias("rank"), F.concat(F.lit("q"), k.cast("string")).alias("query"), "value")
 
 
 def retrieval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'purchase', 'error')")
     k = F.get_json_object("props", "$.k").cast("int")
-    return e.select("event_id", "ts", F.concat(F.lit("q"), k.cast("string")).alias("query"), F.when(F.col("event_type") == "error", 0).otherwise(k % 7).alias("result_count"), F.col("value").alias("latency_ms"))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("q"), k.cast("string")).alias("query"), F.when(F.col("event_type") == "error", 0).otherwise(k % 7).alias("result_count"), F.col("value").alias("latency_ms"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
