@@ -7,8 +7,10 @@ its own. The group count follows the number of rows, so a group stays small at a
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,39 +75,62 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+#: Characters for which normalising is lower-casing alone, and how the vocabulary's pattern splits them when lower-cased.
+PLAIN = re.compile(r"[\t-\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
+SPACE = re.compile(r"[\t-\r ]+")
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+@lru_cache(2)
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordTokenizer:
+    """Token ids of whole texts by the vocabulary file's own model, without special tokens; their strings are ordinary text.
+
+    The vocabulary drops white space, so that pieces of a plain text (ASCII but the apostrophe, and Latin-1 letters) are merged by
+    the library's model one by one and remembered. Other texts are cut at ASCII white space, and words that aren't
+    plain go through the library whole.
+    """
+
+    def __init__(self, path: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _TOKENIZERS[path] = loaded, {}
-    return _TOKENIZERS[path]
-
-
-def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Token ids of each text, without special tokens. The vocabulary drops white space, so that words separated by
-    ASCII white space are encoded on their own and remembered; a text gets its words' ids one after another."""
-    loaded, known = _tokenizer(path)
-    words = [(t or "").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    if len(known) + len(new) > 300_000:
-        known.clear()
-        new = list({w for ws in words for w in ws})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, loaded.encode_batch(part, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-    out = []
-    for ws in words:
-        ids: list[int] = []
-        for w in ws:
-            ids += known[w]
-        out.append(np.array(ids, np.uint32))
-    return out
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model, self.remember = self.whole.model, remember
+        self.known: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            if PLAIN.fullmatch(piece):
+                shown = piece if piece.isascii() else "".join(map(_byte_letters().__getitem__, piece.encode()))
+                ids = [t.id for t in self.model.tokenize(shown)]
+            else:
+                ids = self.whole.encode(piece, add_special_tokens=False).ids
+            if len(piece) <= 64:
+                if len(self.known) >= self.remember:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        out: list[int] = []
+        known, piece = self.known, self._piece
+        for part in [text or ""] if PLAIN.fullmatch(text or "") else SPACE.split(text):
+            for x in PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [part]:
+                out += known.get(x) or piece(x)
+        return np.array(out, np.uint32)
+
+
+@lru_cache(2)
+def tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cfg: PackConfig = PackConfig(), digest: bool = False) -> DataFrame:
@@ -115,8 +140,9 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """
 
     def rows(ids, texts):
-        for i, tokens in zip(ids, encode(texts, path), strict=True):
-            tokens = np.append(tokens, np.uint32(cfg.end_id)).astype("<u4")
+        encode = tokenizer(path).encode
+        for i, text in zip(ids, texts, strict=True):
+            tokens = np.append(encode(text), np.uint32(cfg.end_id)).astype("<u4")
             for start in range(0, len(tokens), cfg.length):
                 piece = tokens[start : start + cfg.length]
                 yield i, start, len(piece), len(tokens), zlib.crc32(piece.tobytes()) if digest else piece.tolist()
@@ -136,7 +162,7 @@ def pack(pieces: DataFrame, n_docs: int, id_col: str = "doc_id", cfg: PackConfig
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.col(id_col), F.lit(cfg.seed)), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([id_col, "start"], kind="stable").drop(columns="__group")
         bins, offsets = first_fit_decreasing(pdf["length"].tolist(), cfg.length)
         return pdf.assign(sequence_id=np.array(bins, np.int64) + int(key[0]) * 2**32, offset=np.array(offsets, np.int64))

@@ -45,6 +45,16 @@ def test_first_fit_decreasing_against_plain_scan():
         assert {k: (bins[k], offsets[k]) for k in want} == want
 
 
+def test_word_pieces_equal_library():
+    path, rng = P.path("word_bpe_49k.json"), random.Random(8)
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    own = packing.WordTokenizer(path, remember=50)
+    for _ in range(400):
+        text = "".join(rng.choice(list("abzAZ019 éÉßÿÀ×÷.,!%$*'\"-_\n\t\x0b\x1c\x00\x7f\xa0\u0301ªµ²½İΣςﬁ世🎉") + ["'s", "'LL", "<|endoftext|>", "words ", "STRASSE"]) for _ in range(rng.randint(0, 30)))
+        assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_is_whole(spark):
     path = P.path("word_bpe_49k.json")
     texts = TEXTS[:-1] + [f"word{i} " * (i * 7 % 900) for i in range(80)]
