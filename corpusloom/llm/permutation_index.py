@@ -24,14 +24,13 @@ from corpusloom.llm.shared import arrow_map, materialize
 @dataclass(frozen=True)
 class PermutationConfig:
     """pivots: at most so many, at least one per ``rows_per_pivot`` rows up to that; a bounded sample that does not grow.
-    posted: pivots that a vector is posted under. probed: pivots whose files a query reads. rerank: candidates that
-    are compared exactly. part: vectors in a part of the inverted files."""
+    posted: pivots that a vector is posted under, and whose files a query reads. rerank: share of a file's candidates,
+    those of least footrule distance, that are compared exactly. part: vectors in a part of the inverted files."""
 
-    pivots: int = 256
+    pivots: int = 2048
     rows_per_pivot: int = 8
-    posted: int = 16
-    probed: int = 16
-    rerank: int = 1200
+    posted: int = 32
+    rerank: float = 0.8
     part: int = 4096
     seed: int = 3
 
@@ -48,7 +47,11 @@ def orders(v: np.ndarray, pivots: np.ndarray, m2: float, k: int, query: bool) ->
     extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(m2 - (v * v).sum(axis=1), 0))
     lifted = np.column_stack([v, extra])
     d = (pivots * pivots).sum(axis=1)[None, :] - 2 * lifted @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")[:, :k].astype(np.int16)
+    if k < d.shape[1]:
+        near = np.sort(np.argpartition(d, k, axis=1)[:, : k + 1], axis=1)
+        d = np.take_along_axis(d, near, axis=1)
+        return np.take_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, :k], axis=1).astype(np.int16)
+    return np.argsort(d, axis=1, kind="stable").astype(np.int16)
 
 
 def footrule(q: np.ndarray, rows: np.ndarray, n_pivots: int) -> np.ndarray:
@@ -83,15 +86,16 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     sample = [r["v"] for r in base.orderBy(F.xxhash64("id", F.lit(cfg.seed)), "id").limit(wanted).collect()]  # bounded by cfg.pivots
     raw = np.array(sample)
     pivots = np.column_stack([raw, np.sqrt(np.maximum(m2 - (raw * raw).sum(axis=1), 0))])
-    n_pivots, posted, probed = len(pivots), min(cfg.posted, len(pivots)), min(cfg.probed, len(pivots))
+    n_pivots, posted = len(pivots), min(cfg.posted, len(pivots))
+    kind = np.float32 if "float" in table.schema[vec_col].dataType.simpleString() else np.float64  # floats are kept as they are
     shared = spark.sparkContext.broadcast(pivots)  # at most cfg.pivots vectors
 
     def post(ids, vectors):
         o = orders(np.array(vectors), shared.value, m2, posted, False)
         for i, v, x in zip(ids, vectors, o, strict=True):
-            yield i, np.array(v).tobytes(), x.tolist()
+            yield i, np.array(v, kind).tobytes(), x.tobytes(), x.tolist()
 
-    index = arrow_map(base, post, "id long, v binary, o array<short>", pa.schema([("id", pa.int64()), ("v", pa.binary()), ("o", pa.list_(pa.int16()))]), chunk=1024)
+    index = arrow_map(base, post, "id long, v binary, o binary, at array<short>", pa.schema([("id", pa.int64()), ("v", pa.binary()), ("o", pa.binary()), ("at", pa.list_(pa.int16()))]), chunk=1024)
     # An inverted file is held in parts of bounded size, so that a pivot near a third of all vectors is no single task's.
     slots = max(1, -(-int(stats["n"]) * posted // (n_pivots * cfg.part)))
     deal = F.pmod(F.xxhash64("id"), F.lit(slots))
@@ -99,33 +103,31 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     asked = usable(queries, id_col, vec_col).where(F.size("v") == dim)
 
     def probe(ids, vectors):
-        o = orders(np.array(vectors), shared.value, m2, probed, True)
+        o = orders(np.array(vectors), shared.value, m2, posted, True)
         for i, v, x in zip(ids, vectors, o, strict=True):
-            yield i, np.array(v).tobytes(), x.tolist()
+            yield i, np.array(v, np.float64).tobytes(), x.tobytes(), x.tolist()
 
-    probes = arrow_map(asked, probe, "qid long, qv binary, qo array<short>", pa.schema([("qid", pa.int64()), ("qv", pa.binary()), ("qo", pa.list_(pa.int16()))]), chunk=1024)
+    probes = arrow_map(asked, probe, "qid long, qv binary, qo binary, at array<short>", pa.schema([("qid", pa.int64()), ("qv", pa.binary()), ("qo", pa.binary()), ("at", pa.list_(pa.int16()))]), chunk=1024)
 
-    postings = index.select(F.explode("o").alias("pivot"), deal.alias("slot"), "id", "v", "o")
+    postings = index.select(F.explode("at").alias("pivot"), deal.alias("slot"), "id", "v", "o")
     files = postings.groupBy("pivot", "slot").agg(F.collect_list(F.struct("id", "v", "o")).alias("file"))
-    readers = probes.select(F.explode("qo").alias("pivot"), "qid", "qv", "qo").groupBy("pivot", F.pmod(F.xxhash64("qid"), F.lit(max(1, slots // 4))).alias("block")).agg(F.collect_list(F.struct("qid", "qv", "qo")).alias("readers"))
+    readers = probes.select(F.explode("at").alias("pivot"), "qid", "qv", "qo").groupBy("pivot", F.pmod(F.xxhash64("qid"), F.lit(max(1, slots // 4))).alias("block")).agg(F.collect_list(F.struct("qid", "qv", "qo")).alias("readers"))
     met = materialize(files, "inverted-files").join(readers, "pivot").select("pivot", "file", "readers")
-    keep = max(k, -(-cfg.rerank // slots))
 
     def rows(pivot, file, readers):
         for p, f, qs in zip(pivot, file, readers, strict=True):
             ids = np.array([x["id"] for x in f])
-            vs = np.frombuffer(b"".join(x["v"] for x in f), np.float64).reshape(len(f), -1)
-            os_ = np.array([x["o"] for x in f])
+            vs = np.frombuffer(b"".join(x["v"] for x in f), kind).reshape(len(f), -1).astype(np.float64)
+            os_ = np.frombuffer(b"".join(x["o"] for x in f), np.int16).reshape(len(f), -1)
             for q in qs:
-                qo = np.array(q["qo"])
-                far = footrule(qo, os_, n_pivots)
+                qo = np.frombuffer(q["qo"], np.int16)
                 # A vector that several of the query's files hold is answered in the one that comes first in the query's order.
                 place = np.full(n_pivots, len(qo), np.int32)
                 place[qo] = np.arange(len(qo))
-                mine = (place[os_].min(axis=1) == place[p]) & (ids != q["qid"])
-                at = np.flatnonzero(mine)
+                at = np.flatnonzero((place[os_].min(axis=1) == place[p]) & (ids != q["qid"]))
+                keep = max(k, int(np.ceil(cfg.rerank * len(at))))
                 if len(at) > keep:
-                    at = at[np.argsort(far[at], kind="stable")[:keep]]
+                    at = at[np.argsort(footrule(qo, os_[at], n_pivots), kind="stable")[:keep]]
                 if not len(at):
                     continue
                 scores = exact(vs[at], np.frombuffer(q["qv"], np.float64))
