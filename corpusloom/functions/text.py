@@ -115,6 +115,6 @@ def containment(a: Column, b: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """The normalisers as SQL functions of the session."""
-    source, target = _accent_pairs()
+    source, target = (x.replace("\\", "\\\\").replace("'", "\\'") for x in _accent_pairs())
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strip_accents(x STRING) RETURNS STRING RETURN regexp_replace(translate(x, '{source}', '{target}'), '\\\\p{{M}}+', '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_phrase(x STRING) RETURNS STRING RETURN array_join(regexp_extract_all(strip_accents(lower(x)), '[\\\\p{L}\\\\p{N}]+', 0), ' ')")

@@ -102,3 +102,58 @@ def keyword_field_score(title: Column, tags: Column, query_tokens: Column, views
 
 def evidence_confidence(n: Column, best: Column, authority: Column) -> Column:
     return F.least(F.lit(0.94), F.lit(0.2) + F.least(n * 0.08, F.lit(0.32)) + F.least(best * 0.4, F.lit(0.4)) + F.when(authority, 0.1).otherwise(0.0))
+
+
+def structural_boost(query: Column, sheet: Column, heading: Column, section: Column) -> Column:
+    """0.75 per query token of four letters or more in the structure; 3 for a sheet and 2 for a heading that matches the query."""
+    words = F.filter(F.split(query, " "), lambda t: F.length(t) >= 4)
+    structure = F.concat_ws(" ", sheet, heading, section)
+    near = lambda a: (a != "") & (F.contains(query, a) | F.contains(a, query))
+    return 0.75 * F.size(F.filter(words, lambda t: F.contains(structure, t))) + F.when(near(sheet), 3.0).otherwise(0.0) + F.when(near(heading), 2.0).otherwise(0.0)
+
+
+def intent_boost(query_tokens: Column, metadata_tokens: Column, text_tokens: Column, query: Column, text: Column, unit: Column, actions: list[str]) -> Column:
+    """Capped boosts for tokens shared with metadata and text, more for action units, and for the whole query in the text."""
+    m, t = F.size(F.array_intersect(query_tokens, metadata_tokens)), F.size(F.array_intersect(query_tokens, text_tokens))
+    action = unit.isin(*actions)
+    share = t / F.greatest(F.size(query_tokens), F.lit(1))
+    return F.least(m * 0.018, F.lit(0.12)) + F.least(t * 0.006, F.lit(0.05)) + F.when(action & (m > 0), 0.025).otherwise(0.0) + F.when(action & (t > 0), F.least(share * 0.12, F.lit(0.18))).otherwise(0.0) + F.when((query != "") & F.contains(text, query), 0.18).otherwise(0.0)
+
+
+def chat_score(score: Column, query_terms: Column, terms: Column, channels: list[str], exclusive: list[str], applicability: Column) -> Column:
+    """0.52 of the adjusted score and 0.48 of the applicability; shared terms boost, foreign channels and contexts cost."""
+    own, ch = F.array_intersect(query_terms, terms), F.array(*map(F.lit, channels))
+    qc, cc = F.array_intersect(query_terms, ch), F.array_intersect(terms, ch)
+    boost = 0.025 * F.size(own) + 0.02 * F.size(F.array_intersect(own, ch)) + F.when(applicability >= 0.58, F.least(F.lit(0.16), applicability * 0.14)).otherwise(0.0)
+    foreign = F.size(F.array_except(F.array_intersect(terms, F.array(*map(F.lit, exclusive))), query_terms))
+    cost = F.when((F.size(qc) > 0) & (F.size(cc) > 0) & ~F.arrays_overlap(qc, cc), 0.09).otherwise(0.0) + 0.07 * foreign + F.when(applicability < 0.32, 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), 0.52 * F.greatest(F.lit(0.0), score + boost - cost) + 0.48 * applicability)
+
+
+def policy_applicability(parts: dict[str, Column], weights: dict[str, float], penalty: Column) -> Column:
+    """Weighted parts less 0.32 of the penalty, between 0 and 1."""
+    total = sum((parts[k] * w for k, w in weights.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total - 0.32 * penalty))
+
+
+def portal_score(ranking: Column, query_tokens: Column, text: Column, query: Column) -> Column:
+    """100 times the ranking score, 10 per query token in the text, 35 if all are, 25 for the whole query."""
+    found = F.size(F.filter(query_tokens, lambda t: F.contains(text, t)))
+    return ranking * 100 + 10 * found + F.when((F.size(query_tokens) > 0) & (found == F.size(query_tokens)), 35).otherwise(0) + F.when((query != "") & F.contains(text, query), 25).otherwise(0)
+
+
+def preview_score(title: Column, section: Column, content: Column, query: Column, query_tokens: Column, approved: Column) -> Column:
+    """12, 8 and 5 for the query in title, section and content; 2.8, 1.4 and 0.8 per token; 1 for approved units."""
+    per = lambda c, w: w * F.size(F.filter(query_tokens, lambda t: F.contains(c, t)))
+    whole = lambda c, w: F.when(F.contains(c, query), float(w)).otherwise(0.0)
+    return whole(title, 12) + whole(section, 8) + whole(content, 5) + per(title, 2.8) + per(section, 1.4) + per(content, 0.8) + F.when(approved, 1.0).otherwise(0.0)
+
+
+def derived_filters(queries: DataFrame, mode: str, confidence: str, least: float = 0.65) -> DataFrame:
+    """Scope and visibility that a sure enough chat query adds where it has no filter of its own."""
+    sure = (F.col(mode) == "ai_chat") & (F.col(confidence) >= least)
+    return queries.withColumns({c: F.when(F.col(f"filter_{c}").isNull() & sure, F.col(f"understood_{c}")).otherwise(F.col(f"filter_{c}")) for c in ("scope", "visibility")})
+
+
+def validated(value: Column, allowed: list[str], fallback: Column) -> Column:
+    return F.when(value.isin(*allowed), value).otherwise(fallback)
