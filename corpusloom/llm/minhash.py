@@ -3,11 +3,13 @@
 1. Each text becomes a set of word shingles (64-bit hashes); equal sets form one class, and only one
    member of a class goes on.
 2. Classes get a MinHash signature; its bands are hashed to bucket keys.
-3. Buckets of at most ``pair_limit`` classes give all their pairs. In a larger bucket every class is paired
-   with the bucket's smallest member; after a first round of components, what such a bucket still holds
-   in different components is compared block by block, so hot buckets lose nothing and never become rows of pairs.
-4. Candidates are verified sequentially: signatures are compared batch by batch, and a pair is dropped once the
-   posterior probability that its similarity reaches the threshold is under ``miss``.
+3. In a first round every class is paired with one class: of the smallest members of its buckets, the one that it
+   shares most buckets with. In a second round only what a bucket still holds in different components is compared: all
+   pairs in buckets of at most ``pair_limit`` classes, block by block in larger ones, so that hot buckets lose nothing
+   and never become rows of pairs.
+4. Candidates are verified sequentially: signatures (a byte of each hash) are compared batch by batch, and a pair is
+   dropped once the posterior probability that its similarity reaches the threshold is under ``miss``. Bytes that agree
+   by chance only keep a pair longer. What is left of the second round is compared on further hashes, made only for texts that share a bucket.
 5. Survivors are verified on their full shingle sets, with integers only.
 6. Components of the confirmed links give one representative (the smallest id) per group.
 """
@@ -31,15 +33,16 @@ from corpusloom.llm.shared import arrow_map, materialize
 @dataclass(frozen=True)
 class MinHashConfig:
     """shingle: words of a shingle. Links need intersection * 100 >= percent * union. bands x rows: signature.
-    batch: hashes compared at each look. miss: posterior probability under which a pair is dropped.
+    more: further hashes, made only for texts that share a bucket. batch: hashes compared at each look. miss: posterior probability under which a pair is dropped.
     pair_limit: bucket size up to which all pairs are candidates. block: classes in a block of a larger bucket."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 6
+    more: int = 1024
     batch: int = 32
-    miss: float = 1e-6
+    miss: float = 1e-5
     pair_limit: int = 24
     block: int = 256
     seed: int = 7
@@ -91,17 +94,16 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 @lru_cache(4)
 def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, n, dtype=U64) * U64(2) + U64(1), rng.integers(0, 2**63, n, dtype=U64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def signature(shingles: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """n minima of multiply-shift hashes, kept to 32 bits."""
+    """n minima of permutations a * x + b of 32-bit values; the shingle hashes are mixed already."""
     a, b = _seeds(n, seed)
-    out = np.full(n, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
-        out = np.minimum(out, ((a[:, None] * part[None, :] + b[:, None]) >> U64(32)).min(axis=1).astype(np.uint32))
-    return out
+    out, low = np.full(n, 0xFFFFFFFF, np.uint32), shingles.astype(np.uint32)
+    for at in range(0, len(low), 1024):
+        out = np.minimum(out, (a[:, None] * low[None, at : at + 1024] + b[:, None]).min(axis=1))
+    return _mix(out.astype(U64)).astype(np.uint32)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -134,7 +136,7 @@ def least_matches(hashes: int, batch: int, threshold: float, miss: float) -> tup
 def plausible(left: np.ndarray, right: np.ndarray, cfg: MinHashConfig) -> np.ndarray:
     """Which of the signature pairs (rows) survive every look; later looks only see what earlier ones left."""
     alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int32), 0
-    for n, least in least_matches(cfg.hashes, cfg.batch, cfg.percent / 100, cfg.miss):
+    for n, least in least_matches(left.shape[1], cfg.batch, cfg.percent / 100, cfg.miss):
         matches = matches + (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
         keep = matches >= least
         alive, matches, done = alive[keep], matches[keep], n
@@ -155,7 +157,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) ->
                 yield i, 0, None, None, None
                 continue
             sig = signature(s, cfg.hashes, cfg.seed)
-            yield i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig, cfg.bands).tolist()
+            yield i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint8).tobytes(), band_keys(sig, cfg.bands).tolist()
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class_key", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
     return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, n long, class_key binary, sig binary, keys array<long>", schema)
@@ -165,32 +167,37 @@ def _size_ok(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """Candidate pairs (a, b) that pass the sequential comparison of their signatures."""
+def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig, hashes: int) -> DataFrame:
+    """Candidate pairs (a, b) that pass the sequential comparison of their signatures ``sigs(rep, sig)``."""
     joined = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, cfg.hashes) for c in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, hashes) for c in (2, 3))
             keep = pa.array(plausible(left, right, cfg))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
-    """Pairs whose full sets meet the threshold. Only texts that are in a pair are shingled again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _bags(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
+    """(rep, bag, sig): full sets and cfg.more further hashes of the texts of ``reps(rep)``, in one pass over the texts."""
+    wanted = materialize(reps.select(F.col("rep").alias("id")).distinct(), "wanted")  # its size is known, so that Spark can broadcast a small one
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 
     def sets(ids, texts):
         for i, text in zip(ids, texts, strict=True):
-            yield i, shingle_set(text, cfg.shingle).tobytes()
+            s = shingle_set(text, cfg.shingle)
+            yield i, s.tobytes(), signature(s, cfg.more, cfg.seed + 1).astype(np.uint8).tobytes()
+
+    return materialize(arrow_map(texts, sets, "rep long, bag binary, sig binary", pa.schema([("rep", pa.int64()), ("bag", pa.binary()), ("sig", pa.binary())])), "bags")
+
 
-    bags = materialize(arrow_map(texts, sets, "id long, bag binary", pa.schema([("id", pa.int64()), ("bag", pa.binary())])), "bags")
-    joined = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+def _confirmed(pairs: DataFrame, bags: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """Pairs whose full sets meet the threshold."""
+    joined = pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(a, b, x, y):
         for i, j, left, right in zip(a, b, x, y, strict=True):
@@ -219,11 +226,11 @@ def _block_survivors(hot: DataFrame, sigs: DataFrame, cfg: MinHashConfig) -> Dat
             rx, ry = (np.array([m["rep"] for m in side]) for side in (x, y))
             nx, ny = (np.array([m["n"] for m in side]) for side in (x, y))
             cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
-            sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(-1, cfg.hashes) for side in (x, y))
+            sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(-1, cfg.more) for side in (x, y))
             for i in range(len(rx)):
                 to = np.flatnonzero((cy != cx[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * cfg.percent))
                 if len(to):
-                    for j in to[plausible(np.broadcast_to(sx[i], (len(to), cfg.hashes)), sy[to], cfg)]:
+                    for j in to[plausible(np.broadcast_to(sx[i], (len(to), cfg.more)), sy[to], cfg)]:
                         yield int(min(rx[i], ry[j])), int(max(rx[i], ry[j]))
 
     return arrow_map(met, rows, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]), chunk=1).distinct()
@@ -246,24 +253,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.min(F.struct("rep", "n")).alias("pivot")).where("cnt > 1")
     shared = materialize(rows.join(buckets, "key").select("key", "rep", "n", "cnt", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
 
-    small = shared.where(F.col("cnt") <= cfg.pair_limit).select("key", "rep", "n")
-    other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = small.join(other, "key").where((F.col("rep") < F.col("b")) & _size_ok("n", "nb", cfg.percent)).select(F.col("rep").alias("a"), "b")
-    stars = shared.where((F.col("cnt") > cfg.pair_limit) & (F.col("rep") > F.col("pivot")) & _size_ok("n", "pivot_n", cfg.percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    first = materialize(_survivors(pairs.unionByName(stars).distinct(), sigs, cfg), "survivors")
-    links = materialize(_exact(first, docs, id_col, text_col, cfg), "confirmed")
+    stars = shared.where((F.col("rep") > F.col("pivot")) & _size_ok("n", "pivot_n", cfg.percent)).groupBy("rep", "pivot").agg(F.count("*").alias("bands"))
+    best = stars.groupBy("rep").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("first"))).alias("m")).select((-F.col("m.first")).alias("a"), F.col("rep").alias("b"))
+    bags = _bags(shared, docs, id_col, text_col, cfg)
+    links = materialize(_confirmed(materialize(_survivors(best, sigs, cfg, cfg.hashes), "survivors"), bags, cfg), "confirmed")
     found = materialize(components(links), "components")
 
-    hot = shared.where(F.col("cnt") > cfg.pair_limit).select("key", "rep", "n", "cnt", "pivot")
+    rep_of, pivot_of = (found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")) for c in ("rep", "pivot"))
+    label = shared.join(rep_of, "rep", "left").join(pivot_of, "pivot", "left").select("key", "rep", "n", "cnt", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("home"))
+    label = materialize(label, "labelled")
+    still = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(label.join(still, "key", "left_semi"), "open")
+    small = rest.where(F.col("cnt") <= cfg.pair_limit)
+    other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"))
+    pairs = small.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_ok("n", "nb", cfg.percent)).select(F.col("rep").alias("a"), "b").distinct()
+    more = _survivors(materialize(_survivors(pairs, sigs, cfg, cfg.hashes), "survivors"), bags, cfg, cfg.more)
+    hot = rest.where(F.col("cnt") > cfg.pair_limit)
     if not hot.isEmpty():
-        of = found.select(F.col("node").alias("rep"), "component")
-        label = hot.join(of, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).join(found.select(F.col("node").alias("pivot"), F.col("component").alias("hc")), "pivot", "left").withColumn("home", F.coalesce("hc", "pivot"))
-        label = materialize(label.select("key", "rep", "n", "cnt", "comp", "home"), "hot")
-        open_keys = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        more = materialize(_block_survivors(label.join(open_keys, "key", "left_semi"), sigs, cfg), "block_survivors")
-        if not more.isEmpty():
-            links = links.unionByName(materialize(_exact(more, docs, id_col, text_col, cfg), "confirmed"))
-            found = materialize(components(links), "components")
+        more = more.unionByName(_block_survivors(hot, bags, cfg)).distinct()
+    more = materialize(_confirmed(materialize(more, "likely"), bags, cfg), "confirmed")
+    if not more.isEmpty():
+        found = materialize(components(links.unionByName(more)), "components")
 
     known = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class_key", "rep", F.coalesce("component", "rep").alias("component"))
     out = every.select("id", "n", "class_key").join(known, "class_key", "left")
