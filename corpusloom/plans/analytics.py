@@ -103,10 +103,10 @@ def a39(spark, d):
     return g.select("query_id", "first_hit", F.coalesce(F.col("first_hit") <= 5, F.lit(False)).alias("passed"))
 
 
-@query("w4_top_gap", KNN + " SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 5) AS gap FROM r GROUP BY 1")
+@query("w4_top_gap", KNN + " SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 3) AS gap FROM r GROUP BY 1")
 def w4(spark, d):
     g = _ranked(spark, d).where("rank <= 2").groupBy("query_id").agg((F.max(F.when(F.col("rank") == 1, F.col("vector_score"))) - F.max(F.when(F.col("rank") == 2, F.col("vector_score")))).alias("gap"))
-    return g.select("query_id", F.round("gap", 5).alias("gap"))
+    return g.select("query_id", F.round("gap", 3).alias("gap"))
 
 
 @query("w2_duplicate_parent_penalty", KNN + ", n AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS sibling FROM r WHERE rank <= 30) SELECT query_id, chunk_id, CASE WHEN sibling = 1 THEN 0 WHEN sibling = 2 THEN -8 ELSE -16 END AS penalty FROM n")
