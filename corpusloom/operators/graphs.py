@@ -59,3 +59,36 @@ def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18) -
         done = done.unionByName(front.join(ends, "at", "left_semi"))
     order = F.array_join(F.transform("conditions", lambda c: F.when(c == "yes", "0").otherwise("1")), "")
     return top_k(done, ["root"], keep, order, F.array_join(F.transform("path", lambda x: x.cast("string")), ","), rank="place").drop("at")
+
+
+def layout_edges(connectors: DataFrame, shapes: DataFrame, page: str) -> DataFrame:
+    """(connector, from_shape, to_shape) by the nearest shape of the same page to either end; connectors whose ends meet one shape are left out.
+
+    connectors(connector, page, x1, y1, x2, y2), shapes(shape, page, x, y); ties go to the smaller shape.
+    """
+    met = connectors.join(shapes, page)
+    d = lambda x, y: F.struct(F.round(F.pow(F.col(x) - F.col("x"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y"), F.lit(2.0)), 9).alias("d"), F.col("shape"))
+    near = met.groupBy("connector").agg(F.min(d("x1", "y1")).alias("a"), F.min(d("x2", "y2")).alias("b"))
+    return near.select("connector", F.col("a.shape").alias("from_shape"), F.col("b.shape").alias("to_shape")).where("from_shape <> to_shape")
+
+
+def merge_nodes(nodes: DataFrame, page: str, key: str, node: str, title: str) -> DataFrame:
+    """(node, merged_into): nodes of a page with the same key are one, the smallest id stands for them.
+
+    Greedy merging depends on the order in which nodes come; the smallest id per group doesn't.
+    """
+    least = nodes.groupBy(page, key).agg(F.min(node).alias("merged_into"))
+    return nodes.join(least, [page, key]).select(node, "merged_into", title)
+
+
+def payload_rows(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Edges (id, from_node, to_node, condition) of nested graph payloads; null conditions become ''."""
+    schema = "edges array<struct<from_node long, to_node long, condition string>>"
+    rows = payloads.select(id_col, F.inline(F.from_json(json_col, schema)["edges"]))
+    return rows.fillna("", ["condition"])
+
+
+def condition_name(c):
+    """Normalised branch condition: yes, no or the text."""
+    low = F.lower(F.trim(c))
+    return F.when(low.isin("y", "yes", "true", "ok"), "yes").when(low.isin("n", "no", "false"), "no").otherwise(low)
