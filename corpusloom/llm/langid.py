@@ -25,7 +25,7 @@ class LangConfig:
     slack: share of the sample's least cosine under which a text is rejected, from ``sure`` letters on; shorter texts
     say too little and are only rejected under ``floor``."""
 
-    fit_rows: int = 500
+    fit_rows: int = 300
     fit_chars: int = 20_000
     clusters: int = 4
     dims: int = 16384
