@@ -10,6 +10,7 @@ K n exp(-lambda s). A text's evidence is summed over its significant segments an
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class ToxicConfig:
     """fit_rows: labelled rows of each class that the model is fitted on, at most. prior: weight of the prior, in tokens.
     cost: subtracted from each token's log-odds. expected: segments of at most that expected count are significant."""
 
-    fit_rows: int = 3000
+    fit_rows: int = 2000
     prior: float = 2.0
     cost: float = 2.0
     expected: float = 0.05
@@ -214,7 +215,7 @@ def fit_table(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for _, _, y, tokens in found:
         seen[y] += 1
         if seen[y] <= cfg.fit_rows:
-            rows_.append((y, tokens.split()))
+            rows_.append((y, list(map(sys.intern, tokens.split()))))  # one object per word: the sample stays small
     return fit(rows_, cfg)
 
 
