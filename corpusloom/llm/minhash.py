@@ -209,26 +209,28 @@ def _confirmed(pairs: DataFrame, bags: DataFrame, cfg: MinHashConfig) -> DataFra
     return arrow_map(joined, check, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _block_survivors(hot: DataFrame, sigs: DataFrame, cfg: MinHashConfig) -> DataFrame:
+def _block_survivors(hot: DataFrame, sigs: DataFrame, keys: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """All plausible pairs of different components inside the buckets of ``hot(key, rep, n, cnt, comp, home)``.
 
     Members of a bucket are dealt by (in the home component?, size class, hash) to blocks of about cfg.block; blocks
-    meet if their size classes can hold similar sets and not both are of the home component. Only survivors become rows.
+    meet if their size classes can hold similar sets and not both are of the home component. A pair that shares several
+    buckets is compared in the first of them only (if that is a small one, among its pairs), and only survivors become rows.
     """
     step = 100 / cfg.percent
-    dealt = hot.select("key", "rep", "n", "comp", (F.col("comp") == F.col("home")).alias("at_home"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).alias("cls"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / F.lit(cfg.block))).alias("slot")).join(sigs.select("rep", "sig"), "rep")
-    blocks = materialize(dealt.groupBy("key", "at_home", "cls", "slot").agg(F.collect_list(F.struct("rep", "n", "comp", "sig")).alias("m")), "blocks")
+    dealt = hot.select("key", "rep", "n", "comp", (F.col("comp") == F.col("home")).alias("at_home"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).alias("cls"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / F.lit(cfg.block))).alias("slot")).join(sigs.select("rep", "sig"), "rep").join(keys.select("rep", "keys"), "rep")
+    blocks = materialize(dealt.groupBy("key", "at_home", "cls", "slot").agg(F.collect_list(F.struct("rep", "n", "comp", "sig", "keys")).alias("m")), "blocks")
     left, right = (blocks.select("key", F.col("at_home").alias(f"h{s}"), F.col("cls").alias(f"c{s}"), F.col("slot").alias(f"s{s}"), F.col("m").alias(f"m{s}")) for s in "ab")
-    met = left.join(right, "key").where("not (ha and hb) and abs(ca - cb) <= 1 and struct(ha, ca, sa) <= struct(hb, cb, sb)").select("ma", "mb")
+    met = left.join(right, "key").where("not (ha and hb) and abs(ca - cb) <= 1 and struct(ha, ca, sa) <= struct(hb, cb, sb)").select("key", "ma", "mb")
 
-    def rows(left, right):
-        for x, y in zip(left, right, strict=True):
+    def rows(shared, left, right):
+        for key, x, y in zip(shared, left, right, strict=True):
             rx, ry = (np.array([m["rep"] for m in side]) for side in (x, y))
             nx, ny = (np.array([m["n"] for m in side]) for side in (x, y))
             cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
             sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(-1, cfg.more) for side in (x, y))
+            kx, ky = (np.array([m["keys"] for m in side], np.int64) for side in (x, y))
             for i in range(len(rx)):
-                to = np.flatnonzero((cy != cx[i]) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * cfg.percent))
+                to = np.flatnonzero((cy != cx[i]) & (kx[i][(ky == kx[i]).argmax(axis=1)] == key) & (np.minimum(ny, nx[i]) * 100 >= np.maximum(ny, nx[i]) * cfg.percent))
                 if len(to):
                     for j in to[plausible(np.broadcast_to(sx[i], (len(to), cfg.more)), sy[to], cfg)]:
                         yield int(min(rx[i], ry[j])), int(max(rx[i], ry[j]))
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _survivors(materialize(_survivors(pairs, sigs, cfg, cfg.hashes), "survivors"), bags, cfg, cfg.more)
     hot = rest.where(F.col("cnt") > cfg.pair_limit)
     if not hot.isEmpty():
-        more = more.unionByName(_block_survivors(hot, bags, cfg)).distinct()
+        more = more.unionByName(_block_survivors(hot, bags, reps, cfg)).distinct()
     more = materialize(_confirmed(materialize(more, "likely"), bags, cfg), "confirmed")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
