@@ -127,6 +127,35 @@ def k20(spark, d):
     return ordering.top_k(k, ["a", "relation"], 5, F.col("overlap").desc(), F.col("b"), rank="place")
 
 
+CLASSES = f", t AS (SELECT version_id AS id, list_sort(list_distinct({TOKENS})) AS ts FROM kb_units WHERE chunk_index = 0), m AS (SELECT id, md5(array_to_string(ts, ' ')) AS class, ts FROM t WHERE len(ts) > 0)"
+ALL_PAIRS = CLASSES + ", s AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ts, y.ts)) AS shared, len(x.ts) AS size_a, len(y.ts) AS size_b FROM m x JOIN m y ON x.id < y.id WHERE len(list_intersect(x.ts, y.ts)) > 0)"
+
+
+def _classes(spark, d):
+    t = C.units(spark, d).where("chunk_index = 0").select(F.col("version_id").alias("id"), T.tokens(F.col("content")).alias("ts"))
+    return R.token_classes(t, "id", "ts")
+
+
+@query("j18_title_classes", using("kb_units", CLASSES + " SELECT id, class, len(ts) AS size FROM m"))
+def j18_classes(spark, d):
+    return _classes(spark, d).select("id", "class", F.size("ts").alias("size"))
+
+
+@query("j18_title_class_pairs", using("kb_units", CLASSES + ", c AS (SELECT DISTINCT class, ts FROM m) SELECT x.class AS a, y.class AS b, len(list_intersect(x.ts, y.ts)) AS shared, len(x.ts) AS size_a, len(y.ts) AS size_b FROM c x JOIN c y ON x.class < y.class WHERE len(list_intersect(x.ts, y.ts)) > 0"))
+def j18_pairs(spark, d):
+    return R.class_pairs(_classes(spark, d))
+
+
+RELATION = "CASE WHEN overlap >= 0.82 THEN 'duplicate' WHEN overlap >= 0.35 THEN 'related' ELSE 'possible_conflict' END"
+
+
+@query("k20_reconcile_all", using("kb_units", ALL_PAIRS + f", o AS (SELECT a, b, round(shared / greatest(size_a, size_b), 6) AS overlap FROM s), k AS (SELECT *, {RELATION} AS relation FROM o) SELECT a, b, overlap, relation, place FROM (SELECT *, row_number() OVER (PARTITION BY a, relation ORDER BY overlap DESC, b) AS place FROM k) WHERE place <= 5"))
+def k20_all(spark, d):
+    c = _classes(spark, d)
+    o = R.member_pairs(c, "id", R.class_pairs(c), 5).select("a", "b", F.round(F.col("shared") / F.greatest("size_a", "size_b"), 6).alias("overlap"))
+    return ordering.top_k(o.withColumn("relation", F.expr(RELATION)), ["a", "relation"], 5, F.col("overlap").desc(), F.col("b"), rank="place")
+
+
 @query("j19_polarity_conflicts", using("kb_units", f", t AS (SELECT version_id AS id, list_distinct({TOKENS}) AS ts, version_id % 2 = 0 AS allow, length(content) // 20 AS scope FROM kb_units WHERE chunk_index = 0) SELECT x.id AS a, y.id AS b, len(list_intersect(x.ts, y.ts)) AS shared FROM t x JOIN t y ON x.scope = y.scope AND x.id < y.id AND x.allow <> y.allow WHERE len(list_intersect(x.ts, y.ts)) >= 4"))
 def j19(spark, d):
     t = C.units(spark, d).where("chunk_index = 0").select(F.col("version_id").alias("id"), F.array_distinct(T.tokens(F.col("content"))).alias("ts"), F.floor(F.length("content") / 20).alias("scope"))

@@ -63,6 +63,25 @@ def test_relation_targets_need_one_match(spark):
     assert [(r.source, r.target_id) for r in relations.exact_targets(e, d, "title", "id", "source").collect()] == [(1, 10)]
 
 
+def test_pairs_of_frequent_tokens_are_kept(spark):
+    rng = random.Random(5)
+    sets = {k: {"the", "same", "title"} if k < 20 else {"the"} | {f"w{rng.randint(0, 9)}" for _ in range(4)} for k in range(50)}
+    docs = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [(99, [])], "id long, ts array<string>")
+    classes = relations.token_classes(docs, "id", "ts").cache()
+    found = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in relations.class_pairs(classes, block=3).collect()}
+    of = {r.id: r["class"] for r in classes.collect()}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert len(want) == 50 * 49 // 2
+    for (a, b), (shared, m, n) in want.items():
+        if of[a] == of[b]:
+            assert sets[a] == sets[b]
+        else:
+            assert found[min(of[a], of[b]), max(of[a], of[b])] == ((shared, m, n) if of[a] < of[b] else (shared, n, m))
+    assert len(found) == len({frozenset((of[a], of[b])) for a, b in want if of[a] != of[b]})
+    rows = relations.member_pairs(classes, "id", relations.class_pairs(classes, block=3), 50).collect()
+    assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in rows} == want
+
+
 def test_graph_paths_and_cycles(spark):
     n = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "node_id long, title string")
     e = spark.createDataFrame([(0, 1, "no"), (0, 2, "yes"), (1, 3, "yes"), (3, 1, "no"), (3, 4, "yes")], "from_node long, to_node long, condition string")
