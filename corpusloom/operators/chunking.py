@@ -14,6 +14,18 @@ def unit_type(c: Column) -> Column:
     return F.when(low.rlike(r"^(note|nota|hinweis|remarque)($|[^\p{L}])"), "note").when(T.is_bullet(c), "bullet").when(low.rlike(r"(^|[^\p{L}])(if|when|unless|quand|wenn)($|[^\p{L}])"), "condition").otherwise("section")
 
 
+def claims(units: DataFrame, content: str) -> DataFrame:
+    """Units with their type and claim, a hash of the type and the whole normalised text."""
+    typed = units.withColumn("unit_type", unit_type(F.col(content)))
+    return typed.withColumn("claim", F.md5(T.normalize_phrase(F.concat_ws(" ", "unit_type", content))))
+
+
+def claim_counts(units: DataFrame, id_col: str, content: str) -> DataFrame:
+    """(claim, unit_type, dup_count, longest, versions); counted per id first, so that no task gathers a frequent claim's ids."""
+    each = units.groupBy("claim", "unit_type", id_col).agg(F.count("*").alias("n"), F.max(F.length(content)).alias("longest"))
+    return each.groupBy("claim", "unit_type").agg(F.sum("n").alias("dup_count"), F.max("longest").alias("longest"), F.count("*").alias("versions"))
+
+
 def logical_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Sentences of every paragraph in order: (id, paragraph, sentence, content, unit_type)."""
     p = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("paragraph", "p")).where(F.trim("p") != "")

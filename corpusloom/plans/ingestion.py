@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunking as K
 from corpusloom.operators import ordering
 from corpusloom.plans.registry import query
+from corpusloom.plans.retrieval import TOKENS
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
 
@@ -126,6 +127,19 @@ def a9(spark, d):
     return g.withColumn("ids", F.array_join("ids", ","))
 
 
+CLAIMS = f", c AS (SELECT version_id, content, {KIND} AS unit_type FROM kb_units), k AS (SELECT version_id, content, unit_type, md5(array_to_string(list_prepend(unit_type, {TOKENS}), ' ')) AS claim FROM c)"
+
+
+@query("a9_claims", using("kb_units", CLAIMS + " SELECT claim, unit_type, count(*) AS dup_count, max(length(content)) AS longest, count(DISTINCT version_id) AS versions FROM k GROUP BY ALL"))
+def a9_claims(spark, d):
+    return K.claim_counts(K.claims(C.units(spark, d), "content"), "version_id", "content")
+
+
+@query("a9_claim_members", using("kb_units", CLAIMS + " SELECT DISTINCT claim, version_id FROM k"))
+def a9_members(spark, d):
+    return K.claims(C.units(spark, d), "content").select("claim", "version_id").distinct()
+
+
 @query("a11_rule_groups", using("kb_units", ", g AS (SELECT version_id, length(content) // 100 AS grp, count(*) AS members, min(chunk_index) AS first_index FROM kb_units GROUP BY ALL) SELECT * FROM g WHERE members >= 2"))
 def a11(spark, d):
     return C.units(spark, d).groupBy("version_id", F.floor(F.length("content") / 100).alias("grp")).agg(F.count("*").alias("members"), F.min("chunk_index").alias("first_index")).where("members >= 2")

@@ -37,6 +37,15 @@ def test_repair_joins_incomplete_units(spark):
     assert got == [["If late, call.", "Then wait and ask", "Done."], []]
 
 
+def test_claims_keep_every_version_and_differ_by_the_whole_text(spark):
+    long = "the same beginning " * 20
+    rows = [(k, long + "one") for k in range(9)] + [(0, long + "one"), (9, long + "two"), (9, "note the end"), (9, "if the end")]
+    units = chunking.claims(spark.createDataFrame(rows, "version_id long, content string"), "content")
+    got = sorted((r.dup_count, r.versions, r.unit_type) for r in chunking.claim_counts(units, "version_id", "content").collect())
+    assert got == [(1, 1, "condition"), (1, 1, "note"), (1, 1, "section"), (10, 9, "section")]
+    assert units.select("claim", "version_id").distinct().count() == 12
+
+
 def test_positions_equal_a_window(spark):
     df = spark.createDataFrame([(k % 3 if k % 2 else 0, k * 7 % 101) for k in range(101)], "g long, o long")
     rows = ordering.position(df, ["g"], "o", "p", width=10).collect()
