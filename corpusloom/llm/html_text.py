@@ -3,7 +3,7 @@
 Markup is stripped to lines (one per block element, with the characters of its links counted apart); every container
 border leaves a gap of empty lines. Text lengths are summed over sliding windows of lines. A surge is where the sum
 leaves zero, a dive where it returns to zero; text between a surge and the next dive is a passage. Passages are kept
-if they lie in the article element, or, on pages without one, if their share of the densest passage is large enough.
+if they lie in the article or main element, or, on pages without one, in the main region around the large passages.
 """
 
 from __future__ import annotations
@@ -154,16 +154,27 @@ def passages(lines: list[Line], window: int = 3) -> list[tuple[int, int, int]]:
 def main_text(html: str | None, window: int = 3, share: float = 0.2, max_link_share: float = 0.5) -> str:
     """Main text of a page; blocks joined by an empty line, '' if there is none.
 
-    Inside an article every passage counts. Elsewhere a passage counts if it has at least ``share`` of the largest
-    passage's characters outside links and at most ``max_link_share`` of its characters in links.
+    Inside an article every passage counts. Elsewhere the main region runs from the surge of the first to the dive of the
+    last passage with at least ``share`` of the largest one's characters outside links, and on over its neighbours, however
+    short, up to a passage with more than ``max_link_share`` of its characters in links; only such passages are left out of it.
     """
     lines = to_lines(html, window)
     found = passages(lines, window)
     inside = [p for p in found if any(x.article for x in lines[p[0] : p[1]])]
     if not inside:
-        scored = [(p, sum(x.links for x in lines[p[0] : p[1]])) for p in found]
-        most = max((p[2] - k for p, k in scored), default=0)
-        inside = [p for p, k in scored if most > 0 and p[2] - k >= share * most and k <= max_link_share * p[2]]
+        links = [sum(x.links for x in lines[a:b]) for a, b, _ in found]
+        plain = [p[2] - k for p, k in zip(found, links, strict=True)]
+        prose = [k <= max_link_share * p[2] for p, k in zip(found, links, strict=True)]
+        most = max(plain, default=0)
+        large = [i for i, n in enumerate(plain) if most > 0 and prose[i] and n >= share * most]
+        if not large:
+            return ""
+        surge, dive = large[0], large[-1] + 1
+        while surge > 0 and prose[surge - 1]:
+            surge -= 1
+        while dive < len(found) and prose[dive]:
+            dive += 1
+        inside = [p for p, kept in zip(found[surge:dive], prose[surge:dive], strict=True) if kept]
         return "\n\n".join(x.text for a, b, _ in inside for x in lines[a:b] if x.text)
     return "\n\n".join(x.text for a, b, _ in inside for x in lines[a:b] if x.text and x.article)
 

@@ -161,6 +161,13 @@ def test_main_text(a, b):
     assert html_text.main_text(PAGE.replace("{open}", a).replace("{close}", b)) == WANT
 
 
+def test_short_blocks_of_the_main_region_stay():
+    body = "A long paragraph of the main text, as an example. " * 9
+    blocks = ["Head", body.strip(), "Short.", "One", body.strip(), "End."]
+    page = "<body><div><a href=/a>All of the pages</a></div><div><h1>Head</h1></div>" + f"<div><p>{body}</p></div><div><p>Short.</p></div><section><ul><li>One</li></ul></section><div><a href=/b>More on this</a></div><div><p>{body}</p></div><div>End.</div>" + "<div><a href=/c>Imprint of the site</a></div><div>Far.</div></body>"
+    assert html_text.main_text(page) == "\n\n".join(blocks)
+
+
 def test_main_text_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 1), (3, None, "<p>", 1), (4, "u", "<article><p><b>A<br>b<p>c</p><!-- x --><p>d", 1), (None, "u", "<nav>only</nav>", 1), (6, "u", "<article><p>" + "w " * 60_000, 1)], "page_id long, url string, html string, n_chars int")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
