@@ -97,6 +97,14 @@ def j4(spark, d):
     return retrieval.knn(q, v.select(F.col("vec_id").alias("chunk_id"), "v"), "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "rank")
 
 
+@query("j4_exact_knn_all", "WITH " + KNN_SQL[1:].replace("q.vec_id < 20", "q.vec_id % 50 = 0") + " SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, rank FROM r WHERE rank <= 30")
+def j4_all(spark, d):
+    """Queries from the whole table, so that their number grows with it."""
+    v = C.vectors(spark, d)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return retrieval.knn(q, v.select(F.col("vec_id").alias("chunk_id"), "v"), "query_id", "chunk_id", 30).select("query_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "rank")
+
+
 @query("m1_cosine_within_label", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def m1(spark, d):
     v = C.vectors(spark, d)

@@ -98,6 +98,20 @@ def test_graph_paths_and_cycles(spark):
     assert {(r.code, r.id) for r in graphs.topology(n, e).collect()} == {("missing_branch", "1")}
 
 
+def test_exact_search_asks_from_the_whole_table(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    rng = random.Random(2)
+    vecs = {k: [rng.gauss(0, 1) for _ in range(8)] for k in range(160)}
+    spark.createDataFrame([(k, v, 0) for k, v in vecs.items()], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = registry.queries()["j4_exact_knn_all"](spark, str(tmp_path)).collect()
+    norm = {k: sum(x * x for x in v) ** 0.5 for k, v in vecs.items()}
+    for q in (0, 50, 100, 150):
+        score = {k: sum(x * y for x, y in zip(v, vecs[q], strict=True)) / norm[k] / norm[q] for k, v in vecs.items()}
+        assert [r.chunk_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])] == sorted(score, key=lambda k: (-round(score[k], 9), k))[:30]
+    assert len(rows) == 4 * 30
+
+
 def test_merge_scores_only_what_both_found(spark):
     k = spark.createDataFrame([(1, 1, 2.0, 1), (1, 2, 1.0, 2)], "q long, d long, lexical_score double, rank int")
     v = spark.createDataFrame([(1, 2, 0.9, 1), (1, 3, 0.8, 2)], "q long, d long, vector_score double, rank int")
