@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map
+from corpusloom.llm.shared import arrow_map, first_labelled, hashed_place
 
 WORD = re.compile(r"\w+")
 
@@ -133,19 +133,23 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
-    """Fit on a bounded sample: of ``labels(doc_id, quality)`` and of documents without a label those whose hashed id comes first."""
-    rows_ = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("quality in (0, 1)"), "doc_id", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
-    n = {bool(r["k"]): r["n"] for r in rows_.groupBy((F.col("y") >= 0).alias("k")).agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(cfg.seed)), F.lit(1_000_000))
-    bound = F.when(F.col("y") >= 0, int(min(1.0, cfg.fit_rows / max(1, n.get(True, 1))) * 1_000_000)).otherwise(int(min(1.0, cfg.fit_rows / max(1, n.get(False, 1))) * 1_000_000))
-    picked = rows_.where(place < bound).select("doc_id", "text", "source", "lang", "n_chars", "y")
-
-    def rows(ids, texts, sources, langs, sizes, ys):
-        for i, t, s, lang, n, y in zip(ids, texts, sources, langs, sizes, ys, strict=True):
-            yield i, y, content_view(t, cfg).tobytes(), metadata_view(s, lang, n, cfg).tobytes()
-
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("c", pa.binary()), ("m", pa.binary())])
-    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["y"], bytes(r["c"]), bytes(r["m"])) for r in arrow_map(picked, rows, "doc_id long, y int, c binary, m binary", schema).toLocalIterator())
+    """Fit on a bounded sample: of ``labels(doc_id, quality)`` and of documents without a label those whose hashed id comes first,
+    cfg.fit_rows of either (of each class, labelled ones are half of them). The sample is drawn from ids; no text is shuffled by it."""
+    known = first_labelled(docs, labels, "doc_id", "quality", (0, 1), cfg.fit_rows // 2, cfg.seed)
+    rest = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").join(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti")
+    rest = rest.withColumn("y", F.lit(-1)).withColumn("place", hashed_place("id", cfg.seed)).distinct().orderBy("place").limit(cfg.fit_rows)
+    sample = F.broadcast(known.unionByName(rest))  # at most 2 * cfg.fit_rows ids
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(sample, "id").select("id", "text", "source", "lang", "n_chars", "y", "place")
+
+    def rows(ids, texts, sources, langs, sizes, ys, places):
+        for i, t, s, lang, n, y, p in zip(ids, texts, sources, langs, sizes, ys, places, strict=True):
+            yield p, y, content_view(t, cfg).tobytes(), metadata_view(s, lang, n, cfg).tobytes()
+
+    schema = pa.schema([("place", pa.int64()), ("y", pa.int32()), ("c", pa.binary()), ("m", pa.binary())])
+    views = arrow_map(picked, rows, "place long, y int, c binary, m binary", schema)
+    # A repeated id may bring more rows than ids: the bound holds for rows too.
+    found = views.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("place", "c", "m"))).where(F.col("rank") <= F.when(F.col("y") < 0, cfg.fit_rows).otherwise(cfg.fit_rows // 2)).where(F.col("rank") <= cfg.fit_rows)
+    found = sorted((r["place"], r["y"], bytes(r["c"]), bytes(r["m"])) for r in found.toLocalIterator())
     if not found:
         return co_train(np.zeros((0, cfg.words + 10)), np.zeros((0, cfg.sources + 28)), np.zeros(0), cfg)
     return co_train(np.array([np.frombuffer(r[2], np.float32) for r in found]), np.array([np.frombuffer(r[3], np.float32) for r in found]), np.array([r[1] for r in found]), cfg)
