@@ -17,20 +17,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map
+from corpusloom.llm.shared import arrow_map, first_labelled, name
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    """fit_rows: labelled rows of each class that the model is fitted on, at most. prior: weight of the prior, in tokens.
-    cost: subtracted from each token's log-odds. expected: segments of at most that expected count are significant."""
+    """fit_rows, fit_tokens: labelled rows of each class that the model is fitted on, and their tokens, at most. prior: weight of the prior, in tokens.
+    folds: parts of the crosswise fit. cost: subtracted from each token's log-odds. expected: segments of at most that expected count are significant."""
 
     fit_rows: int = 2000
+    fit_tokens: int = 2_000_000
+    folds: int = 4
     prior: float = 2.0
     cost: float = 2.0
     expected: float = 0.05
@@ -154,16 +156,16 @@ def log_odds(toxic: dict[str, int], clean: dict[str, int], cfg: ToxicConfig) ->
 
 
 def fit(rows: list[tuple[int, list[str]]], cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
-    """Fit on (label, tokens). The log-odds are learnt on two halves crosswise for the extreme-value fit and the
-    calibration, so that neither sees a text's own counts; the model then takes all rows."""
-    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    """Fit on (label, tokens). The log-odds are learnt crosswise, each of cfg.folds parts scored by the counts of the others, for the
+    extreme-value fit and the calibration, so that neither sees a text's own counts; the model then takes all rows."""
+    counts = [[Counter(), Counter()] for _ in range(cfg.folds)]
     for k, (y, tokens) in enumerate(rows):
-        counts[k % 2][y].update(tokens)
-    both = [counts[0][y] + counts[1][y] for y in (0, 1)]
+        counts[k % cfg.folds][y].update(tokens)
+    both = [sum((c[y] for c in counts), Counter()) for y in (0, 1)]
     model = ToxicModel(log_odds(both[1], both[0], cfg), 1.0, 0.0, 1.0, 0.0, cfg)
-    halves = [ToxicModel(log_odds(counts[h][1], counts[h][0], cfg), 1.0, 0.0, 1.0, 0.0, cfg) for h in (1, 0)]
-    memos: list[dict[str, float]] = [{}, {}]
-    scored = [(y, halves[k % 2]._scores(t, memos[k % 2])) for k, (y, t) in enumerate(rows) if t]
+    others = [ToxicModel(log_odds(both[1] - c[1], both[0] - c[0], cfg), 1.0, 0.0, 1.0, 0.0, cfg) for c in counts]
+    memos: list[dict[str, float]] = [{} for _ in counts]
+    scored = [(y, others[k % cfg.folds]._scores(t, memos[k % cfg.folds])) for k, (y, t) in enumerate(rows) if t]
     null = np.concatenate([np.array(s) for y, s in scored if not y] or [np.array([-cfg.cost])])
     lo, hi = 1e-3, 8.0  # lambda: the mean of exp(lambda * score) over clean tokens is 1
     for _ in range(50):
@@ -174,49 +176,59 @@ def fit(rows: list[tuple[int, list[str]]], cfg: ToxicConfig = ToxicConfig()) ->
     if best:
         n, m = np.array(best).T
         model.log_k = float((model.lam * m - n).mean() - 0.5772156649)
-    for h in halves:
-        h.lam, h.log_k = model.lam, model.log_k
     x = np.log1p([sum(-np.log(max(e, 1e-30)) for *_, e in model._significant(s)) for _, s in scored])
     model.slope, model.bias = _logistic(x, np.array([y for y, _ in scored], float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Newton steps for one feature with a small ridge on the slope."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Platt scaling: logistic regression on one feature. Targets are drawn in by one row of each class, so that separable data
+    have an optimum too; Newton steps are halved until the loss falls, so that they can't run away from it."""
     w = np.zeros(2)
+    if not len(x):
+        return 0.0, 0.0
     z = np.column_stack([x, np.ones(len(x))])
-    for _ in range(rounds if len(x) else 0):
-        p = 1 / (1 + np.exp(-z @ w))
-        g = z.T @ (p - y) + np.array([0.02, 0.01]) * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.02, 0.01])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    ridge = np.array([0.01, 0.01])
+
+    def loss(v: np.ndarray) -> float:
+        m = z @ v
+        return float((np.logaddexp(0, m) - t * m).sum() + (ridge * v * v).sum() / 2)
+
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - t) + ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        new = loss(w - size * step)
+        if size <= 1e-6 or now - new < 1e-10 * (1 + now):
             break
+        w, now = w - size * step, new
     return float(w[0]), float(w[1])
 
 
-def fit_table(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
-    """Fit on a bounded sample of labelled rows, of each class those whose hashed id comes first, cfg.fit_rows at most."""
-    base = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
-    n = {r["y"]: r["n"] for r in base.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1_000_000))
-    bound = F.when(F.col("y") == 1, int(min(1.0, 1.1 * cfg.fit_rows / max(1, n.get(1, 1))) * 1_000_000)).otherwise(int(min(1.0, 1.1 * cfg.fit_rows / max(1, n.get(0, 1))) * 1_000_000))
+def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cfg: ToxicConfig = ToxicConfig()) -> ToxicModel:
+    """Fit on a bounded sample: of each class the labels whose hashed id comes first, cfg.fit_rows at most, and of their texts, in
+    that order, as many as hold cfg.fit_tokens tokens (the first one always). The sample is drawn from ids; texts are never shuffled by it."""
+    sample = first_labelled(docs, labels, id_col, label_col, (0, 1), cfg.fit_rows, cfg.seed)
+    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).where("text is not null")
 
     def rows(ids, texts, ys, places):
         for i, t, y, p in zip(ids, texts, ys, places, strict=True):
-            yield i, y, p, " ".join(words(t))
+            tokens = words(t)
+            yield i, y, p, len(tokens), " ".join(tokens)
 
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("place", pa.int64()), ("tokens", pa.string())])
-    sample = arrow_map(base.withColumn("place", place.cast("long")).where(F.col("place") < bound), rows, "id long, y int, place long, tokens string", schema)
-    found = sorted((r["place"], r["id"] if r["id"] is not None else -1, r["y"], r["tokens"]) for r in sample.toLocalIterator())
-    seen: Counter = Counter()
-    rows_ = []
-    for _, _, y, tokens in found:
-        seen[y] += 1
-        if seen[y] <= cfg.fit_rows:
-            rows_.append((y, list(map(sys.intern, tokens.split()))))  # one object per word: the sample stays small
-    return fit(rows_, cfg)
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("tokens", pa.string())])
+    joined = texts.join(F.broadcast(sample), "id").select("id", "text", "y", "place")  # at most 2 * cfg.fit_rows ids
+    found = arrow_map(joined, rows, "id long, y int, place long, n long, tokens string", schema)
+    order = Window.partitionBy("y").orderBy("place", "id", "tokens")
+    # A repeated id may bring more texts than ids: the bound holds for rows too.
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.fit_rows)
+    found = found.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rank") == 1) | (F.col("total") <= cfg.fit_tokens))
+    rows_ = sorted((r["place"], r["y"], r["tokens"]) for r in found.select("place", "y", "tokens").toLocalIterator())
+    return fit([(y, list(map(sys.intern, t.split()))) for _, y, t in rows_], cfg)  # one object per word: the sample stays small
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +244,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             yield i, *shared.value.score(t, memo)
 
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("n_passages", pa.int64()), ("evidence", pa.float64())])
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, score double, n_passages long, evidence double", schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col)), rows, "id long, score double, n_passages long, evidence double", schema).withColumnRenamed("id", id_col)
 
 
 def passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +258,7 @@ def passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_co
                 yield i, *span
 
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, start long, end long, score double, expected double", schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col)), rows, "id long, start long, end long, score double, expected double", schema).withColumnRenamed("id", id_col)
 
 
 def score_column(model: ToxicModel, text: Column, spark: SparkSession) -> Column:
