@@ -2,7 +2,8 @@
 
 Texts become TF-IDF vectors of hashed character 1- to 3-grams; a bounded sample of labelled rows of each language is
 clustered (spherical k-means) into several centroids. A text gets the language of the centroid with the largest cosine,
-and is rejected if that cosine is far under the least one that the sample showed for texts of such a length.
+and is rejected if that cosine is under the language's threshold for texts of such a length: a share of a low quantile of
+the cosines that texts of the sample, and cuts of them, reach at centroids fitted without them.
 """
 
 from __future__ import annotations
@@ -12,28 +13,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map
+from corpusloom.llm.shared import arrow_map, drop, hashed_place, materialize, name
 
 
 @dataclass(frozen=True)
 class LangConfig:
-    """fit_rows: labelled rows per language that the model is fitted on, at most, of at most fit_chars characters each.
-    clusters: centroids per language. dims: hashed n-gram dimensions. scale: of cosines in the score's softmax.
-    slack: share of the sample's least cosine under which a text is rejected, from ``sure`` letters on; shorter texts
-    say too little and are only rejected under ``floor``."""
+    """fit_rows: labelled rows per language that the model is fitted on, at most. clusters: centroids per language.
+    dims: hashed n-gram dimensions. scale: of cosines in the score's softmax. low, slack: quantile of the held-out cosines and the
+    share of it under which a text is rejected. cuts: texts of a language that are cut for thresholds of short texts.
+    few: cosines that a length class needs for a threshold of its own."""
 
     fit_rows: int = 300
-    fit_chars: int = 20_000
     clusters: int = 4
     dims: int = 16384
     scale: float = 25.0
     rounds: int = 8
-    slack: float = 0.4
-    sure: int = 64
-    floor: float = 0.02
+    low: float = 0.01
+    slack: float = 0.75
+    cuts: int = 100
+    few: int = 50
     seed: int = 5
 
 
@@ -67,12 +68,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LangModel:
-    """langs: learned values, one per centroid; idf, centroids: as fitted; least: rejection cosines per length class."""
+    """langs: learned values, one per centroid; idf, centroids: as fitted; least: rejection cosines per language and length class."""
 
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray
-    least: np.ndarray
+    least: dict[str, np.ndarray]
     cfg: LangConfig
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
@@ -87,10 +88,10 @@ class LangModel:
         lang = min(best, key=lambda k: (-best[k], k))
         odds = sum(np.exp(self.cfg.scale * (x - best[lang])) for x in best.values())
         near = best[lang]
-        return lang, float(1 / odds), near, bool(near <= 0 or near < self.least[np.searchsorted(LENGTHS, n)])
+        return lang, float(1 / odds), near, bool(near <= 0 or near < self.least[lang][np.searchsorted(LENGTHS, n)])
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Spherical k-means, started from the mean and rows far from what is there."""
     centers = [_unit(x.mean(axis=0))]
     near = x @ centers[0]
@@ -104,44 +105,96 @@ def _cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
     return c
 
 
+def _weigh(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return _unit(raw * idf).astype(np.float32)
+
+
+def _cut(text: str, n: int, rng: np.random.Generator) -> str:
+    """A random run of n letters of a text, with what stands between them."""
+    at = [k for k, c in enumerate(text) if c.isalpha()]
+    first = int(rng.integers(0, len(at) - n + 1))
+    return text[at[first] : at[first + n - 1] + 1]
+
+
+def fit_language(texts: list[str], idf: np.ndarray, cfg: LangConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, least cosine per length class) of one language from its sampled texts.
+
+    Each half of the sample, and cuts of its texts at every length class, is compared with centroids of the other half. A length class
+    with fewer than cfg.few of them takes the next shorter one's threshold: longer texts are mostly nearer.
+    """
+    texts = sorted(texts)
+    x, rng = _weigh(np.array([counts(t, cfg.dims) for t in texts]), idf), np.random.default_rng(cfg.seed)
+    centroids = _cluster(x, cfg.clusters, cfg.rounds)
+    found: list[list[float]] = [[] for _ in range(len(LENGTHS) + 1)]
+    for h in (0, 1) if len(texts) > 1 else ():
+        other = _cluster(x[1 - h :: 2], cfg.clusters, cfg.rounds)
+        for t, v in zip(texts[h::2], x[h::2], strict=True):
+            found[int(np.searchsorted(LENGTHS, letters(t)))].append(float((other @ v).max()))
+        for t in texts[h::2][: cfg.cuts // 2]:
+            n = letters(t)
+            for k, bound in enumerate(LENGTHS):
+                if bound < n:
+                    found[k].append(float((other @ _weigh(counts(_cut(t, LENGTHS[k - 1] + 1 if k else 1, rng), cfg.dims), idf)).max()))
+    least, last = np.zeros(len(found)), 0.0
+    for k, cosines in enumerate(found):
+        last = least[k] = cfg.slack * float(np.quantile(cosines, cfg.low)) if len(cosines) >= cfg.few else last
+    return centroids.astype(np.float32), least
+
+
 def fit(rows: list[tuple[str, str]], cfg: LangConfig = LangConfig()) -> LangModel:
     """Fit on (lang, text) rows, in any order; texts without letters are ignored."""
-    rows = sorted((lang, text) for lang, text in rows if letters(text))
-    raw = np.array([counts(t, cfg.dims) for _, t in rows], np.float32).reshape(len(rows), cfg.dims)
-    idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
-    raw *= idf
-    raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(cfg.seed)
-    labels, langs, centroids = np.array([lang for lang, _ in rows]), [], []
-    least = np.full(len(LENGTHS) + 1, np.inf)
-    sizes = np.searchsorted(LENGTHS, [letters(t) for _, t in rows])
-    for lang in sorted(set(labels.tolist())):
-        own = raw[labels == lang]
-        c = _cluster(own, cfg.clusters, cfg.rounds, rng)
-        langs += [lang] * len(c)
-        centroids.append(c)
-        np.minimum.at(least, sizes[labels == lang], (own @ c.T).max(axis=1))
-    least = np.where(np.isfinite(least) & (np.array([*LENGTHS, np.inf]) > cfg.sure), least * cfg.slack, cfg.floor)
-    return LangModel(langs, idf, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, cfg.dims), np.float32), least, cfg)
+    by: dict[str, list[str]] = {}
+    for lang, text in rows:
+        if letters(text):
+            by.setdefault(lang, []).append(text)
+    df = sum(((counts(t, cfg.dims) > 0).astype(np.int64) for texts in by.values() for t in texts), np.zeros(cfg.dims, np.int64))
+    idf = inverse_frequency(df, sum(map(len, by.values())))
+    return assemble({lang: fit_language(texts, idf, cfg) for lang, texts in by.items()}, idf, cfg)
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)).astype(np.float32) + 1
+
+
+def assemble(parts: dict[str, tuple[np.ndarray, np.ndarray]], idf: np.ndarray, cfg: LangConfig) -> LangModel:
+    langs = [lang for lang in sorted(parts) for _ in parts[lang][0]]
+    return LangModel(langs, idf, np.concatenate([parts[lang][0] for lang in sorted(parts)]) if parts else np.zeros((0, cfg.dims), np.float32), {lang: x for lang, (_, x) in parts.items()}, cfg)
 
 
 def fit_table(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cfg: LangConfig = LangConfig()) -> LangModel:
-    """Fit on a bounded sample of labelled rows: of each language those whose hashed id comes first, cfg.fit_rows at most."""
-    base = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(F.length("text") <= cfg.fit_chars)
-    share = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1_000_000))
-    picked = []
-    for lang, n in sorted(share.items()):
-        picked.append((F.col("lang") == lang) & (place < int(min(1.0, 1.2 * cfg.fit_rows / n) * 1_000_000)))
-    if not picked:
+    """Fit on a bounded sample of labelled rows: of each language those whose hashed id comes first, cfg.fit_rows at most.
+
+    Rows are bounded, texts are taken whole. Languages are fitted in tasks of their own; the driver sees document frequencies
+    and centroids, a few vectors per language.
+    """
+    base = labelled.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text"), name(lang_col).alias("lang")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per class of the model
+    if not sizes:
         return fit([], cfg)
-    wanted = picked[0]
-    for p in picked[1:]:
-        wanted = wanted | p
-    found: dict[str, list] = {}
-    for r in base.where(wanted).withColumn("place", place).collect():  # about 1.2 * fit_rows of each language
-        found.setdefault(r["lang"], []).append((r["place"], r["id"] if r["id"] is not None else -1, r["text"]))
-    return fit([(lang, t) for lang, rows in found.items() for _, _, t in sorted(rows)[: cfg.fit_rows]], cfg)
+    # Shares of the hash's range first, so that few rows are ranked; 2 ** 63 places tell any number of rows apart.
+    bound = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(2**63 - 1, int(2**63 * 2 * cfg.fit_rows / n))))])[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy("place", "id", "text")
+    picked = base.withColumn("place", hashed_place("id", cfg.seed)).where(F.col("place") <= bound).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.fit_rows)
+    picked = materialize(picked.select("lang", "text"), "language-sample")
+
+    def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = np.zeros(cfg.dims, np.int64)
+        for t in pdf["text"]:
+            df += counts(t, cfg.dims) > 0
+        return pd.DataFrame({"n": [len(pdf)], "df": [df.tobytes()]})
+
+    df, total = np.zeros(cfg.dims, np.int64), 0
+    for r in picked.groupBy("lang").applyInPandas(frequencies, "n long, df binary").toLocalIterator():
+        df, total = df + np.frombuffer(r["df"], np.int64), total + r["n"]
+    idf = inverse_frequency(df, total)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c, least = fit_language(pdf["text"].tolist(), idf, cfg)
+        return pd.DataFrame({"lang": [key[0]], "c": [c.tobytes()], "least": [least.tobytes()]})
+
+    parts = {r["lang"]: (np.frombuffer(r["c"], np.float32).reshape(-1, cfg.dims), np.frombuffer(r["least"], np.float64)) for r in picked.groupBy("lang").applyInPandas(one, "lang string, c binary, least binary").toLocalIterator()}
+    drop(picked)
+    return assemble(parts, idf, cfg)
 
 
 def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +210,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
             yield i, *m.predict(t)
 
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cosine", pa.float64()), ("rejected", pa.bool_())])
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, lang_pred string, score double, cosine double, rejected boolean", schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col)), rows, "id long, lang_pred string, score double, cosine double, rejected boolean", schema).withColumnRenamed("id", id_col)
 
 
 def accepted(model: LangModel, text: Column, spark: SparkSession) -> Column:
