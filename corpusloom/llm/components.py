@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize
+from corpusloom.llm.shared import drop, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(max_rounds):
-        links = materialize(_small_star(_large_star(links)), "stars")
+        before, links = links, materialize(_small_star(_large_star(links)), "stars")
+        drop(before)
         two = links.groupBy("a").count().where("count > 1").limit(1)
         deep = links.join(links.select(F.col("a").alias("b")), "b", "left_semi").limit(1)
         if two.select("a").unionByName(deep.select("a")).isEmpty():

@@ -27,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import arrow_map, materialize
+from corpusloom.llm.shared import arrow_map, drop, materialize, name, spread_join
 
 
 @dataclass(frozen=True)
 class MinHashConfig:
     """shingle: words of a shingle. Links need intersection * 100 >= percent * union. bands x rows: signature.
     more: further hashes, made only for texts that share a bucket. batch: hashes compared at each look. miss: posterior probability under which a pair is dropped.
-    pair_limit: bucket size up to which all pairs are candidates. block: classes in a block of a larger bucket."""
+    pair_limit: bucket size up to which all pairs are candidates. block: classes in a block of a larger bucket.
+    hot: rows of a class from which on it is looked up in a broadcast table."""
 
     shingle: int = 5
     percent: int = 80
@@ -45,6 +46,7 @@ class MinHashConfig:
     miss: float = 1e-5
     pair_limit: int = 24
     block: int = 256
+    hot: int = 20_000
     seed: int = 7
 
     @property
@@ -148,19 +150,19 @@ def plausible(left: np.ndarray, right: np.ndarray, cfg: MinHashConfig) -> np.nda
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
-    """(id, n, class_key, sig, keys) of every row; class_key is a 128-bit digest of the whole set, null if it is empty."""
+    """(id, n, class_key, sig, keys, text_key) of every row; text_key is Spark's xxhash64 of the text, class_key is a 128-bit digest of the whole set, null if it is empty."""
 
-    def rows(ids, texts):
-        for i, text in zip(ids, texts, strict=True):
+    def rows(ids, texts, text_keys):
+        for i, text, t in zip(ids, texts, text_keys, strict=True):
             s = shingle_set(text, cfg.shingle)
             if not len(s):
-                yield i, 0, None, None, None
+                yield i, 0, None, None, None, t
                 continue
             sig = signature(s, cfg.hashes, cfg.seed)
-            yield i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint8).tobytes(), band_keys(sig, cfg.bands).tolist()
+            yield i, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint8).tobytes(), band_keys(sig, cfg.bands).tolist(), t
 
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class_key", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, n long, class_key binary, sig binary, keys array<long>", schema)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("class_key", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("text_key", pa.int64())])
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col), F.xxhash64(name(text_col))), rows, "id long, n long, class_key binary, sig binary, keys array<long>, text_key long", schema)
 
 
 def _size_ok(a: str, b: str, percent: int) -> Column:
@@ -169,7 +171,7 @@ def _size_ok(a: str, b: str, percent: int) -> Column:
 
 def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig, hashes: int) -> DataFrame:
     """Candidate pairs (a, b) that pass the sequential comparison of their signatures ``sigs(rep, sig)``."""
-    joined = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    joined = spread_join(pairs, sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -185,7 +187,7 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig, hashes: in
 def _bags(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
     """(rep, bag, sig): full sets and cfg.more further hashes of the texts of ``reps(rep)``, in one pass over the texts."""
     wanted = materialize(reps.select(F.col("rep").alias("id")).distinct(), "wanted")  # its size is known, so that Spark can broadcast a small one
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).join(wanted, "id", "left_semi")
 
     def sets(ids, texts):
         for i, text in zip(ids, texts, strict=True):
@@ -197,7 +199,7 @@ def _bags(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Min
 
 def _confirmed(pairs: DataFrame, bags: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
-    joined = pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
+    joined = spread_join(pairs, bags.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(a, b, x, y):
         for i, j, left, right in zip(a, b, x, y, strict=True):
@@ -219,8 +221,12 @@ def _block_survivors(hot: DataFrame, sigs: DataFrame, keys: DataFrame, cfg: MinH
     step = 100 / cfg.percent
     dealt = hot.select("key", "rep", "n", "comp", (F.col("comp") == F.col("home")).alias("at_home"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))).alias("cls"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("cnt") / F.lit(cfg.block))).alias("slot")).join(sigs.select("rep", "sig"), "rep").join(keys.select("rep", "keys"), "rep")
     blocks = materialize(dealt.groupBy("key", "at_home", "cls", "slot").agg(F.collect_list(F.struct("rep", "n", "comp", "sig", "keys")).alias("m")), "blocks")
-    left, right = (blocks.select("key", F.col("at_home").alias(f"h{s}"), F.col("cls").alias(f"c{s}"), F.col("slot").alias(f"s{s}"), F.col("m").alias(f"m{s}")) for s in "ab")
-    met = left.join(right, "key").where("not (ha and hb) and abs(ca - cb) <= 1 and struct(ha, ca, sa) <= struct(hb, cb, sb)").select("key", "ma", "mb")
+    left, right = (blocks.select("key", F.col("at_home").alias(f"h{s}"), F.col("cls").alias(f"c{s}"), F.col("slot").alias(f"s{s}")) for s in "ab")
+    # Pairs of blocks are made from their names; each block's members then go to its own pairs, so that a hot bucket is many tasks' work.
+    met = left.join(right, "key").where("not (ha and hb) and abs(ca - cb) <= 1 and struct(ha, ca, sa) <= struct(hb, cb, sb)")
+    for s in "ab":
+        met = met.join(blocks.select("key", F.col("at_home").alias(f"h{s}"), F.col("cls").alias(f"c{s}"), F.col("slot").alias(f"s{s}"), F.col("m").alias(f"m{s}")), ["key", f"h{s}", f"c{s}", f"s{s}"])
+    met = met.select("key", "ma", "mb")
 
     def rows(shared, left, right):
         for key, x, y in zip(shared, left, right, strict=True):
@@ -239,16 +245,17 @@ def _block_survivors(hot: DataFrame, sigs: DataFrame, keys: DataFrame, cfg: MinH
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """One row per row of ``docs``: (id, n_shingles, class_id, component_id, kept).
+    """One row per row of ``docs``: (id, n_shingles, class_id, component_id, kept, text_key), text_key being Spark's xxhash64 of the text.
 
     class_id: smallest id with the same shingle set; component_id: smallest id reached over links; kept: id is its
-    component's. Null or empty texts, and texts of white space, have n_shingles 0 and stay alone. A null id is never linked and is
-    kept. Repeated rows fall into one class. Other columns, of whatever name, are ignored. An empty table gives no rows.
+    component's. Null or empty texts, and texts of white space, have n_shingles 0 and stay alone. A row with a null id takes the component of
+    its text, if others have it too, but links nothing, and is kept. Repeated rows fall into one class. Other columns, of whatever name, are ignored. An empty table gives no rows.
     """
     every = materialize(shingled(docs, id_col, text_col, cfg), "shingled")
     classes = every.where("class_key is not null and id is not null").groupBy("class_key").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
-    reps = materialize(every.join(classes, "class_key").where("id = rep").select("rep", "n", "sig", "keys").dropDuplicates(["rep"]), "reps")
+    # Joined by class and id, so that a class of a third of all rows is spread over its ids.
+    reps = materialize(every.join(classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"]).select(F.col("id").alias("rep"), "n", "sig", "keys").dropDuplicates(["rep"]), "reps")
     sigs = reps.select("rep", "sig")
 
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
@@ -256,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(rows.join(buckets, "key").select("key", "rep", "n", "cnt", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
 
     stars = shared.where((F.col("rep") > F.col("pivot")) & _size_ok("n", "pivot_n", cfg.percent)).groupBy("rep", "pivot").agg(F.count("*").alias("bands"))
-    best = stars.groupBy("rep").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("first"))).alias("m")).select((-F.col("m.first")).alias("a"), F.col("rep").alias("b"))
+    best = materialize(stars.groupBy("rep").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("first"))).alias("m")).select((-F.col("m.first")).alias("a"), F.col("rep").alias("b")), "best")
     bags = _bags(shared, docs, id_col, text_col, cfg)
     links = materialize(_confirmed(materialize(_survivors(best, sigs, cfg, cfg.hashes), "survivors"), bags, cfg), "confirmed")
     found = materialize(components(links), "components")
@@ -269,14 +276,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = rest.where(F.col("cnt") <= cfg.pair_limit)
     other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"))
     pairs = small.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_ok("n", "nb", cfg.percent)).select(F.col("rep").alias("a"), "b").distinct()
-    more = _survivors(materialize(_survivors(pairs, sigs, cfg, cfg.hashes), "survivors"), bags, cfg, cfg.more)
+    some = materialize(_survivors(materialize(pairs, "pairs"), sigs, cfg, cfg.hashes), "survivors")
+    more = _survivors(some, bags, cfg, cfg.more)
     hot = rest.where(F.col("cnt") > cfg.pair_limit)
     if not hot.isEmpty():
         more = more.unionByName(_block_survivors(hot, bags, reps, cfg)).distinct()
     more = materialize(_confirmed(materialize(more, "likely"), bags, cfg), "confirmed")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
-
-    known = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class_key", "rep", F.coalesce("component", "rep").alias("component"))
-    out = every.select("id", "n", "class_key").join(known, "class_key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+    drop(reps, shared, best, bags, links, label, rest, some, more)
+
+    known = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class_key", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    # Large classes, of which n rows have n / cfg.hot at most, are looked up in place; their rows, and those without words, are joined to nothing.
+    large = F.broadcast(known.where(F.col("members") > cfg.hot).select("class_key", F.col("rep").alias("large_rep"), F.col("component").alias("large_component")))
+    small = known.where(F.col("members") <= cfg.hot).select(F.col("class_key").alias("small_key"), "rep", "component")
+    out = every.select("id", "n", "class_key", "text_key").join(large, "class_key", "left")
+    out = out.withColumn("small_key", F.when(F.col("large_rep").isNotNull() | F.col("class_key").isNull(), F.concat(F.lit(b"\0"), F.coalesce("id", F.lit(0)).cast("string").cast("binary"))).otherwise(F.col("class_key"))).join(small, "small_key", "left")
+    rep, component = F.coalesce("large_rep", "rep", "id"), F.coalesce("large_component", "component", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), rep.alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "text_key")
