@@ -1,9 +1,10 @@
 """WARC archives: one gzip member per record, written through Spark's own sink and read sequentially.
 
-Writing: records become complete gzip members inside tasks; Spark's text sink writes them, so any file system that
-Spark knows will do, and its commit protocol covers lost executors. The sink ends every row with one separator byte; as the last
-byte of a gzip member is the top byte of its length, 0 for records under 16 MiB, the separator is NUL and the row is the
-member without that byte. Larger records keep theirs, and the NUL is padding, which gzip readers skip.
+Writing: records become complete gzip members inside tasks; Spark's text sink writes them, a row of up to some megabytes of
+members a file, so any file system that Spark knows will do, and its commit protocol covers lost executors. The sink ends
+every row with one separator byte; as the last byte of a gzip member is the top byte of its length, 0 for records
+under 16 MiB, the separator is NUL and the row is its members without the last byte. Where that byte isn't 0 it stays, and
+the NUL is padding, which gzip readers skip.
 
 Reading: a file's bytes are inflated piece by piece; a member is one record, framed by its Content-Length, and its
 block and payload digests are verified.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map, new_path
+from corpusloom.llm.shared import materialize, name, new_path
 
 DATE = "1970-01-01T00:00:00Z"
 
@@ -104,25 +105,46 @@ def read_record(data: bytes) -> tuple[int | None, str, int, str, str, int | None
     return _page(fields["warc-record-id"]), fields["warc-target-uri"], size, told.hex(), fields["warc-type"], _page(fields["warc-refers-to"]) if revisit else None, None if revisit else payload
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, hot: int = 20_000) -> DataFrame:
     """(id, url, payload, digest, response_id): response_id is the largest id among equal payloads of at least
-    ``least_bytes`` bytes that occur more than once, else null. Only digests are grouped; a hot payload's rows stay where they are."""
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("digest", F.unhex(F.sha1("payload")))
-    shared = base.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("n")).where("n > 1").select("digest", "response_id")
-    return base.join(shared, "digest", "left").select("id", "url", "payload", "digest", "response_id")
-
+    ``least_bytes`` bytes that occur more than once, else null.
 
-def write_archives(records: DataFrame, path: str, max_records: int = 20_000) -> None:
-    """Write the rows of plan_records as archives of at most ``max_records`` records under ``path``."""
+    Only digests are grouped. Payloads of more than ``hot`` copies, of which a table of n rows has n / hot at most, are looked up in
+    a broadcast table, so that their rows stay where they are; the rest are joined by digest.
+    """
+    base = pages.select(name(id_col).cast("long").alias("id"), name(url_col).cast("string").alias("url"), F.coalesce(name(html_col).cast("binary"), F.lit(b"")).alias("payload"))
+    base = base.withColumn("digest", F.unhex(F.sha1("payload")))
+    shared = base.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "copies")
+    many = F.broadcast(shared.where(F.col("n") > hot).select("digest", F.col("last").alias("hot_last"), F.lit(True).alias("is_hot")))
+    few = shared.where(F.col("n") <= hot).select(F.col("digest").alias("few_digest"), F.col("last").alias("few_last"))
+    # A hot row looks for its own id's digest, which isn't there: it goes anywhere, not to one task.
+    key = F.when(F.col("is_hot"), F.concat(F.unhex(F.sha1(F.coalesce(F.col("id").cast("string"), F.lit("")))), F.lit(b"\0"))).otherwise(F.col("digest"))
+    joined = base.join(many, "digest", "left").withColumn("few_digest", key).join(few, "few_digest", "left")
+    return joined.select("id", "url", "payload", "digest", F.coalesce("hot_last", "few_last").alias("response_id"))
+
+
+def write_archives(records: DataFrame, path: str, max_bytes: int = 16 << 20) -> None:
+    """Write the rows of plan_records as archives under ``path``. An archive is closed once it holds ``max_bytes`` bytes, so that no
+    reader's memory depends on more than that and one record; every archive is one row of Spark's sink."""
+    def run(batches):
+        members, held = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for i, u, p, d, r in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    members.append(member(record(i, u, p, d, r, r is not None and r != i)))
+                    held += len(members[-1])
+                    if held >= max_bytes:
+                        yield _row(members)
+                        members, held = [], 0
+        if members:
+            yield _row(members)
 
-    def rows(ids, urls, payloads, digests, responses):
-        for i, u, p, d, r in zip(ids, urls, payloads, digests, responses, strict=True):
-            m = member(record(i, u, p, d, r, r is not None and r != i))
-            yield ((m[:-1] if m[-1] == 0 else m),)
+    def _row(members):
+        data = b"".join(members)
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1] if data[-1] == 0 else data], pa.binary())], names=["archive"])
 
-    made = arrow_map(records, rows, "member binary", pa.schema([("member", pa.binary())]), chunk=64)
-    made.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", max_records).text(path)
+    records.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -147,7 +169,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write every page as a record, then read the archives back; one row per page.
+    """Write every page as a record, then read the archives back; one row per page. Other columns are ignored.
 
     Null html is an empty payload. Rows that repeat the largest page_id of a payload are responses too. A null page_id revisits like any other,
     and is never a response that others refer to unless all are null, when all are responses. An empty table gives no rows.
