@@ -21,9 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map
+from corpusloom.llm.shared import arrow_map, name
 
 GROUP = 192  # payload bytes of one group of three blocks
 
@@ -217,29 +216,46 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg:
             yield i, n, encode_avi(payload, cfg)
 
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), rows, "id long, n_bytes long, media binary", schema, chunk=64).withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col)), rows, "id long, n_bytes long, media binary", schema, chunk=64).withColumnRenamed("id", id_col)
+
+
+def _read(file: bytes | None, cfg: AviConfig) -> tuple[bytes | None, list, str | None]:
+    """(payload, clips, error): a null file has neither; a damaged one is reported instead of ending the job."""
+    if file is None:
+        return None, [], None
+    try:
+        return *clips_of(file, cfg), None
+    except (ValueError, IndexError, struct.error) as e:
+        return None, [], f"{type(e).__name__}: {e}"
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", cfg: AviConfig = AviConfig()) -> DataFrame:
-    """Timed clip rows (id, clip, first_frame, end_frame, start_s, end_s) of a media column; null media give none."""
+    """Timed clip rows (id, clip, first_frame, end_frame, start_s, end_s, error) of a media column; null media give none, a
+    damaged file gives one row with nothing but its id and the error."""
 
     def rows(ids, files):
         for i, f in zip(ids, files, strict=True):
-            for k, c in enumerate(clips_of(f, cfg)[1] if f is not None else []):
-                yield i, k, *c
+            _, found, error = _read(f, cfg)
+            for k, c in enumerate(found):
+                yield i, k, *c, None
+            if error:
+                yield i, None, None, None, None, None, error
 
-    schema = pa.schema([("id", pa.int64()), ("clip", pa.int64()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
-    return arrow_map(media.select(id_col, media_col), rows, "id long, clip long, first_frame long, end_frame long, start_s double, end_s double", schema, chunk=64).withColumnRenamed("id", id_col)
+    schema = pa.schema([("id", pa.int64()), ("clip", pa.int64()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("error", pa.string())])
+    return arrow_map(media.select(name(id_col).cast("long"), name(media_col)), rows, "id long, clip long, first_frame long, end_frame long, start_s double, end_s double, error string", schema, chunk=64).withColumnRenamed("id", id_col)
 
 
 def digests(media: DataFrame, id_col: str = "doc_id", cfg: AviConfig = AviConfig()) -> DataFrame:
-    """Read ``media(id, n_bytes, media)`` back: sizes and digests of payload and file, and the clips as 'start-end' seconds joined by '|'."""
+    """Read ``media(id, n_bytes, media)`` back: sizes and digests of payload and file, the clips as 'start-end' seconds joined by '|', and an
+    error, null for a sound file. Null media have nulls; a damaged file keeps its own size and digest. Other columns are ignored."""
 
     def rows(ids, sizes, files):
         for i, n, f in zip(ids, sizes, files, strict=True):
-            payload, found = clips_of(f, cfg)
-            yield i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), "|".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in found)
-
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    kind = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return arrow_map(media.select(id_col, "n_bytes", "media"), rows, kind, schema, chunk=64).withColumnRenamed("id", id_col)
+            payload, found, error = _read(f, cfg)
+            of_payload = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) if payload is not None else (None, None, None)
+            of_file = (len(f), hashlib.sha256(f).hexdigest()) if f is not None else (None, None)
+            yield i, n, *of_payload, *of_file, "|".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in found) if payload is not None else None, error
+
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
+    kind = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return arrow_map(media.select(name(id_col).cast("long"), "n_bytes", "media"), rows, kind, schema, chunk=64).withColumnRenamed("id", id_col)

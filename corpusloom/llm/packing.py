@@ -7,6 +7,7 @@ its own. The group count follows the number of rows, so a group stays small at a
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import arrow_map
+from corpusloom.llm.shared import arrow_map, ddl, name
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,9 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
+#: How a vocabulary file must normalise and split for its texts to be merged piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Characters for which normalising is lower-casing alone, and how the vocabulary's pattern splits them when lower-cased.
 PLAIN = re.compile(r"[\t-\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
@@ -94,7 +98,7 @@ class WordTokenizer:
 
     The vocabulary drops white space, so that pieces of a plain text (ASCII but the apostrophe, and Latin-1 letters) are merged by
     the library's model one by one and remembered. Other texts are cut at ASCII white space, and words that aren't
-    plain go through the library whole.
+    plain go through the library whole. With a file that normalises or splits in another way, all texts do.
     """
 
     def __init__(self, path: str, remember: int = 300_000):
@@ -102,6 +106,8 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        spec = json.loads(self.whole.to_str())
+        self.piecewise = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and not spec["model"]["dropout"]
         self.model, self.remember = self.whole.model, remember
         self.known: dict[str, list[int]] = {}
 
@@ -120,6 +126,8 @@ class WordTokenizer:
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
+        if not self.piecewise:
+            return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, np.uint32)
         out: list[int] = []
         known, piece = self.known, self._piece
         for part in [text or ""] if PLAIN.fullmatch(text or "") else SPACE.split(text):
@@ -149,25 +157,30 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     last, kind = ("ids_crc32 long", ("ids_crc32", pa.int64())) if digest else ("ids array<int>", ("ids", pa.list_(pa.int32())))
     schema = pa.schema([(id_col, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), kind])
-    return arrow_map(docs.selectExpr(f"cast({id_col} as bigint)", text_col), rows, f"{id_col} long, start long, length long, doc_tokens long, {last}", schema)
+    return arrow_map(docs.select(name(id_col).cast("long"), name(text_col)), rows, f"{ddl(id_col, 'long')}, start long, length long, doc_tokens long, {last}", schema)
 
 
 def pack(pieces: DataFrame, n_docs: int, id_col: str = "doc_id", cfg: PackConfig = PackConfig()) -> DataFrame:
     """Give each piece of ``pieces`` (with id, start and length of 1 to cfg.length) a sequence_id and an offset in it.
 
-    n_docs only sets the number of groups. Sequence ids are group * 2**32 + bin. All columns of ``pieces`` stay.
+    n_docs only sets the number of groups. Sequence ids are group * 2**32 + bin. All columns of ``pieces`` stay, but columns that are
+    called sequence_id or offset are replaced. Pieces are dealt by id, start and length, so that a repeated id is spread.
     Ties are packed in the order of (id, start), so a rerun gives the same rows; an empty table gives no rows.
     """
     groups = max(1, -(-n_docs // cfg.group_rows))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.col(id_col), F.lit(cfg.seed)), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    pieces = pieces.drop("sequence_id", "offset")
+    names, kinds = pieces.columns, [f.dataType.simpleString() for f in pieces.schema]
+    plain = [f"c{k}" for k in range(len(names))]  # whatever the columns are called
+    own, start, length = (plain[names.index(x)] for x in (id_col, "start", "length"))
+    dealt = pieces.toDF(*plain).withColumn("dealt", F.pmod(F.xxhash64(own, start, length, F.lit(cfg.seed)), F.lit(groups)))
+    schema = ", ".join(ddl(c, k) for c, k in zip(plain, kinds, strict=True)) + ", sequence_id long, offset long"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "start"], kind="stable").drop(columns="__group")
-        bins, offsets = first_fit_decreasing(pdf["length"].tolist(), cfg.length)
+        pdf = pdf.sort_values([own, start], kind="stable").drop(columns="dealt")
+        bins, offsets = first_fit_decreasing(pdf[length].tolist(), cfg.length)
         return pdf.assign(sequence_id=np.array(bins, np.int64) + int(key[0]) * 2**32, offset=np.array(offsets, np.int64))
 
-    return dealt.groupBy("__group").applyInPandas(one, schema)
+    return dealt.groupBy("dealt").applyInPandas(one, schema).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cfg: PackConfig = PackConfig(), digest: bool = False) -> DataFrame:
