@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -173,3 +174,64 @@ def test_main_text_edges(spark):
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert [got[k].text for k in (1, 2, 3, 4, None)] == ["", "", "", "A b\n\nc\n\nd", ""] and got[6].n_chars == 119_999
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_nested_articles_and_subject_words():
+    own = "Legal matters of the article are told in full here, at some length. " * 3
+    page = f"<body><article><h1>T</h1><div class='legal'><p>{own}</p></div><div class='alert'>Hey!</div><div><a href=a>a</a> <a href=b>b</a> <a href=c>c</a></div></article><section class='comments'><article class='comment'><p>Reader comment one.</p></article></section><aside><article><p>Related teaser.</p></article></aside></body>"
+    assert html_text.main_text(page) == f"T\n\n{own.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<a", "<a '>' ", "<!", '<p class="', "<!--", "<nav>", "<script>", "<p>x ", "</div>"])
+def test_scanning_is_linear(part):
+    began = time.monotonic()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.monotonic() - began < 20
+
+
+def test_passages_against_plain_loop():
+    rng = random.Random(5)
+    for _ in range(200):
+        lines = [html_text.Line("x" * rng.choice([0, 0, 0, 0, 3, 9]), 0, False) for _ in range(rng.randint(0, 25))]
+        want, start = [], None
+        for k in range(len(lines) + 1):
+            on = k < len(lines) and any(x.text for x in lines[max(0, k - 2) : k + 1])
+            if on and start is None:
+                start = k
+            elif not on and start is not None:
+                want.append((start, k, sum(len(x.text) for x in lines[start:k])))
+                start = None
+        assert html_text.passages(lines, 3) == want
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(3000).hex()) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_records(pages), str(tmp_path / "w"), max_bytes=50_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 60_000
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 200
+
+
+def test_hot_payload_keeps_its_links(spark):
+    pages = spark.createDataFrame([(i, "u", "h" * 2000 if i % 3 else f"{i}" * 2000) for i in range(60)] + [(90, "u", "0" * 2000)], "page_id long, url string, html string")
+    got = {r.id: r.response_id for r in warc.plan_records(pages, hot=10).collect()}
+    assert got == {i: 59 if i % 3 else 90 if i == 0 else None for i in range(60)} | {90: 90}
+
+
+def test_damaged_and_null_media(spark):
+    good = media_avi.encode_avi(b"a" * 192)
+    media = spark.createDataFrame([(1, 192, good), (2, 192, good[:80]), (3, 0, None), (4, 1, b"no")], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media_avi.digests(media).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 192 and got[3].error is None and got[3].payload_bytes is None
+    assert got[2].error and got[4].error and got[4].media_bytes == 2
+    assert {r.doc_id for r in media_avi.clips(media).collect() if r.error} == {2, 4}
+
+
+def test_clashing_and_odd_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 0, 0)], "`doc id.x` long, `the text` string, sequence_id int, __group int")
+    path = P.path("word_bpe_49k.json")
+    pieces = packing.tokenize_pieces(docs, path, "doc id.x", "the text").selectExpr("*", "0 as __group", "7 as offset")
+    assert [(r["doc id.x"], r.offset, r["__group"]) for r in packing.pack(pieces, 1, "doc id.x").collect()] == [(1, 0, 0)]
+    assert byte_bpe.round_trip(docs, RANKS, P.PATTERN, "doc id.x", "the text").count() == 1
+    assert html_text.extract(docs, "doc id.x", "the text", "the text").collect()[0]["text"] == "a b"

@@ -48,3 +48,35 @@ def test_footrule_against_definition():
         place = lambda o: [list(o).index(p) if p in o else 5 for p in range(12)]
         want = [sum(abs(a - b) for a, b in zip(place(q), place(r))) for r in rows]
         assert pi.footrule(q, rows, 12).tolist() == want
+
+
+def test_inverted_files_add_up_to_the_footrule():
+    rng = np.random.default_rng(3)
+    k, n_pivots = 6, 15
+    orders = np.array([rng.permutation(n_pivots)[:k] for _ in range(40)]).astype(np.int16)
+    flat = orders.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.searchsorted(flat[order], np.arange(n_pivots + 1))
+    for _ in range(10):
+        q = rng.permutation(n_pivots)[:k].astype(np.int16)
+        got = k * (k + 1) - pi.nearness(q, starts, order // k, (order % k).astype(np.int16), 40, k)
+        assert got.tolist() == pi.footrule(q, orders, n_pivots).tolist()
+
+
+def test_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.where("embedding is not null").collect()}
+    ids, x = list(rows), np.array(list(rows.values()))
+    want = brute(ids, x, [i for i in ids if i % 20 == 0][:40], 20)
+    got = {}
+    for r in pi.search(table, table.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[q] & {i for i, _ in v}) / 20 for q, v in want.items()]) >= 0.9
+
+
+def test_repeated_rows_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (3, [1.0]), (4, [0.0, 2.0])]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
+    got = pi.search(table, table.where("vec_id = 20"), 20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(4, 2.0), (1, 1.0), (1, 1.0)]
