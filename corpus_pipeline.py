@@ -1,5 +1,9 @@
 """The training-data pipeline: language, toxicity, near duplicates, packing.
 
+Null, empty and blank texts have no letter, so that the first stage drops them. A null id or source, language or size never
+matters. Rows that repeat an id and its text fare alike; of rows that repeat an id with other texts each has its own fate. Further
+columns are kept up to the last stage. Empty tables, and tables without labels, give empty or unfiltered results.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents, of the rows that they keep.
 """
@@ -8,6 +12,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, minhash, packing, registry, toxicity
 from corpusloom.llm.shared import materialize
@@ -26,9 +31,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity of 0.8 or more).
+
+    A row goes by its id and text together; rows with a null id stay.
+    """
     found = minhash.near_duplicates(docs, cfg=minhash.MinHashConfig(shingle=5, percent=80))
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), "text_key").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["text_key"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
