@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def position(df: DataFrame, keys: list[str], order: str, out: str, width: int = 65_536) -> DataFrame:
-    """1-based position of each row within its keys by a unique integer column.
+    """1-based position of each row within its keys by a unique integer column; rows without one come first.
 
     Rows are numbered inside (keys, order div width); the counts of earlier blocks are added from a small table, so a hot key is
     spread over its blocks instead of being sorted in one task.
@@ -17,7 +17,14 @@ def position(df: DataFrame, keys: list[str], order: str, out: str, width: int =
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*keys, "__block").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(order))
-    return cut.withColumn("__inside", inside).join(offsets, [*keys, "__block"]).withColumn(out, (F.col("__inside") + F.col("__before")).cast("long")).drop("__block", "__inside", "__before")
+    # Null keys and nulls of the order column are values like any other: the counts are joined null-safe.
+    named = [*keys, "__block"]
+    offsets = offsets.select(*(F.col(c).alias(f"__of_{c}") for c in named), "__before")
+    met = cut.withColumn("__inside", inside)
+    same = F.lit(True)
+    for c in named:
+        same = same & met[c].eqNullSafe(offsets[f"__of_{c}"])
+    return met.join(offsets, same).drop(*(f"__of_{c}" for c in named)).withColumn(out, (F.col("__inside") + F.col("__before")).cast("long")).drop("__block", "__inside", "__before")
 
 
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -21,11 +21,11 @@ def _hits(p: str) -> str:
 
 
 COUNTS = ", ".join(f"{' + '.join(_hits(p) for p in ps)} AS {k}, greatest({', '.join(f'{_hits(p)} * {len(p)}' for p in ps)}) AS l_{k}" for k, ps in RULES.items())
-UNITS = f", q AS (SELECT version_id, chunk_index, {NORM} AS n FROM kb_units WHERE chunk_index < 3), m AS (SELECT *, {COUNTS} FROM q)"
+UNITS = f", q AS (SELECT version_id, chunk_index, {NORM} AS n FROM kb_units), m AS (SELECT *, {COUNTS} FROM q)"
 
 
 def _queries(spark, d):
-    return C.units(spark, d).where("chunk_index < 3").select(F.struct("version_id", "chunk_index").alias("id"), T.normalize_phrase(F.col("content")).alias("n"))
+    return C.units(spark, d).select(F.struct("version_id", "chunk_index").alias("id"), T.normalize_phrase(F.col("content")).alias("n"))
 
 
 @query("c4_seed_intent", using("kb_units", UNITS + ", u AS (" + " UNION ALL ".join(f"SELECT version_id, chunk_index, '{k}' AS intent, {k} AS matches, l_{k} AS longest, {i} AS o FROM m" for i, k in enumerate(RULES)) + ") SELECT version_id, chunk_index, intent, matches FROM (SELECT *, row_number() OVER (PARTITION BY version_id, chunk_index ORDER BY matches DESC, longest DESC, o) AS r FROM u) WHERE r = 1 AND matches > 0"))
@@ -46,10 +46,10 @@ def _synonyms(spark, d):
     return n.unionByName(extra.withColumn("group_id", F.col("group_id").cast(n.schema["group_id"].dataType)))
 
 
-@query("c2_expand_query", using("kb_units", f", q AS (SELECT version_id, {NORM} AS n FROM kb_units WHERE chunk_index = 0), syn AS (SELECT n_regionkey AS group_id, lower(n_name) AS term FROM nation UNION ALL SELECT * FROM (VALUES (0, 'the'), (1, 'der'), (2, 'le'), (3, 'el'), (4, 'of the')))"
+@query("c2_expand_query", using("kb_units", f", q AS (SELECT version_id, {NORM} AS n FROM kb_units), syn AS (SELECT n_regionkey AS group_id, lower(n_name) AS term FROM nation UNION ALL SELECT * FROM (VALUES (0, 'the'), (1, 'der'), (2, 'le'), (3, 'el'), (4, 'of the')))"
     ", h AS (SELECT DISTINCT version_id, group_id, term AS held FROM q JOIN syn ON contains(' ' || n || ' ', ' ' || term || ' ')) SELECT version_id, string_agg(DISTINCT term, ',' ORDER BY term) AS expansions FROM h JOIN syn USING (group_id) WHERE term <> held GROUP BY 1"))
 def c2(spark, d):
-    q = C.units(spark, d).where("chunk_index = 0").select("version_id", T.normalize_phrase(F.col("content")).alias("n"))
+    q = C.units(spark, d).select("version_id", T.normalize_phrase(F.col("content")).alias("n"))
     return K.expand_query(q, "version_id", "n", _synonyms(spark, d)).select("version_id", F.array_join("expansions", ",").alias("expansions"))
 
 
@@ -174,10 +174,10 @@ def c26(spark, d):
     return hit.join(docs, "doc_id").join(b.select("item_id", "b"), "item_id").where(F.contains("text", F.col("b"))).select("doc_id", "item_id", F.expr("instr(text, b)").cast("long").alias("start_at"), F.length("b").cast("long").alias("n"))
 
 
-@query("c31_answer_pruning", using("kb_lines", ", s AS (SELECT version_id, list_filter(string_split(raw, '. '), lambda x: NOT contains(lower(x), 'the')) AS s FROM kb_lines WHERE chunk_index = 0) SELECT version_id, array_to_string(s, '. ') AS pruned FROM s"))
+@query("c31_answer_pruning", using("kb_lines", ", s AS (SELECT version_id, chunk_index, list_filter(string_split(raw, '. '), lambda x: NOT contains(lower(x), 'the')) AS s FROM kb_lines) SELECT version_id, chunk_index, array_to_string(s, '. ') AS pruned FROM s"))
 def c31(spark, d):
-    first = F.split("text", "\n")[0]
-    return C.table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), F.array_join(F.filter(F.split(first, r"\. "), lambda x: ~F.contains(F.lower(x), F.lit("the"))), ". ").alias("pruned"))
+    lines = C.table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "raw"))
+    return lines.select("version_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.filter(F.split("raw", r"\. "), lambda x: ~F.contains(F.lower(x), F.lit("the"))), ". ").alias("pruned"))
 
 
 @query("c32_metadata_signals", using("kb_units", "SELECT version_id, bool_or(contains(lower(content), 'licensed')) AS license_signal, bool_or(contains(content, '@')) AS contact_signal FROM kb_units GROUP BY 1"))

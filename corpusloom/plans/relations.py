@@ -36,10 +36,11 @@ def c25(spark, d):
     return R.consolidate(c24(spark, d), ["target"], "kind", "confidence", ["references", "related", "depends_on"])
 
 
-@query("j7_exact_relation_target", LINKS + ", t AS (SELECT lower(p_brand) AS title, p_partkey FROM part WHERE p_partkey % 7 = 0), u AS (SELECT title, any_value(p_partkey) AS target_id FROM t GROUP BY 1 HAVING count(*) = 1), e AS (SELECT p_partkey AS source_id, lower(p_brand) AS title FROM part) SELECT source_id, e.title, target_id FROM e JOIN u ON u.title = e.title WHERE target_id <> source_id")
+@query("j7_exact_relation_target", "WITH t AS (SELECT lower(c_name) AS title, c_custkey FROM customer), u AS (SELECT title, any_value(c_custkey) AS target_id FROM t GROUP BY 1 HAVING count(*) = 1), e AS (SELECT o_orderkey AS source_id, lower(c_name) AS title FROM orders JOIN customer ON o_custkey = c_custkey) SELECT source_id, e.title, target_id FROM e JOIN u ON u.title = e.title WHERE target_id <> source_id")
 def j7(spark, d):
-    part = C.table(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("title"))
-    return R.exact_targets(part.select(F.col("p_partkey").alias("source_id"), "title"), part.where("p_partkey % 7 = 0"), "title", "p_partkey", "source_id").select("source_id", "title", "target_id")
+    titles = C.table(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("title"))
+    named = C.table(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("c_custkey")).join(titles, "c_custkey").select("source_id", "title")
+    return R.exact_targets(named, titles, "title", "c_custkey", "source_id").select("source_id", "title", "target_id")
 
 
 EDGES = "edges AS (SELECT vec_id AS source_id, (vec_id * 7 + 3) % 500 AS target_id, CASE WHEN vec_id % 3 = 0 THEN 'unresolved' ELSE 'approved' END AS status FROM embeddings)"
@@ -80,9 +81,9 @@ def j10(spark, d):
     return u.where("chunk_index = 0").join(hits, "version_id", "left_semi").distinct()
 
 
-@query("j12_display_context", using("kb_units", "SELECT version_id, count(*) AS units, md5(string_agg(chunk_index || '=' || content, chr(10) ORDER BY chunk_index)) AS context_md5 FROM kb_units WHERE version_id % 4 = 0 GROUP BY 1"))
+@query("j12_display_context", using("kb_units", "SELECT version_id, count(*) AS units, md5(string_agg(chunk_index || '=' || content, chr(10) ORDER BY chunk_index)) AS context_md5 FROM kb_units GROUP BY 1"))
 def j12(spark, d):
-    g = C.units(spark, d).where("version_id % 4 = 0").groupBy("version_id").agg(F.count("*").alias("units"), F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("m"))
+    g = C.units(spark, d).groupBy("version_id").agg(F.count("*").alias("units"), F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("m"))
     return g.select("version_id", "units", F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["chunk_index"].cast("string"), F.lit("="), x["content"])), "\n")).alias("context_md5"))
 
 
@@ -243,10 +244,11 @@ def k33(spark, d):
     return C.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("chosen"), F.count("*").alias("attempts"))
 
 
-@query("k34_embedding_backfill", "SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings WHERE label <> 3 QUALIFY place <= 100")
+@query("k34_embedding_backfill", "SELECT vec_id, vec_id // 100 AS batch, count(*) OVER (PARTITION BY vec_id // 100) AS batch_rows FROM embeddings WHERE label <> 3")
 def k34(spark, d):
-    first = C.vectors(spark, d).where("label <> 3").select("vec_id").orderBy("vec_id").limit(100)
-    return first.select("vec_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")).alias("place"))
+    """Every stale row, in batches by id: a batch is a range of ids, so that no row's batch depends on all the others."""
+    stale = C.vectors(spark, d).where("label <> 3").select("vec_id", F.floor(F.col("vec_id") / 100).alias("batch"))
+    return stale.withColumn("batch_rows", F.count("*").over(Window.partitionBy("batch")))
 
 
 @query("d12_index_rows", using("kb_status kb_units", "SELECT version_id, chunk_index, length(content) AS n FROM kb_units JOIN kb_status USING (version_id) WHERE review_status = 'approved' UNION ALL SELECT version_id, -1, length(text) FROM kb_status WHERE status = 'published'"))
