@@ -32,7 +32,7 @@ class LangConfig:
     scale: float = 25.0
     rounds: int = 8
     low: float = 0.01
-    slack: float = 0.75
+    slack: float = 0.55
     cuts: int = 100
     few: int = 50
     seed: int = 5

@@ -26,12 +26,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage is cut, lost executors recompute nothing."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage is cut, lost executors recompute nothing.
+
+    While it is written, rows go to Python in batches of ``batch_rows`` at most: texts and shingle sets may be long.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
+    schema, rows = df.schema, spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(rows), batch_rows) if int(rows) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
