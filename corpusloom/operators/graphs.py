@@ -10,61 +10,72 @@ from pyspark.sql import functions as F
 from corpusloom.operators.ordering import top_k
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    out = edges.groupBy(F.col("from_node").alias("node_id")).agg(F.count("*").alias("out_degree"))
-    into = edges.groupBy(F.col("to_node").alias("node_id")).agg(F.count("*").alias("in_degree"))
-    return nodes.join(out, "node_id", "left").join(into, "node_id", "left").fillna(0, ["out_degree", "in_degree"])
-
-
-def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Violations (code, id): duplicate labels, unknown endpoints, duplicate edges, lone nodes, decisions with one branch."""
-    d = degrees(nodes, edges)
-    known = nodes.select("node_id")
-    ends = edges.select(F.explode(F.array("from_node", "to_node")).alias("node_id")).distinct()
+def degrees(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``nodes`` with in_degree and out_degree; ``by`` names the columns that tell graphs apart, here and below."""
+    out = edges.groupBy(*by, F.col("from_node").alias("node_id")).agg(F.count("*").alias("out_degree"))
+    into = edges.groupBy(*by, F.col("to_node").alias("node_id")).agg(F.count("*").alias("in_degree"))
+    key = [*by, "node_id"]
+    return nodes.join(out, key, "left").join(into, key, "left").fillna(0, ["out_degree", "in_degree"])
+
+
+def topology(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Violations (by, code, id): duplicate labels, unknown endpoints, duplicate edges, lone nodes, decisions with one branch."""
+    d = degrees(nodes, edges, by)
+    known = nodes.select(*by, "node_id")
+    ends = edges.select(*by, F.explode(F.array("from_node", "to_node")).alias("node_id")).distinct()
+    text = lambda code, c: (*by, F.lit(code).alias("code"), c.cast("string").alias("id"))
     found = [
-        nodes.groupBy(F.lower("title").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_label").alias("code"), F.col("k").alias("id")),
-        ends.join(known, "node_id", "left_anti").select(F.lit("unknown_endpoint"), F.col("node_id").cast("string")),
-        edges.groupBy("from_node", "to_node").count().where("count > 1").select(F.lit("duplicate_edge"), F.concat_ws(">", "from_node", "to_node")),
-        d.where("in_degree = 0 and out_degree = 0").select(F.lit("disconnected"), F.col("node_id").cast("string")),
-        d.where("out_degree = 1").select(F.lit("missing_branch"), F.col("node_id").cast("string")),
+        nodes.groupBy(*by, F.lower("title").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select(*text("duplicate_label", F.col("k"))),
+        ends.join(known, [*by, "node_id"], "left_anti").select(*text("unknown_endpoint", F.col("node_id"))),
+        edges.groupBy(*by, "from_node", "to_node").count().where("count > 1").select(*text("duplicate_edge", F.concat_ws(">", "from_node", "to_node"))),
+        d.where("in_degree = 0 and out_degree = 0").select(*text("disconnected", F.col("node_id"))),
+        d.where("out_degree = 1").select(*text("missing_branch", F.col("node_id"))),
     ]
     return reduce(DataFrame.union, found)
 
 
-def terminals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("from_node").alias("node_id")), "node_id", "left_anti")
+def roots(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return nodes.join(edges.select(*by, F.col("to_node").alias("node_id")), [*by, "node_id"], "left_anti")
+
+
+def terminals(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return nodes.join(edges.select(*by, F.col("from_node").alias("node_id")), [*by, "node_id"], "left_anti")
 
 
-def compile_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add a start node (-1) before roots and an end node (-2) after nodes without an exit."""
-    roots = nodes.join(edges.select(F.col("to_node").alias("node_id")), "node_id", "left_anti")
-    more = roots.select(F.lit(-1).cast("long").alias("from_node"), F.col("node_id").alias("to_node"), F.lit("start").alias("condition")).unionByName(terminals(nodes, edges).select(F.col("node_id").alias("from_node"), F.lit(-2).cast("long").alias("to_node"), F.lit("end").alias("condition")))
-    bounds = nodes.sparkSession.createDataFrame([(-1, "START"), (-2, "END")], "node_id long, title string")
-    return nodes.select("node_id", "title").unionByName(bounds), edges.unionByName(more)
+def compile_graph(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Give each graph a start node (-1) before its roots and an end node (-2) after its nodes without an exit."""
+    edge = lambda a, b, name: (*by, a.cast("long").alias("from_node"), b.cast("long").alias("to_node"), F.lit(name).alias("condition"))
+    more = roots(nodes, edges, by).select(*edge(F.lit(-1), F.col("node_id"), "start")).unionByName(terminals(nodes, edges, by).select(*edge(F.col("node_id"), F.lit(-2), "end")))
+    two = F.array(*(F.struct(F.lit(k).cast("long").alias("node_id"), F.lit(t).alias("title")) for k, t in ((-1, "START"), (-2, "END"))))
+    bounds = nodes.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.inline(two))
+    return nodes.select(*by, "node_id", "title").unionByName(bounds), edges.unionByName(more)
 
 
-def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18) -> DataFrame:
-    """Simple paths from roots to terminals, yes before no, at most ``keep`` per root: (root, path, conditions, place).
+def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18, by: tuple[str, ...] = ()) -> DataFrame:
+    """Simple paths from roots to terminals, yes before no, at most ``keep`` per root: (by, root, path, conditions, place).
 
-    One join per level; a path ends where its last node has no exit, and never visits a node twice.
+    One join per level; a path ends where its last node has no exit, and never visits a node twice, so there are no more levels than the
+    largest graph has nodes. That one number is all that the driver learns.
     """
-    roots = nodes.join(edges.select(F.col("to_node").alias("node_id")), "node_id", "left_anti")
-    front = roots.select(F.col("node_id").alias("root"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("conditions"), F.col("node_id").alias("at"))
-    ends = terminals(nodes, edges).select(F.col("node_id").alias("at"))
-    done = front.join(ends, "at", "left_semi")
-    for _ in range(depth - 1):
-        front = front.join(edges, front["at"] == edges["from_node"]).where(~F.array_contains("path", F.col("to_node"))).select("root", F.array_append("path", F.col("to_node")).alias("path"), F.array_append("conditions", F.col("condition")).alias("conditions"), F.col("to_node").alias("at"))
-        if front.isEmpty():
-            break
-        done = done.unionByName(front.join(ends, "at", "left_semi"))
+    size = nodes.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ends = terminals(nodes, edges, by).select(*by, F.col("node_id").alias("to_node"), F.lit(True).alias("last"))
+    steps = edges.join(ends, [*by, "to_node"], "left").select(*by, F.col("from_node").alias("at"), "to_node", "condition", F.coalesce("last", F.lit(False)).alias("next_last"))
+    first = roots(nodes, edges, by).join(ends.withColumnRenamed("to_node", "node_id"), [*by, "node_id"], "left")
+    front = first.select(*by, F.col("node_id").alias("root"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("conditions"), F.col("node_id").alias("at"), F.coalesce("last", F.lit(False)).alias("last"))
+    done = front.where("last")
+    for _ in range(min(depth, size) - 1):
+        met = front.where(~F.col("last")).join(steps, [*by, "at"]).where(~F.array_contains("path", F.col("to_node")))
+        front = met.select(*by, "root", F.array_append("path", F.col("to_node")).alias("path"), F.array_append("conditions", F.col("condition")).alias("conditions"), F.col("to_node").alias("at"), F.col("next_last").alias("last"))
+        done = done.unionByName(front.where("last"))
     order = F.array_join(F.transform("conditions", lambda c: F.when(c == "yes", "0").otherwise("1")), "")
-    return top_k(done, ["root"], keep, order, F.array_join(F.transform("path", lambda x: x.cast("string")), ","), rank="place").drop("at")
+    return top_k(done, [*by, "root"], keep, order, F.array_join(F.transform("path", lambda x: x.cast("string")), ","), rank="place").drop("at", "last")
 
 
 def layout_edges(connectors: DataFrame, shapes: DataFrame, page: str) -> DataFrame:
     """(connector, from_shape, to_shape) by the nearest shape of the same page to either end; connectors whose ends meet one shape are left out.
 
-    connectors(connector, page, x1, y1, x2, y2), shapes(shape, page, x, y); ties go to the smaller shape.
+    connectors(connector, page, x1, y1, x2, y2), shapes(shape, page, x, y); ties go to the smaller shape. Each connector meets all shapes
+    of its page, so pages are expected to be small.
     """
     met = connectors.join(shapes, page)
     d = lambda x, y: F.struct(F.round(F.pow(F.col(x) - F.col("x"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y"), F.lit(2.0)), 9).alias("d"), F.col("shape"))

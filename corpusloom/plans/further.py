@@ -10,15 +10,17 @@ from corpusloom.operators import graphs as GR
 from corpusloom.operators import ordering
 from corpusloom.operators import ranking as K
 from corpusloom.plans.registry import query
+from corpusloom.plans.relations import GRAPH
 from corpusloom.plans.retrieval import KNN_SQL, j3, j4
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
 
 
-@query("d55_layout_graph", "WITH c AS (SELECT c_custkey AS connector, c_nationkey AS page, c_acctbal::DOUBLE AS x1, (c_custkey % 97)::DOUBLE AS y1, c_acctbal::DOUBLE / 2 AS x2, (c_custkey % 89)::DOUBLE AS y2 FROM customer), s AS (SELECT o_orderkey AS shape, (o_custkey % 25) AS page, o_totalprice::DOUBLE / 30 AS x, (o_orderkey % 101)::DOUBLE AS y FROM orders WHERE o_orderkey % 9 = 0), m AS (SELECT connector, shape, round((x1 - x) ** 2 + (y1 - y) ** 2, 9) AS da, round((x2 - x) ** 2 + (y2 - y) ** 2, 9) AS db FROM c JOIN s USING (page)), n AS (SELECT connector, arg_min(shape, (da, shape)) AS from_shape, arg_min(shape, (db, shape)) AS to_shape FROM m GROUP BY 1) SELECT * FROM n WHERE from_shape <> to_shape")
+@query("d55_layout_graph", "WITH c AS (SELECT c_custkey AS connector, c_custkey // 10 AS page, c_acctbal::DOUBLE AS x1, (c_custkey % 97)::DOUBLE AS y1, c_acctbal::DOUBLE / 2 AS x2, (c_custkey % 89)::DOUBLE AS y2 FROM customer), s AS (SELECT o_orderkey AS shape, o_custkey // 10 AS page, o_totalprice::DOUBLE / 30 AS x, (o_orderkey % 101)::DOUBLE AS y FROM orders), m AS (SELECT connector, shape, round((x1 - x) ** 2 + (y1 - y) ** 2, 9) AS da, round((x2 - x) ** 2 + (y2 - y) ** 2, 9) AS db FROM c JOIN s USING (page)), n AS (SELECT connector, arg_min(shape, (da, shape)) AS from_shape, arg_min(shape, (db, shape)) AS to_shape FROM m GROUP BY 1) SELECT * FROM n WHERE from_shape <> to_shape")
 def d55(spark, d):
-    c = C.table(spark, d, "customer").select(F.col("c_custkey").alias("connector"), F.col("c_nationkey").cast("long").alias("page"), F.col("c_acctbal").cast("double").alias("x1"), (F.col("c_custkey") % 97).cast("double").alias("y1"), (F.col("c_acctbal").cast("double") / 2).alias("x2"), (F.col("c_custkey") % 89).cast("double").alias("y2"))
-    s = C.table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("shape"), (F.col("o_custkey") % 25).alias("page"), (F.col("o_totalprice").cast("double") / 30).alias("x"), (F.col("o_orderkey") % 101).cast("double").alias("y"))
+    page = lambda c: F.floor(F.col(c) / 10).alias("page")
+    c = C.table(spark, d, "customer").select(F.col("c_custkey").alias("connector"), page("c_custkey"), F.col("c_acctbal").cast("double").alias("x1"), (F.col("c_custkey") % 97).cast("double").alias("y1"), (F.col("c_acctbal").cast("double") / 2).alias("x2"), (F.col("c_custkey") % 89).cast("double").alias("y2"))
+    s = C.table(spark, d, "orders").select(F.col("o_orderkey").alias("shape"), page("o_custkey"), (F.col("o_totalprice").cast("double") / 30).alias("x"), (F.col("o_orderkey") % 101).cast("double").alias("y"))
     return GR.layout_edges(c, s, "page")
 
 
@@ -28,43 +30,48 @@ def k31(spark, d):
     return GR.merge_nodes(n, "p_size", "k", "p_partkey", "p_name")
 
 
-@query("d62_graph_payload_rows", using("kb_edges", "SELECT from_node AS payload, from_node, to_node, CASE WHEN condition = 'yes' THEN 'yes' ELSE '' END AS condition FROM kb_edges"))
+@query("d62_graph_payload_rows", using("kb_edges", "SELECT graph_id, from_node, to_node, CASE WHEN condition = 'yes' THEN 'yes' ELSE '' END AS condition FROM kb_edges"))
 def d62(spark, d):
     e = C.graph_edges(spark, d).withColumn("condition", F.when(F.col("condition") == "yes", "yes"))
-    p = e.groupBy(F.col("from_node").alias("payload")).agg(F.to_json(F.struct(F.collect_list(F.struct("from_node", "to_node", "condition")).alias("edges"))).alias("j"))
-    return GR.payload_rows(p, "payload", "j")
+    p = e.groupBy("graph_id").agg(F.to_json(F.struct(F.collect_list(F.struct("from_node", "to_node", "condition")).alias("edges"))).alias("j"))
+    return GR.payload_rows(p, "graph_id", "j")
 
 
-@query("d31_semantic_edges", using("kb_edges", "SELECT from_node + 100 AS from_node, to_node + 100 AS to_node, condition, from_node % 2 = 0 AS confirmed FROM kb_edges"))
+@query("d31_semantic_edges", using("kb_edges", "SELECT graph_id * 10 + from_node AS from_node, graph_id * 10 + to_node AS to_node, condition, count(*) OVER (PARTITION BY graph_id, from_node, to_node) = 1 AS confirmed FROM kb_edges"))
 def d31(spark, d):
     e = C.graph_edges(spark, d).withColumn("condition", F.when(F.col("condition") == "yes", " Y ").otherwise("False"))
-    ids = C.graph_nodes(spark, d).select("node_id", (F.col("node_id") + 100).alias("new_id"))
-    a, b = (ids.select(F.col("node_id").alias(f"{c}_node"), F.col("new_id").alias(f"{c}_new")) for c in ("from", "to"))
-    return e.join(a, "from_node").join(b, "to_node").select(F.col("from_new").alias("from_node"), F.col("to_new").alias("to_node"), GR.condition_name(F.col("condition")).alias("condition"), (F.col("from_node") % 2 == 0).alias("confirmed"))
+    # Both conditions on the way between two nodes contradict each other: at most two rows a window.
+    e = e.withColumn("confirmed", F.count("*").over(Window.partitionBy("graph_id", "from_node", "to_node")) == 1)
+    ids = C.graph_nodes(spark, d).select("graph_id", "node_id", (F.col("graph_id") * 10 + F.col("node_id")).alias("new_id"))
+    a, b = (ids.select("graph_id", F.col("node_id").alias(f"{c}_node"), F.col("new_id").alias(f"{c}_new")) for c in ("from", "to"))
+    return e.join(a, ["graph_id", "from_node"]).join(b, ["graph_id", "to_node"]).select(F.col("from_new").alias("from_node"), F.col("to_new").alias("to_node"), GR.condition_name(F.col("condition")).alias("condition"), "confirmed")
 
 
-@query("d32_semantic_graph_checks", using("kb_edges", "SELECT n_nationkey AS node_id, CASE WHEN n_nationkey NOT IN (SELECT from_node FROM kb_edges) AND n_nationkey NOT IN (SELECT to_node FROM kb_edges) THEN 'orphan' WHEN (SELECT count(*) FROM kb_edges WHERE from_node = n_nationkey) = 1 THEN 'missing_branch' ELSE 'ok' END AS state FROM nation"))
+@query("d32_semantic_graph_checks", using("kb_degrees", "SELECT graph_id, node_id, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'orphan' WHEN out_degree = 1 THEN 'missing_branch' ELSE 'ok' END AS state FROM kb_degrees"))
 def d32(spark, d):
-    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d))
-    return g.select("node_id", F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "orphan").when(F.col("out_degree") == 1, "missing_branch").otherwise("ok").alias("state"))
+    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d), GRAPH)
+    return g.select("graph_id", "node_id", F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "orphan").when(F.col("out_degree") == 1, "missing_branch").otherwise("ok").alias("state"))
 
 
-@query("d30_semantic_typing", "SELECT n_nationkey AS node_id, CASE WHEN n_name LIKE '%AN%' THEN 'decision' WHEN length(n_name) > 8 THEN 'process' ELSE 'note' END AS node_type FROM nation")
+@query("d30_semantic_typing", using("kb_nodes", "SELECT graph_id, node_id, CASE WHEN title LIKE '%gear%' THEN 'decision' WHEN length(title) > 8 THEN 'process' ELSE 'note' END AS node_type FROM kb_nodes"))
 def d30(spark, d):
-    return C.graph_nodes(spark, d).select("node_id", F.when(F.contains("title", F.lit("AN")), "decision").when(F.length("title") > 8, "process").otherwise("note").alias("node_type"))
+    return C.graph_nodes(spark, d).select("graph_id", "node_id", F.when(F.contains("title", F.lit("gear")), "decision").when(F.length("title") > 8, "process").otherwise("note").alias("node_type"))
 
 
-@query("d53_node_typing", using("kb_edges", "SELECT n_nationkey AS node_id, CASE WHEN n_nationkey NOT IN (SELECT to_node FROM kb_edges) THEN 'start' WHEN n_nationkey NOT IN (SELECT from_node FROM kb_edges) THEN 'end' ELSE 'decision' END AS node_type FROM nation"))
+@query("d53_node_typing", using("kb_degrees", "SELECT graph_id, node_id, CASE WHEN in_degree = 0 THEN 'start' WHEN out_degree = 0 THEN 'end' ELSE 'decision' END AS node_type FROM kb_degrees"))
 def d53(spark, d):
-    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d))
-    return g.select("node_id", F.when(F.col("in_degree") == 0, "start").when(F.col("out_degree") == 0, "end").otherwise("decision").alias("node_type"))
+    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d), GRAPH)
+    return g.select("graph_id", "node_id", F.when(F.col("in_degree") == 0, "start").when(F.col("out_degree") == 0, "end").otherwise("decision").alias("node_type"))
 
 
-@query("d5_graph_review_failures", using("kb_edges", "SELECT n_nationkey AS node_id, array_to_string(list_filter([CASE WHEN n_nationkey % 4 = 0 THEN 'validation_error' END, CASE WHEN n_nationkey % 3 = 0 THEN 'uncertain_edge' END, CASE WHEN n_nationkey > 20 THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS failures FROM nation"))
+@query("d5_graph_review_failures", using("kb_degrees", ", u AS (SELECT DISTINCT graph_id, from_node AS node_id FROM kb_edges GROUP BY graph_id, from_node, to_node HAVING count(*) > 1) SELECT g.graph_id, g.node_id, array_to_string(list_filter([CASE WHEN out_degree = 1 THEN 'validation_error' END, CASE WHEN u.node_id IS NOT NULL THEN 'uncertain_edge' END, CASE WHEN support < 5 THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS failures FROM kb_degrees g LEFT JOIN u ON u.graph_id = g.graph_id AND u.node_id = g.node_id"))
 def d5(spark, d):
-    k = F.col("node_id")
-    codes = F.array_compact(F.array(F.when(k % 4 == 0, F.lit("validation_error")), F.when(k % 3 == 0, F.lit("uncertain_edge")), F.when(k > 20, F.lit("low_confidence"))))
-    return C.graph_nodes(spark, d).select("node_id", F.array_join(codes, ",").alias("failures"))
+    e = C.graph_edges(spark, d)
+    key = ["graph_id", "node_id"]
+    unsure = e.groupBy("graph_id", F.col("from_node").alias("node_id"), "to_node").count().where("count > 1").select(*key, F.lit(True).alias("unsure")).distinct()
+    g = GR.degrees(C.graph_nodes(spark, d), e, GRAPH).join(unsure, key, "left")
+    codes = F.array_compact(F.array(F.when(F.col("out_degree") == 1, F.lit("validation_error")), F.when(F.col("unsure"), F.lit("uncertain_edge")), F.when(F.col("support") < 5, F.lit("low_confidence"))))
+    return g.select(*key, F.array_join(codes, ",").alias("failures"))
 
 
 @query("d6_summary_only_source_text", using("kb_units", "SELECT version_id, chunk_index FROM kb_units WHERE length(content) < 40 AND NOT regexp_matches(content, '(^|[^0-9])[0-9]{1,3}(\\.[0-9]{1,3})?[.)]?\\s')"))
@@ -90,10 +97,10 @@ def d11(spark, d):
     return n.join(t("region"), "r_regionkey").select(F.col("r_name").alias("collection"), "relations")
 
 
-@query("d13_synonym_governance", "SELECT n_regionkey AS group_id, string_agg(DISTINCT lower(substr(n_name, 1, 3)), ',' ORDER BY lower(substr(n_name, 1, 3))) AS terms, CASE WHEN n_regionkey % 2 = 0 THEN 'active' ELSE 'archived' END AS status FROM nation GROUP BY n_regionkey")
+@query("d13_synonym_governance", using("kb_nodes", "SELECT graph_id AS group_id, string_agg(DISTINCT lower(title), ',' ORDER BY lower(title)) AS terms, CASE WHEN count(DISTINCT lower(title)) > 1 THEN 'active' ELSE 'archived' END AS status FROM kb_nodes GROUP BY 1"))
 def d13(spark, d):
-    g = C.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("group_id")).agg(F.array_join(F.array_sort(F.collect_set(T.normalize_phrase(F.substring("n_name", 1, 3)))), ",").alias("terms"))
-    return g.withColumn("status", F.when(F.col("group_id") % 2 == 0, "active").otherwise("archived"))
+    g = C.graph_nodes(spark, d).groupBy(F.col("graph_id").alias("group_id")).agg(F.array_sort(F.collect_set(T.normalize_phrase(F.col("title")))).alias("terms"))
+    return g.select("group_id", F.array_join("terms", ",").alias("terms"), F.when(F.size("terms") > 1, "active").otherwise("archived").alias("status"))
 
 
 @query("d17_units_to_chunks", using("kb_units", "SELECT version_id || ':' || chunk_index AS chunk_id, content, CASE WHEN version_id % 2 = 0 THEN 'line ' || (chunk_index + 1) ELSE 'paragraph ' || chunk_index END AS locator FROM kb_units"))

@@ -74,10 +74,10 @@ def s10(spark, d):
     return C.vectors(spark, d).select("vec_id", "label", F.array_join(F.array_sort(F.array_distinct(tags)), ",").alias("tags"))
 
 
-@query("s13_synonym_map", "WITH t AS (SELECT n_regionkey AS g, lower(n_name) AS term FROM nation) SELECT a.term, string_agg(b.term, ',' ORDER BY b.term) AS synonyms FROM t a JOIN t b ON a.g = b.g AND a.term <> b.term GROUP BY a.term")
+@query("s13_synonym_map", using("kb_nodes", ", t AS (SELECT DISTINCT graph_id AS group_id, lower(title) AS term FROM kb_nodes) SELECT a.group_id, a.term, string_agg(b.term, ',' ORDER BY b.term) AS synonyms FROM t a JOIN t b ON a.group_id = b.group_id AND a.term <> b.term GROUP BY 1, 2"))
 def s13(spark, d):
-    t = C.table(spark, d, "nation").select(F.col("n_regionkey").alias("g"), F.lower("n_name").alias("term"))
-    return t.join(t.select("g", F.col("term").alias("other")), "g").where("term <> other").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("synonyms"))
+    t = C.graph_nodes(spark, d).select(F.col("graph_id").alias("group_id"), F.lower("title").alias("term")).distinct()
+    return t.join(t.select("group_id", F.col("term").alias("other")), "group_id").where("term <> other").groupBy("group_id", "term").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("synonyms"))
 
 
 @query("s14_heading_fill", using("kb_units", "SELECT version_id, chunk_index, last_value(CASE WHEN length(content) < 40 THEN content END IGNORE NULLS) OVER (PARTITION BY version_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM kb_units"))

@@ -14,6 +14,7 @@ from corpusloom.plans.retrieval import KNN_SQL, TOKENS, j4
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
 
+GRAPH = ("graph_id",)
 LINKS = """WITH raw AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages), kb_links AS (SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, lower(regexp_extract(a, '>([^<]*)<', 1)) AS target FROM raw)"""
 
 
@@ -94,11 +95,11 @@ def j13(spark, d):
     return part.where("p_partkey % 5 = 0").unionByName(part.where("p_partkey % 5 <> 0").join(live, "p_partkey", "left_semi"))
 
 
-@query("j14_relations_with_titles", "WITH e AS (SELECT n_nationkey AS s, (n_nationkey * 3 + 20) AS t FROM nation) SELECT s, a.n_name AS source_title, t, b.n_name AS target_title FROM e JOIN nation a ON a.n_nationkey = s LEFT JOIN nation b ON b.n_nationkey = t")
+@query("j14_relations_with_titles", "WITH e AS (SELECT p_partkey AS s, p_partkey * 3 + 20 AS t FROM part) SELECT s, a.p_name AS source_title, t, b.p_name AS target_title FROM e JOIN part a ON a.p_partkey = s LEFT JOIN part b ON b.p_partkey = t")
 def j14(spark, d):
-    n = C.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    n = C.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
     e = n.select(F.col("k").alias("s"), (F.col("k") * 3 + 20).alias("t"))
-    return e.join(n.select(F.col("k").alias("s"), F.col("n_name").alias("source_title")), "s").join(n.select(F.col("k").alias("t"), F.col("n_name").alias("target_title")), "t", "left").select("s", "source_title", "t", "target_title")
+    return e.join(n.select(F.col("k").alias("s"), F.col("p_name").alias("source_title")), "s").join(n.select(F.col("k").alias("t"), F.col("p_name").alias("target_title")), "t", "left").select("s", "source_title", "t", "target_title")
 
 
 @query("j15_collection_items", "SELECT r_name AS collection, n_name AS item, count(c_custkey) AS people FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY ALL")
@@ -192,51 +193,57 @@ def d15(spark, d):
     return _links(spark, d).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("k27_graph_degrees", using("kb_edges", "SELECT n_nationkey AS node_id, (SELECT count(*) FROM kb_edges WHERE from_node = n_nationkey) AS out_degree, (SELECT count(*) FROM kb_edges WHERE to_node = n_nationkey) AS in_degree FROM nation"))
+@query("k27_graph_degrees", using("kb_degrees", "SELECT graph_id, node_id, out_degree, in_degree FROM kb_degrees"))
 def k27(spark, d):
-    return GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d)).select("node_id", "out_degree", "in_degree")
+    return GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d), GRAPH).select("graph_id", "node_id", "out_degree", "in_degree")
 
 
-@query("k28_graph_topology", "SELECT 'missing_branch' AS code, n_nationkey::VARCHAR AS id FROM nation WHERE 2 * n_nationkey + 1 <= 20 AND 2 * n_nationkey + 2 > 20 UNION ALL SELECT 'unknown_endpoint', n_nationkey::VARCHAR FROM nation WHERE n_nationkey BETWEEN 21 AND 24 AND n_nationkey < 0 UNION ALL SELECT 'disconnected', n_nationkey::VARCHAR FROM nation WHERE n_nationkey > 20")
+@query("k28_graph_topology", using("kb_nodes kb_drawn", "SELECT graph_id, 'duplicate_label' AS code, lower(title) AS id FROM kb_nodes GROUP BY graph_id, lower(title) HAVING count(*) > 1"
+    " UNION ALL SELECT DISTINCT graph_id, 'unknown_endpoint', to_node::VARCHAR FROM kb_drawn e ANTI JOIN kb_nodes n ON n.graph_id = e.graph_id AND n.node_id = e.to_node"
+    " UNION ALL SELECT graph_id, 'duplicate_edge', from_node || '>' || to_node FROM kb_drawn GROUP BY graph_id, from_node, to_node HAVING count(*) > 1"
+    " UNION ALL SELECT graph_id, 'disconnected', node_id::VARCHAR FROM kb_nodes n ANTI JOIN kb_drawn e ON e.graph_id = n.graph_id AND (e.from_node = n.node_id OR e.to_node = n.node_id)"
+    " UNION ALL SELECT graph_id, 'missing_branch', from_node::VARCHAR FROM kb_drawn GROUP BY graph_id, from_node HAVING count(*) = 1"))
 def k28(spark, d):
-    return GR.topology(C.graph_nodes(spark, d), C.graph_edges(spark, d).where("to_node <= 20"))
+    return GR.topology(C.graph_nodes(spark, d), C.drawn_edges(spark, d), GRAPH)
 
 
-@query("k26_graph_compile", using("kb_edges", "SELECT from_node, to_node, condition FROM kb_edges UNION ALL SELECT -1, n_nationkey, 'start' FROM nation WHERE n_nationkey NOT IN (SELECT to_node FROM kb_edges) UNION ALL SELECT n_nationkey, -2, 'end' FROM nation WHERE n_nationkey NOT IN (SELECT from_node FROM kb_edges)"))
+@query("k26_graph_compile", using("kb_degrees", "SELECT graph_id, from_node, to_node, condition FROM kb_edges UNION ALL SELECT graph_id, -1, node_id, 'start' FROM kb_degrees WHERE in_degree = 0 UNION ALL SELECT graph_id, node_id, -2, 'end' FROM kb_degrees WHERE out_degree = 0"))
 def k26(spark, d):
-    return GR.compile_graph(C.graph_nodes(spark, d), C.graph_edges(spark, d))[1]
+    return GR.compile_graph(C.graph_nodes(spark, d), C.graph_edges(spark, d), GRAPH)[1]
 
 
-@query("k29_graph_paths", using("kb_edges", "").replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT 0::BIGINT AS at_, '0' AS path, '' AS c UNION ALL SELECT to_node, path || ',' || to_node, c || CASE WHEN condition = 'yes' THEN '0' ELSE '1' END FROM w JOIN kb_edges ON from_node = at_), e AS (SELECT path, row_number() OVER (ORDER BY c, path) AS place FROM w WHERE at_ NOT IN (SELECT from_node FROM kb_edges)) SELECT 0 AS root, path, place FROM e WHERE place <= 18")
+@query("k29_graph_paths", using("kb_degrees", "").replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT graph_id, node_id AS root, node_id AS at_, [node_id] AS path, '' AS c FROM kb_degrees WHERE in_degree = 0 UNION ALL SELECT w.graph_id, root, to_node, list_append(path, to_node), c || CASE WHEN condition = 'yes' THEN '0' ELSE '1' END FROM w JOIN kb_edges e ON e.graph_id = w.graph_id AND e.from_node = w.at_ WHERE NOT list_contains(path, to_node) AND len(path) < 18)"
+    ", e AS (SELECT w.graph_id, root, array_to_string(path, ',') AS p, c FROM w JOIN kb_degrees g ON g.graph_id = w.graph_id AND g.node_id = w.at_ AND g.out_degree = 0), r AS (SELECT graph_id, root, p AS path, row_number() OVER (PARTITION BY graph_id, root ORDER BY c, p) AS place FROM e) SELECT * FROM r WHERE place <= 18")
 def k29(spark, d):
-    p = GR.paths(C.graph_nodes(spark, d), C.graph_edges(spark, d))
-    return p.select("root", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "place")
+    p = GR.paths(C.graph_nodes(spark, d), C.graph_edges(spark, d), by=GRAPH)
+    return p.select("graph_id", "root", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "place")
 
 
-@query("k30_graph_units", using("kb_edges", "SELECT 'node' AS kind, n_nationkey::VARCHAR AS id, n_name AS text FROM nation UNION ALL SELECT 'branch', from_node || '>' || to_node, a.n_name || ' -[' || condition || ']-> ' || b.n_name FROM kb_edges JOIN nation a ON a.n_nationkey = from_node JOIN nation b ON b.n_nationkey = to_node"))
+@query("k30_graph_units", using("kb_edges", "SELECT graph_id, 'node' AS kind, node_id::VARCHAR AS id, title AS text FROM kb_nodes UNION ALL SELECT e.graph_id, 'branch', from_node || '>' || to_node, a.title || ' -[' || condition || ']-> ' || b.title FROM kb_edges e JOIN kb_nodes a ON a.graph_id = e.graph_id AND a.node_id = from_node JOIN kb_nodes b ON b.graph_id = e.graph_id AND b.node_id = to_node"))
 def k30(spark, d):
     n, e = C.graph_nodes(spark, d), C.graph_edges(spark, d)
-    a, b = (n.select(F.col("node_id").alias(f"{c}_node"), F.col("title").alias(f"{c}_title")) for c in ("from", "to"))
-    named = e.join(a, "from_node").join(b, "to_node")
-    return n.select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"), F.col("title").alias("text")).unionByName(named.select(F.lit("branch").alias("kind"), F.concat_ws(">", "from_node", "to_node").alias("id"), F.concat(F.col("from_title"), F.lit(" -["), F.col("condition"), F.lit("]-> "), F.col("to_title")).alias("text")))
+    a, b = (n.select("graph_id", F.col("node_id").alias(f"{c}_node"), F.col("title").alias(f"{c}_title")) for c in ("from", "to"))
+    named = e.join(a, ["graph_id", "from_node"]).join(b, ["graph_id", "to_node"])
+    branch = F.concat(F.col("from_title"), F.lit(" -["), F.col("condition"), F.lit("]-> "), F.col("to_title"))
+    return n.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"), F.col("title").alias("text")).unionByName(named.select("graph_id", F.lit("branch").alias("kind"), F.concat_ws(">", "from_node", "to_node").alias("id"), branch.alias("text")))
 
 
-@query("w15_sequential_followup", using("kb_edges", "SELECT a.n_nationkey AS from_node, a.n_nationkey + 1 AS to_node FROM nation a WHERE a.n_nationkey NOT IN (SELECT from_node FROM kb_edges) AND EXISTS (SELECT 1 FROM nation b WHERE b.n_nationkey = a.n_nationkey + 1)"))
+@query("w15_sequential_followup", using("kb_degrees", "SELECT a.graph_id, a.node_id AS from_node, b.node_id AS to_node FROM kb_degrees a JOIN kb_nodes b ON b.graph_id = a.graph_id AND b.node_id = a.node_id + 1 WHERE a.out_degree = 0"))
 def w15(spark, d):
     n = C.graph_nodes(spark, d)
-    t = GR.terminals(n, C.graph_edges(spark, d)).select(F.col("node_id").alias("from_node"), (F.col("node_id") + 1).alias("to_node"))
-    return t.join(n.select(F.col("node_id").alias("to_node")), "to_node", "left_semi").select("from_node", "to_node")
+    t = GR.terminals(n, C.graph_edges(spark, d), GRAPH).select("graph_id", F.col("node_id").alias("from_node"), (F.col("node_id") + 1).alias("to_node"))
+    return t.join(n.select("graph_id", F.col("node_id").alias("to_node")), ["graph_id", "to_node"], "left_semi").select("graph_id", "from_node", "to_node")
 
 
-@query("d47_graph_summary", using("kb_edges", "SELECT count(*) AS nodes, count(*) FILTER (n_nationkey IN (SELECT from_node FROM kb_edges)) AS decisions, count(*) FILTER (n_nationkey NOT IN (SELECT from_node FROM kb_edges)) AS ends FROM nation"))
+@query("d47_graph_summary", using("kb_degrees", "SELECT graph_id, count(*) AS nodes, count(*) FILTER (out_degree > 0) AS decisions, count(*) FILTER (out_degree = 0) AS ends FROM kb_degrees GROUP BY 1"))
 def d47(spark, d):
-    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d))
-    return g.agg(F.count("*").alias("nodes"), F.count_if(F.col("out_degree") > 0).alias("decisions"), F.count_if(F.col("out_degree") == 0).alias("ends"))
+    g = GR.degrees(C.graph_nodes(spark, d), C.graph_edges(spark, d), GRAPH)
+    return g.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("out_degree") > 0).alias("decisions"), F.count_if(F.col("out_degree") == 0).alias("ends"))
 
 
-@query("d54_graph_dedupe", "SELECT lower(substr(n_name, 1, 2)) AS k, min(n_nationkey) AS node_id, count(*) AS n FROM nation GROUP BY 1")
+@query("d54_graph_dedupe", using("kb_nodes", "SELECT graph_id, lower(trim(title)) AS k, min(node_id) AS node_id, count(*) AS n FROM kb_nodes GROUP BY 1, 2"))
 def d54(spark, d):
-    return C.graph_nodes(spark, d).groupBy(F.lower(F.substring("title", 1, 2)).alias("k")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"))
+    return C.graph_nodes(spark, d).groupBy("graph_id", F.lower(F.trim("title")).alias("k")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"))
 
 
 @query("k33_candidate_selection", "SELECT l_orderkey, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS chosen, count(*) AS attempts FROM lineitem GROUP BY 1")

@@ -15,12 +15,15 @@ VIEWS = {
     "kb_log": """SELECT event_id, ts, 'q' || json_extract_string(props, '$.k') AS query, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(json_extract_string(props, '$.k') AS INT) % 7 END AS result_count, value AS latency_ms
         FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')""",
     "kb_messages": "SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations",
-    "kb_edges": """SELECT f.n_nationkey AS from_node, t.n_nationkey AS to_node, CASE WHEN t.n_nationkey = 2 * f.n_nationkey + 1 THEN 'yes' ELSE 'no' END AS condition
-        FROM nation f JOIN nation t ON t.n_nationkey IN (2 * f.n_nationkey + 1, 2 * f.n_nationkey + 2)""",
+    "kb_nodes": "SELECT l_orderkey AS graph_id, l_linenumber::BIGINT AS node_id, coalesce(min(p_name), '') AS title, max(l_quantity) AS support FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
+    "kb_drawn": "SELECT l_orderkey AS graph_id, l_linenumber::BIGINT AS from_node, l_partkey % 7 + 1 AS to_node, CASE l_returnflag WHEN 'R' THEN 'yes' ELSE 'no' END AS condition FROM lineitem WHERE l_returnflag <> 'N'",
+    "kb_edges": "SELECT DISTINCT e.* FROM kb_drawn e SEMI JOIN kb_nodes n ON n.graph_id = e.graph_id AND n.node_id = e.to_node",
+    "kb_degrees": """SELECT graph_id, node_id, title, support, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM kb_nodes
+        LEFT JOIN (SELECT graph_id, from_node AS node_id, count(*) AS o FROM kb_edges GROUP BY 1, 2) USING (graph_id, node_id) LEFT JOIN (SELECT graph_id, to_node AS node_id, count(*) AS i FROM kb_edges GROUP BY 1, 2) USING (graph_id, node_id)""",
     "kb_tokens": """SELECT doc_id, unnest(regexp_extract_all(regexp_replace(strip_accents(lower(text)), '\\p{M}+', '', 'g'), '[\\p{L}\\p{N}]+')) AS term FROM documents""",
     "kb_query_tokens": """SELECT item_id AS query_id, unnest(regexp_extract_all(regexp_replace(strip_accents(lower(text)), '\\p{M}+', '', 'g'), '[\\p{L}\\p{N}]+')) AS term FROM benchmark""",
 }
-NEEDS = {"kb_status": ["kb_versions"], "kb_units": ["kb_lines"]}
+NEEDS = {"kb_status": ["kb_versions"], "kb_units": ["kb_lines"], "kb_edges": ["kb_nodes", "kb_drawn"], "kb_degrees": ["kb_nodes", "kb_drawn", "kb_edges"]}
 
 
 def using(views: str, sql: str) -> str:

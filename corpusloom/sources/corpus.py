@@ -58,11 +58,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("title"))
+    """One graph per order; its nodes are the distinct line numbers, titled by the first part name, with the largest quantity as support."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("node_id"), "l_quantity")
+    named = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
+    return named.groupBy("graph_id", "node_id").agg(F.coalesce(F.min("p_name"), F.lit("")).alias("title"), F.max("l_quantity").alias("support"))
+
+
+def drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as drawn: each returned (yes) or accepted (no) line leads to the line number that its part key gives, known or not, once or more."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    return lines.select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("from_node"), (F.col("l_partkey") % 7 + 1).alias("to_node"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("no").alias("condition"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node k leads to 2k+1 on yes and to 2k+2 on no, as far as these exist."""
-    n = graph_nodes(spark, sf_dir)
-    children = n.select(F.col("node_id").alias("from_node"), F.explode(F.array(F.struct((F.col("node_id") * 2 + 1).alias("to_node"), F.lit("yes").alias("condition")), F.struct((F.col("node_id") * 2 + 2).alias("to_node"), F.lit("no").alias("condition")))).alias("e")).select("from_node", "e.*")
-    return children.join(n.select(F.col("node_id").alias("to_node")), "to_node", "left_semi").select("from_node", "to_node", "condition")
+    """The distinct drawn edges whose end exists."""
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("to_node"))
+    return drawn_edges(spark, sf_dir).distinct().join(known, ["graph_id", "to_node"], "left_semi").select("graph_id", "from_node", "to_node", "condition")

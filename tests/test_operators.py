@@ -98,6 +98,19 @@ def test_graph_paths_and_cycles(spark):
     assert {(r.code, r.id) for r in graphs.topology(n, e).collect()} == {("missing_branch", "1")}
 
 
+def test_graphs_apart(spark):
+    n = spark.createDataFrame([(g, k, f"n{k}") for g in (1, 2) for k in range(3)] + [(3, 0, "N0"), (3, 1, "n0")], "g long, node_id long, title string")
+    e = spark.createDataFrame([(1, 0, 1, "no"), (1, 0, 2, "yes"), (2, 0, 1, "yes"), (2, 1, 0, "no"), (2, 1, 2, "no"), (2, 1, 2, "no"), (2, 2, 9, "yes")], "g long, from_node long, to_node long, condition string")
+    by = ("g",)
+    assert [(r.g, r.root, r.path, r.place) for r in graphs.paths(n, e, by=by).orderBy("g", "root", "place").collect()] == [(1, 0, [0, 2], 1), (1, 0, [0, 1], 2), (3, 0, [0], 1), (3, 1, [1], 1)]
+    want = {(3, "duplicate_label", "n0"), (2, "unknown_endpoint", "9"), (2, "duplicate_edge", "1>2"), (3, "disconnected", "0"), (3, "disconnected", "1"), (2, "missing_branch", "0"), (2, "missing_branch", "2")}
+    assert {(r.g, r.code, r.id) for r in graphs.topology(n, e, by).collect()} == want
+    nodes, edges = graphs.compile_graph(n, e, by)
+    assert nodes.where("node_id < 0").count() == 6
+    assert {(r.g, r.from_node, r.to_node) for r in edges.where("condition in ('start', 'end')").collect()} == {(1, -1, 0), (1, 1, -2), (1, 2, -2), (3, -1, 0), (3, -1, 1), (3, 0, -2), (3, 1, -2)}
+    assert graphs.paths(n.limit(0), e.limit(0), by=by).count() == 0
+
+
 def test_exact_search_asks_from_the_whole_table(spark, tmp_path):
     from corpusloom.plans import registry
 
