@@ -176,12 +176,12 @@ def a40(spark, d):
     return g.select("job", "processed", F.ceil(F.col("processed") / 25).alias("batches"), F.when(F.col("processed") > 50, "limit").otherwise("done").alias("stop_reason"))
 
 
-@query("j9_chunk_relation_expansion", "WITH " + KNN_SQL[1:] + ", h AS (SELECT query_id, chunk_id FROM r WHERE rank <= 4), x AS (SELECT DISTINCT query_id, (chunk_id * 11 + 1) % 500 AS chunk_id FROM h WHERE chunk_id % 2 = 0) SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.chunk_id = x.chunk_id)")
+@query("j9_chunk_relation_expansion", "WITH " + KNN_SQL[1:] + ", h AS (SELECT query_id, chunk_id FROM r WHERE rank <= 4), x AS (SELECT DISTINCT query_id, (chunk_id * 11 + 1) // 20 AS chunk_id FROM h WHERE chunk_id % 2 = 0) SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.chunk_id = x.chunk_id)")
 def j9(spark, d):
     from corpusloom.operators import relations as R
 
     v = C.vectors(spark, d)
-    edges = v.select(F.col("vec_id").alias("source_id"), ((F.col("vec_id") * 11 + 1) % 500).alias("target_id"), F.when(F.col("vec_id") % 2 == 0, "approved").otherwise("suggested").alias("status"))
+    edges = v.select(F.col("vec_id").alias("source_id"), F.floor((F.col("vec_id") * 11 + 1) / 20).alias("target_id"), F.when(F.col("vec_id") % 2 == 0, "approved").otherwise("suggested").alias("status"))
     return R.expand(j4(spark, d).where("rank <= 4").select("query_id", "chunk_id"), edges, "query_id", "chunk_id", 1 << 30).select("query_id", "chunk_id")
 
 
@@ -196,11 +196,11 @@ def k23(spark, d):
     return g.select("query_id", F.when(F.col("top") >= 0.45, "supported").otherwise("unsupported_or_ambiguous").alias("status"), F.coalesce(F.col("top") < 0.4, F.lit(True)).alias("low"))
 
 
-@query("k25_multi_stage_retrieve", "WITH " + KNN_SQL[1:] + ", a AS (SELECT query_id, chunk_id, 0 AS stage, 'direct' AS role, rank FROM r WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 1, 'index', rank FROM r WHERE rank <= 12 AND chunk_id % 2 = 0 UNION ALL SELECT query_id, (chunk_id * 11 + 1) % 500, 2, 'relation', rank FROM r WHERE rank <= 3), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY stage, rank) AS k FROM a) SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS place FROM f WHERE k = 1")
+@query("k25_multi_stage_retrieve", "WITH " + KNN_SQL[1:] + ", a AS (SELECT query_id, chunk_id, 0 AS stage, 'direct' AS role, rank FROM r WHERE rank <= 5 UNION ALL SELECT query_id, chunk_id, 1, 'index', rank FROM r WHERE rank <= 12 AND chunk_id % 2 = 0 UNION ALL SELECT query_id, (chunk_id * 11 + 1) // 20, 2, 'relation', rank FROM r WHERE rank <= 3), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY stage, rank) AS k FROM a) SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS place FROM f WHERE k = 1")
 def k25(spark, d):
     r = j4(spark, d).select("query_id", "chunk_id", F.col("rank").alias("r"))
     stage = lambda df, n, role: df.withColumns({"stage": F.lit(n), "role": F.lit(role)})
-    related = r.where("r <= 3").withColumn("chunk_id", (F.col("chunk_id") * 11 + 1) % 500)
+    related = r.where("r <= 3").withColumn("chunk_id", F.floor((F.col("chunk_id") * 11 + 1) / 20))
     every = stage(r.where("r <= 5"), 0, "direct").unionByName(stage(r.where("r <= 12 and chunk_id % 2 = 0"), 1, "index")).unionByName(stage(related, 2, "relation"))
     first = ordering.keep_first(every, ["query_id", "chunk_id"], F.col("stage"), F.col("r"))
     return first.select("query_id", "chunk_id", "role", F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "r", "chunk_id")).alias("place"))

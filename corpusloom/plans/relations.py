@@ -44,11 +44,11 @@ def j7(spark, d):
     return R.exact_targets(named, titles, "title", "c_custkey", "source_id").select("source_id", "title", "target_id")
 
 
-EDGES = "edges AS (SELECT vec_id AS source_id, (vec_id * 7 + 3) % 500 AS target_id, CASE WHEN vec_id % 3 = 0 THEN 'unresolved' ELSE 'approved' END AS status FROM embeddings)"
+EDGES = "edges AS (SELECT vec_id AS source_id, (vec_id * 7 + 3) // 10 AS target_id, CASE WHEN vec_id % 3 = 0 THEN 'unresolved' ELSE 'approved' END AS status FROM embeddings)"
 
 
 def _edges(spark, d):
-    return C.vectors(spark, d).select(F.col("vec_id").alias("source_id"), ((F.col("vec_id") * 7 + 3) % 500).alias("target_id"), F.when(F.col("vec_id") % 3 == 0, "unresolved").otherwise("approved").alias("status"))
+    return C.vectors(spark, d).select(F.col("vec_id").alias("source_id"), F.floor((F.col("vec_id") * 7 + 3) / 10).alias("target_id"), F.when(F.col("vec_id") % 3 == 0, "unresolved").otherwise("approved").alias("status"))
 
 
 @query("j8_relation_expansion", "WITH " + KNN_SQL[1:] + f", h AS (SELECT query_id, chunk_id FROM r WHERE rank <= 8), {EDGES}, x AS (SELECT DISTINCT query_id, target_id AS chunk_id FROM h JOIN edges ON source_id = chunk_id AND status = 'approved'), y AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.chunk_id = x.chunk_id)) SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM y) WHERE rank <= 4")
