@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import display as DC
+from corpusloom.operators import enrichment as EN
 from corpusloom.operators import graphs as GR
 from corpusloom.operators import layout as L
 from corpusloom.operators import workbook as W
@@ -119,3 +120,37 @@ def d25(spark, d):
     turned = F.when(F.col("chunk_index") % 3 == 0, F.col("content")).when(F.col("chunk_index") % 3 == 1, F.regexp_replace("content", " ", " - ")).otherwise(F.array_join(F.reverse(F.split("content", " ")), " "))
     hits = u.select("version_id", F.concat_ws(":", "version_id", "chunk_index").alias("hit_id"), F.when(F.col("chunk_index") % 7 == 6, F.col("section_id") + 1000000).otherwise(F.col("section_id")).alias("section_id"), turned.alias("content"))
     return DC.display_context(hits, contexts, sections)
+
+
+@query("d29_node_enrichment", using("kb_nodes", r""", n AS (SELECT graph_id, node_id::VARCHAR AS node_id, CASE WHEN title LIKE '%gear' THEN 'decision' ELSE 'action' END AS node_type, support::INT || '. ' || title AS content, support::INT AS code, title AS words FROM kb_nodes),
+  l AS (SELECT l_orderkey AS graph_id, CASE WHEN l_linestatus = 'F' THEN l_linenumber::VARCHAR ELSE 'p' || l_partkey END AS semantic_id, CASE WHEN p_size < 10 THEN 'decision' WHEN p_size < 30 THEN 'sla_rule' ELSE 'warning' END AS semantic_type, l_quantity::INT || ') ' || p_name || ' ' || lower(p_type) AS semantic_content, l_quantity::INT AS code, p_name || ' ' || lower(p_type) AS words FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'),
+  s AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY graph_id, semantic_id ORDER BY length(semantic_content) DESC, semantic_content DESC, semantic_type DESC) = 1),
+  p AS (SELECT n.graph_id, n.node_id, n.node_type, semantic_id, semantic_type, semantic_content, n.node_id = semantic_id AS same, n.code = s.code AS coded, len(list_intersect(list_distinct(string_split(n.words, ' ')), list_distinct(string_split(s.words, ' ')))) / least(len(list_distinct(string_split(n.words, ' '))), len(list_distinct(string_split(s.words, ' ')))) AS score FROM n JOIN s USING (graph_id)),
+  m AS (SELECT *, CASE WHEN same THEN 'id' WHEN coded THEN 'code' ELSE 'words' END AS matched_by FROM p WHERE same OR coded OR score >= 0.72
+    QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY CASE WHEN same THEN 0 WHEN coded THEN 1 ELSE 2 END, CASE WHEN coded AND NOT same THEN (NOT (node_type = semantic_type OR (node_type = 'action' AND semantic_type = 'sla_rule')))::INT ELSE 0 END, CASE WHEN coded AND NOT same THEN -length(semantic_content) ELSE -score END, semantic_id) = 1)
+  SELECT n.graph_id, n.node_id, coalesce(matched_by, '') AS matched_by, semantic_id, CASE semantic_type WHEN 'decision' THEN 'decision' WHEN 'sla_rule' THEN 'action' WHEN 'warning' THEN 'annotation' ELSE n.node_type END AS node_type, CASE WHEN length(semantic_content) > length(content) THEN semantic_content ELSE content END AS content FROM n LEFT JOIN m ON m.graph_id = n.graph_id AND m.node_id = n.node_id"""))
+def d29(spark, d):
+    """Orders as graphs, read a second time from the lines that weren't returned: the quantity is the step code."""
+    kind = F.when(F.col("title").endswith("gear"), "decision").otherwise("action")
+    nodes = C.graph_nodes(spark, d).select("graph_id", F.col("node_id").cast("string").alias("node_id"), kind.alias("node_type"), F.concat(F.col("support").cast("int").cast("string"), F.lit(". "), "title").alias("content"))
+    parts = C.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
+    lines = C.table(spark, d, "lineitem").where("l_returnflag <> 'R'").join(parts, "l_partkey")
+    key = F.when(F.col("l_linestatus") == "F", F.col("l_linenumber").cast("string")).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    found = F.when(F.col("p_size") < 10, "decision").when(F.col("p_size") < 30, "sla_rule").otherwise("warning")
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(") "), "p_name", F.lit(" "), F.lower("p_type"))
+    semantic = lines.select(F.col("l_orderkey").alias("graph_id"), key.alias("semantic_id"), found.alias("semantic_type"), text.alias("semantic_content"))
+    return EN.enrich_nodes(nodes, semantic, "graph_id")
+
+
+@query("d61_review_candidate_marks", using("kb_edges", """, c AS (SELECT graph_id, count(*) AS nodes FROM kb_nodes GROUP BY 1), e AS (SELECT graph_id, count(*) AS edges FROM kb_edges GROUP BY 1),
+  x AS (SELECT o_custkey AS document_id, o_orderkey AS candidate_id, CASE o_orderstatus WHEN 'O' THEN 'workflow_v3_graph_primary' WHEN 'F' THEN 'workflow_v2_vision_primary' ELSE 'semantic_workflow_structuring' END AS flow, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, o_totalprice AS score FROM orders LEFT JOIN c ON c.graph_id = o_orderkey LEFT JOIN e ON e.graph_id = o_orderkey),
+  y AS (SELECT *, flow NOT LIKE 'sem%' AND nodes >= 2 AND edges >= 1 AS reviewable FROM x)
+  SELECT *, count(*) OVER (PARTITION BY document_id) AS candidate_count, reviewable AND row_number() OVER (PARTITION BY document_id ORDER BY reviewable DESC, CASE flow WHEN 'workflow_v3_graph_primary' THEN 0 ELSE 1 END, edges DESC, nodes DESC, score DESC, candidate_id) = 1 AS selected FROM y"""))
+def d61(spark, d):
+    """A customer's orders as readings of one document: the graph of the best one is marked for review."""
+    n = C.graph_nodes(spark, d).groupBy("graph_id").agg(F.count("*").alias("nodes"))
+    e = C.graph_edges(spark, d).groupBy("graph_id").agg(F.count("*").alias("edges"))
+    flow = F.when(F.col("o_orderstatus") == "O", "workflow_v3_graph_primary").when(F.col("o_orderstatus") == "F", "workflow_v2_vision_primary").otherwise("semantic_workflow_structuring")
+    c = C.table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("candidate_id"), flow.alias("flow"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("graph_id"))
+    c = c.join(n, "graph_id", "left").join(e, "graph_id", "left").fillna(0, ["nodes", "edges"]).drop("graph_id")
+    return EN.review_candidates(c, "document_id")

@@ -1,6 +1,8 @@
 """Workbook plans, layout elements, atomic units and display contexts on tiny frames."""
 
-from corpusloom.operators import display, layout, workbook
+import random
+
+from corpusloom.operators import display, enrichment, layout, workbook
 
 KINDS = {"routers": ("rider_issue_router", "issues"), "index": ("general_sop_index", "core"), "tools": ("tool_directory", "tools")}
 ROWS = [
@@ -73,3 +75,33 @@ def test_display_context(spark):
     assert body[got[6].start_offset : got[6].end_offset].count("word") == 15000
     assert [(got[i].status, got[i].reason) for i in (90, 91, 92, 93)] == [("version_mismatch", "retrieval_version_does_not_match_display_context"), ("parent_missing", "display_context_not_loaded"), ("parent_missing", "section_parent_not_found"), ("parent_missing", "display_context_not_loaded")]
     assert got[91].fallback == "b" and got[92].fallback == "" and got[0].fallback == ""
+
+
+def test_enrichment_by_id_code_and_words(spark):
+    nodes = [(1, "a", "action", "Short"), (1, "b", "action", "2.1 Wait"), (1, "c", None, "call the rider again"), (1, "d", "end", None), (None, "e", "action", "call the rider again")]
+    semantic = [(1, "a", "decision", "Much longer text"), (1, "a", "action", "x"), (1, "p", "decision", "2.1) Wait, then decide on it"), (1, "q", "sla_rule", "2.1) Wait"), (1, "r", "warning", "now call the rider again please"), (1, None, "end", "call the rider again")]
+    got = enrichment.enrich_nodes(spark.createDataFrame(nodes, "g int, node_id string, node_type string, content string"), spark.createDataFrame(semantic, "g int, semantic_id string, semantic_type string, semantic_content string"), "g").collect()
+    assert {r.node_id: (r.matched_by, r.semantic_id, r.node_type) for r in got} == {"a": ("id", "a", "decision"), "b": ("code", "q", "action"), "c": ("words", "r", "annotation"), "d": ("", None, "end"), "e": ("", None, "action")}
+    assert {r.node_id: r.content for r in got}["a"] == "Much longer text"
+
+
+def test_enrichment_by_words_misses_no_pair(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(0, 7)))
+    nodes = [(rng.randint(0, 2), f"n{i:02}", "action", text()) for i in range(40)]
+    semantic = [(rng.randint(0, 2), f"s{i:02}", "action", text()) for i in range(40)]
+    want = {}
+    for g, i, _, x in nodes:
+        a = set(x.split())
+        scored = [(-len(a & set(y.split())) / min(len(a), len(set(y.split()))), k) for h, k, _, y in semantic if h == g and a and y]
+        want[i] = min((p for p in scored if p[0] <= -0.72), default=(0, None))[1]
+    got = enrichment.enrich_nodes(spark.createDataFrame(nodes, "g int, node_id string, node_type string, content string"), spark.createDataFrame(semantic, "g int, semantic_id string, semantic_type string, semantic_content string"), "g").collect()
+    assert {r.node_id: r.semantic_id for r in got} == want
+
+
+def test_candidate_to_review(spark):
+    rows = [(1, 1, "workflow_legacy", 5, 5, 0.9), (1, 2, "workflow_v3_graph_primary", 1, 9, 0.9), (1, 3, "workflow_v2_vision_primary", 2, 1, None), (1, 4, "workflow_v2_vision_primary", 2, 1, 0.0), (2, 5, "semantic_workflow_structuring", 9, 9, 1.0), (None, 6, None, 2, 1, None), (None, 7, None, None, 1, None)]
+    got = enrichment.review_candidates(spark.createDataFrame(rows, "doc int, candidate_id int, flow string, nodes int, edges int, score double"), "doc").collect()
+    assert {r.candidate_id for r in got if r.selected} == {3, 6}
+    assert {r.candidate_id for r in got if r.reviewable} == {1, 3, 4, 6}
+    assert {r.candidate_id: r.candidate_count for r in got} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 1, 6: 2, 7: 2}
