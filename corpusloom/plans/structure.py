@@ -154,3 +154,17 @@ def d61(spark, d):
     c = C.table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("candidate_id"), flow.alias("flow"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("graph_id"))
     c = c.join(n, "graph_id", "left").join(e, "graph_id", "left").fillna(0, ["nodes", "edges"]).drop("graph_id")
     return EN.review_candidates(c, "document_id")
+
+
+@query("d33_semantic_candidates", using("kb_edges", """, t AS (SELECT *, CASE WHEN title LIKE '%gear' THEN 'decision' WHEN title LIKE '%bolt' THEN 'sla_rule' WHEN title LIKE '%rod' THEN 'annotation' WHEN title LIKE '%ring' THEN 'end' END AS semantic_type, CASE WHEN title LIKE '%rod' AND support < 20 THEN '(' || node_id || ')' ELSE '' END AS note FROM kb_nodes),
+  u AS (SELECT graph_id, from_node, to_node FROM kb_edges GROUP BY 1, 2, 3 HAVING count(*) > 1), e AS (SELECT graph_id, from_node AS node_id FROM u UNION ALL SELECT graph_id, to_node FROM u WHERE from_node <> to_node)
+  SELECT t.graph_id, t.node_id AS semantic_id, CASE semantic_type WHEN 'decision' THEN 'candidate_decision' WHEN 'sla_rule' THEN 'candidate_sla' WHEN 'annotation' THEN 'candidate_annotation' ELSE 'candidate_action' END AS unit_type, trim(title) AS heading, CASE WHEN note = '' THEN trim(title) ELSE note END AS content, (SELECT count(*) FROM e WHERE e.graph_id = t.graph_id AND e.node_id = t.node_id) AS uncertain_edges
+  FROM t WHERE semantic_type IS DISTINCT FROM 'end' AND note = '' AND trim(title) <> ''"""))
+def d33(spark, d):
+    """Nodes of all order graphs; an edge drawn under both conditions is uncertain."""
+    ends = lambda word: F.col("title").endswith(word)
+    kind = F.when(ends("gear"), "decision").when(ends("bolt"), "sla_rule").when(ends("rod"), "annotation").when(ends("ring"), "end")
+    mark = F.when(ends("rod") & (F.col("support") < 20), F.concat(F.lit("("), F.col("node_id").cast("string"), F.lit(")")))
+    nodes = C.graph_nodes(spark, d).select("graph_id", F.col("node_id").alias("semantic_id"), kind.alias("semantic_type"), "title", mark.alias("content"))
+    uncertain = C.graph_edges(spark, d).groupBy("graph_id", "from_node", "to_node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return EN.semantic_candidates(nodes, uncertain, "graph_id")

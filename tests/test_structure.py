@@ -105,3 +105,10 @@ def test_candidate_to_review(spark):
     assert {r.candidate_id for r in got if r.selected} == {3, 6}
     assert {r.candidate_id for r in got if r.reviewable} == {1, 3, 4, 6}
     assert {r.candidate_id: r.candidate_count for r in got} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 1, 6: 2, 7: 2}
+
+
+def test_semantic_candidates(spark):
+    nodes = [(1, 1, None, "Call", None), (1, 2, "annotation", "Note", " (a1) "), (1, 3, "annotation", "", "(a1) wait"), (1, 4, "start", "Go", "Go"), (1, 5, "odd", " ", None), (1, 6, "macro_script", None, "x" * 300)]
+    edges = [(1, 1, 3), (1, 3, 3), (2, 1, 6), (1, None, 6)]
+    got = enrichment.semantic_candidates(spark.createDataFrame(nodes, "g int, semantic_id int, semantic_type string, title string, content string"), spark.createDataFrame(edges, "g int, from_node int, to_node int"), "g").collect()
+    assert {r.semantic_id: (r.unit_type, len(r.heading), len(r.content), r.uncertain_edges) for r in got} == {1: ("candidate_action", 4, 4, 1), 3: ("candidate_annotation", 9, 9, 2), 6: ("macro_script", 180, 300, 1)}
