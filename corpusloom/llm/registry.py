@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, html_text, langid, media_avi, minhash, packing, permutation_index, quality, toxicity, warc
+from corpusloom.llm import byte_bpe, html_text, langid, media_avi, minhash, packing, permutation_index, prefix_trie, quality, quality_rules, spelling, toxicity, warc
+from corpusloom.llm.twins import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,19 @@ def op10_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.digests(media_avi.store(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = spelling.SpellingConfig(mutate=97)
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), cfg=cfg), cfg)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), family=5, cycle=9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -83,4 +97,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_round_trip": OP6_SQL}
+    return {"op6_warc_round_trip": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_trie": OP13_SQL}
