@@ -184,17 +184,31 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig, hashes: in
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _bags(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
-    """(rep, bag, sig): full sets and cfg.more further hashes of the texts of ``reps(rep)``, in one pass over the texts."""
-    wanted = materialize(reps.select(F.col("rep").alias("id")).distinct(), "wanted")  # its size is known, so that Spark can broadcast a small one
-    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).join(wanted, "id", "left_semi")
+def _bags(reps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
+    """(rep, bag, sig): full sets and cfg.more further hashes of one text of each class in ``reps(rep)``, in one pass over the texts."""
+    wanted = reps.select("rep").distinct().join(classes, "rep").select("rep", F.col("first_id").alias("id"), F.col("first_text").alias("text_key"))
+    wanted = materialize(wanted, "wanted")  # its size is known, so that Spark can broadcast a small one
+    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).withColumn("text_key", F.xxhash64("text")).join(wanted, ["id", "text_key"]).select("rep", "text")
 
-    def sets(ids, texts):
-        for i, text in zip(ids, texts, strict=True):
-            s = shingle_set(text, cfg.shingle)
-            yield i, s.tobytes(), signature(s, cfg.more, cfg.seed + 1).astype(np.uint8).tobytes()
-
-    return materialize(arrow_map(texts, sets, "rep long, bag binary, sig binary", pa.schema([("rep", pa.int64()), ("bag", pa.binary()), ("sig", pa.binary())])), "bags")
+    def run(batches):
+        seen = set()  # rows that repeat an id with its text give one bag a task
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for i, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if i not in seen:
+                        seen.add(i)
+                        s = shingle_set(text, cfg.shingle)
+                        out.append((i, s.tobytes(), signature(s, cfg.more, cfg.seed + 1).astype(np.uint8).tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["rep", "bag", "sig"])
+
+    bags = materialize(texts.mapInArrow(run, "rep long, bag binary, sig binary"), "bags")
+    if bags.groupBy("rep").count().where("count > 1").isEmpty():
+        return bags
+    once = materialize(bags.dropDuplicates(["rep"]), "bags")
+    drop(bags)
+    return once
 
 
 def _confirmed(pairs: DataFrame, bags: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -249,13 +263,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id: smallest id with the same shingle set; component_id: smallest id reached over links; kept: id is its
     component's. Null or empty texts, and texts of white space, have n_shingles 0 and stay alone. A row with a null id takes the component of
-    its text, if others have it too, but links nothing, and is kept. Repeated rows fall into one class. Other columns, of whatever name, are ignored. An empty table gives no rows.
+    its text, if others have it too, but links nothing, and is kept. Repeated rows fall into one class; rows that repeat an id with other texts
+    are linked each by its own text. Other columns, of whatever name, are ignored. An empty table gives no rows.
     """
     every = materialize(shingled(docs, id_col, text_col, cfg), "shingled")
-    classes = every.where("class_key is not null and id is not null").groupBy("class_key").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    classes = materialize(classes, "classes")
+    classes = every.where("class_key is not null and id is not null").groupBy("class_key").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count("*").alias("members"))
+    # A class goes by a number of its own, as an id may be the smallest of several classes; the number holds once the table is written.
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "class_key", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_text"), "members"), "classes")
     # Joined by class and id, so that a class of a third of all rows is spread over its ids.
-    reps = materialize(every.join(classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"]).select(F.col("id").alias("rep"), "n", "sig", "keys").dropDuplicates(["rep"]), "reps")
+    reps = materialize(every.join(classes.select("class_key", F.col("first_id").alias("id"), "rep"), ["class_key", "id"]).select("rep", "n", "sig", "keys").dropDuplicates(["rep"]), "reps")
     sigs = reps.select("rep", "sig")
 
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
@@ -264,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = shared.where((F.col("rep") > F.col("pivot")) & _size_ok("n", "pivot_n", cfg.percent)).groupBy("rep", "pivot").agg(F.count("*").alias("bands"))
     best = materialize(stars.groupBy("rep").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("first"))).alias("m")).select((-F.col("m.first")).alias("a"), F.col("rep").alias("b")), "best")
-    bags = _bags(shared, docs, id_col, text_col, cfg)
+    bags = _bags(shared, classes, docs, id_col, text_col, cfg)
     links = materialize(_confirmed(materialize(_survivors(best, sigs, cfg, cfg.hashes), "survivors"), bags, cfg), "confirmed")
     found = materialize(components(links), "components")
 
@@ -286,7 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialize(components(links.unionByName(more)), "components")
     drop(reps, shared, best, bags, links, label, rest, some, more)
 
-    known = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class_key", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    # A component is named by the smallest id of its classes.
+    linked = found.join(classes.select(F.col("rep").alias("node"), "first_id"), "node")
+    named = spread_join(linked.select("node", "component"), linked.groupBy("component").agg(F.min("first_id").alias("least_id")), "component")
+    known = classes.join(named.select(F.col("node").alias("rep"), "least_id"), "rep", "left").select("class_key", "members", F.col("first_id").alias("rep"), F.coalesce("least_id", "first_id").alias("component"))
     # Large classes, of which n rows have n / cfg.hot at most, are looked up in place; their rows, and those without words, are joined to nothing.
     large = F.broadcast(known.where(F.col("members") > cfg.hot).select("class_key", F.col("rep").alias("large_rep"), F.col("component").alias("large_component")))
     small = known.where(F.col("members") <= cfg.hot).select(F.col("class_key").alias("small_key"), "rep", "component")

@@ -60,6 +60,19 @@ def test_empty_table_and_null_id(spark):
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in rows) == [("4", 4, True), ("4", 4, True), ("None", 4, True)]
 
 
+def test_repeated_ids_are_linked_by_their_own_texts(spark):
+    """An id that is the smallest of several classes: every row's component comes from its own text alone."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(6)]
+    rows = [(9, texts[0]), (9, texts[1]), (3, texts[1] + " tail"), (4, "x y z"), (9, texts[2]), (9, texts[2]), (12, texts[2] + " more"), (9, texts[3]), (12, texts[3] + " end"), (12, texts[4]), (20, texts[4]), (9, None), (9, "x y z")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg=CFG).collect()
+    sets = brute(list(enumerate(t for _, t in rows)))
+    groups = {k: [j for j in sets if sets[j][1] == sets[k][1]] for k in sets}
+    expected = sorted((i, sets[k][0], min(rows[j][0] for j in groups[k])) for k, (i, _) in enumerate(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
 def test_sequential_look_keeps_true_pairs():
     assert all(m <= 0.8 * n for n, m in minhash.least_matches(192, 32, 0.8, 1e-6))
     sig = np.arange(192, dtype=np.uint32)[None, :]
