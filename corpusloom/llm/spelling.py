@@ -123,7 +123,7 @@ def neighbourhood(s: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     terms = s.astype(U64) * p
     upto = np.cumsum(terms, dtype=U64)
     whole = upto[-1]
-    same = np.unique(np.concatenate([whole + U64(more) * p[s + more <= symbols] for more in range(1, symbols)]))
+    same = np.unique(np.concatenate([p[:0], *(whole + U64(more) * p[s + more <= symbols] for more in range(1, symbols))]))
     shorter = np.unique(upto - terms + (whole - upto) * U64(BACK)) if n > 1 else np.empty(0, U64)
     return np.concatenate([whole[None], same, shorter]), np.repeat([n, n - 1], [1 + len(same), len(shorter)])
 
