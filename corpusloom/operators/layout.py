@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import spatial
 
 # Unit type of a node by words of its text, first match first, and the confidences given where a source has none.
 SLA_PATTERN = r"\bsla\b|\b\d+ (phut|gio)\b"
@@ -70,3 +73,24 @@ def atomic_graph_units(nodes: DataFrame, annotations: DataFrame, relations: Data
     target = F.coalesce(F.nullif("target_title", F.lit("")), F.lit("Related document"))
     links = relations.select(*row("relation", "relation_id", F.lit("related_document"), target, F.coalesce(F.nullif("evidence", F.lit("")), F.concat(F.lit("Related document: "), target)), F.least("confidence", F.lit(RELATION_LIMIT))))
     return units.unionByName(notes).unionByName(links)
+
+
+# Types that annotate instead of being nodes, and confidences by origin.
+ANNOTATION_TYPES = ["annotation", "warning", "audit_rule", "macro_script"]
+ORIGIN_CONFIDENCE = {"node": 0.55, "text_block": 0.56, "annotation": 0.58}
+
+
+def semantic_nodes(nodes: DataFrame, blocks: DataFrame, by: str, types: tuple[tuple[str, str], ...], other: Column, normalize: Callable[[Column], Column], least_share: float = 0.5, cell: float = 64.0) -> DataFrame:
+    """(by, semantic_id, semantic_type, key, origin, is_annotation, confidence): the drawn nodes, and the text blocks that no node stands for.
+
+    nodes and blocks(by, block_id, text, box). A block goes if a node of its page has the same normalised text, or covers ``least_share`` of the block's box
+    (found over a grid). ``types`` are (type, pattern) in order, ``other`` the type of the rest. Blank texts give nothing; null or flat boxes cover nothing.
+    """
+    kind = F.coalesce(*(F.when(F.col("text").rlike(p), F.lit(t)) for t, p in types), other)
+    typed = lambda df: df.where("trim(text) <> ''").select(by, "block_id", "box", normalize(F.col("text")).alias("key"), kind.alias("semantic_type"))
+    drawn, loose = typed(nodes), typed(blocks)
+    loose = spatial.uncovered(loose.join(drawn.select(by, "key").distinct(), [by, "key"], "left_anti"), drawn, by, "block_id", least_share, cell)
+    every = drawn.withColumn("origin", F.lit("node")).unionByName(loose.select(*drawn.columns).withColumn("origin", F.lit("text_block")))
+    note = F.col("semantic_type").isin(ANNOTATION_TYPES)
+    confidence = F.when(F.col("origin") == "node", ORIGIN_CONFIDENCE["node"]).when(note, ORIGIN_CONFIDENCE["annotation"]).otherwise(ORIGIN_CONFIDENCE["text_block"])
+    return every.select(by, F.concat(F.lit("sem_"), F.col("block_id").cast("string")).alias("semantic_id"), "semantic_type", "key", "origin", note.alias("is_annotation"), confidence.alias("confidence"))

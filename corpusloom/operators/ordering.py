@@ -27,6 +27,21 @@ def position(df: DataFrame, keys: list[str], order: str, out: str, width: int =
     return met.join(offsets, same).drop(*(f"__of_{c}" for c in named)).withColumn(out, (F.col("__inside") + F.col("__before")).cast("long")).drop("__block", "__inside", "__before")
 
 
+def running_max(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = 65_536) -> DataFrame:
+    """Adds the largest value at or before each row, by an integer column that is unique within its keys.
+
+    As in ``position``, windows hold one block of a key, and what earlier blocks of it had is joined from a small table: only keys with
+    several blocks have rows there.
+    """
+    cut = df.withColumn("__block", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*keys, "__block").agg(*(F.max(v).alias(f"__top_{c}") for c, v in values.items()))
+    carried = blocks.select(*keys, "__block", F.lag("__block").over(Window.partitionBy(*keys).orderBy("__block")).alias("__last"), *(F.max(f"__top_{c}").over(before).alias(f"__of_{c}") for c in values)).where("__last is not null").drop("__last")
+    met = cut.select("*", *(F.max(v).over(inside).alias(f"__in_{c}") for c, v in values.items())).join(carried, [*keys, "__block"], "left")
+    return met.select(*df.columns, *(F.greatest(f"__in_{c}", f"__of_{c}").alias(c) for c in values))
+
+
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row per key as one aggregation (combined before the shuffle), not a window."""
     rest = [c for c in df.columns if c not in keys]

@@ -230,10 +230,10 @@ def c21(spark, d):
     return C.table(spark, d, "orders").select("o_orderkey", F.date_format(F.add_months(F.col("o_orderdate").cast("date"), (3 * (1 + F.col("o_orderkey") % 4)).cast("int")), "yyyy-MM-dd").alias("due"))
 
 
-@query("c27_merge_ranges", "WITH r AS (SELECT l_orderkey, l_quantity::DOUBLE AS s, l_quantity::DOUBLE + 5 AS e FROM lineitem), o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r), i AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM o) SELECT l_orderkey, min(s) AS s, max(e) AS e FROM i GROUP BY l_orderkey, isl")
+@query("c27_merge_ranges", "WITH r AS (SELECT DISTINCT l_orderkey, l_quantity::DOUBLE AS s, l_quantity::DOUBLE + 5 AS e FROM lineitem), o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r), i AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM o) SELECT l_orderkey, min(s) AS s, max(e) AS e FROM i GROUP BY l_orderkey, isl")
 def c27(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("s", "e")
-    r = C.table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("s"), (F.col("l_quantity").cast("double") + 5).alias("e"))
+    r = C.table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("s"), (F.col("l_quantity").cast("double") + 5).alias("e")).distinct()
     o = r.withColumn("m", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     i = o.withColumn("isl", F.sum(F.when(F.col("m").isNull() | (F.col("s") > F.col("m")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return i.groupBy("l_orderkey", "isl").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("isl")

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import analytics, evidence, further, governance, ingestion, ranking, relations, retrieval, streams, structure  # noqa: F401
+    from corpusloom.plans import analytics, evidence, further, governance, ingestion, policies, ranking, relations, retrieval, streams, structure  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import graphs as GR
 from corpusloom.operators import ordering
 from corpusloom.operators import relations as R
+from corpusloom.operators import spatial
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval import KNN_SQL, TOKENS, j4
 from corpusloom.plans.views import using
@@ -169,8 +170,8 @@ def j19(spark, d):
 def j20(spark, d):
     n = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("page"), F.col("s_acctbal").cast("double").alias("x"))
     o = C.table(spark, d, "customer").select(F.col("c_custkey").alias("note"), F.col("c_nationkey").alias("page"), F.col("c_acctbal").cast("double").alias("y"))
-    near = o.join(n, "page").groupBy("note").agg(F.min(F.struct(F.abs(F.col("x") - F.col("y")).alias("distance"), "node")).alias("m"))
-    return near.select("note", "m.node", F.round("m.distance", 4).alias("distance"))
+    near = spatial.nearest(o.select("page", "note", F.col("y").alias("x"), F.lit(0.0).alias("y")), n.withColumn("y", F.lit(0.0)), "page", "note", "node")
+    return near.select("note", "node", F.round("distance", 4).alias("distance"))
 
 
 @query("k19_relation_review", f"WITH {EDGES} SELECT source_id, target_id, CASE WHEN source_id % 4 = 1 AND status = 'unresolved' THEN 'approved' WHEN source_id % 4 = 2 AND status = 'unresolved' THEN 'rejected' WHEN source_id % 4 = 3 THEN 'archived' ELSE status END AS status FROM edges")
