@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators.ordering import top_k
+from corpusloom.sources.scratch import written
 
 
 def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,19 +35,76 @@ def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str,
     return held.join(df, "term").join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(weight).alias("lexical_score"))
 
 
+SCORED = 4096  # queries that one group of a block scores
+
+
+def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int, k1: float = 1.2, b: float = 0.75, block: int = 512, first: int = 2) -> DataFrame:
+    """(query_id, doc_id, lexical_score, rank): the exact best k of ``bm25`` per query, ties (of nine decimals) to the smaller id, by block maxima.
+
+    Documents are dealt to blocks of about ``block``, so the postings of a stop word are many blocks' work; each block keeps a term's largest
+    weight. The sum of a query's maxima bounds what a block can hold. The ``first`` blocks of largest bound give each query a k-th best score, and
+    of the others only those are scored whose bound reaches it. Pairs of query and document never leave the task that scores a block: at most k a
+    query do. Queries and texts without terms have no row; a document or query id is one row.
+    """
+    asked = written(queries.select(F.col(query_id).alias("q"), F.explode(T.or_terms(F.col(query_text))).alias("term")).distinct(), "asked")
+    sized = corpus.select(F.col(doc_id).alias("id"), T.tokens(F.col(doc_text)).alias("ts"))
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= 200_000 else terms
+    long = sized.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
+    docs, mean = sized.select(F.size("ts").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    blocks = max(1, -(-docs // block))
+    held = written(long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "postings")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    weighted = held.join(df, "term").select("block", "term", "id", weight.alias("w"))
+    bounds = asked.join(weighted.groupBy("term", "block").agg(F.max("w").alias("w")), "term").groupBy("q", "block").agg(F.sum("w").alias("bound"))
+    bounds = written(bounds, "bounds")
+
+    def score(parts: DataFrame, part_of: Column) -> DataFrame:
+        wanted = asked.join(parts, "q").withColumn("part", part_of)
+        dealt = weighted.join(wanted.select("block", "part").distinct(), "block").select(F.col("block").alias("of_block"), F.col("part").alias("of_part"), "term", "id", "w")
+        kind = f"q {queries.schema[query_id].dataType.simpleString()}, id {corpus.schema[doc_id].dataType.simpleString()}, s double"
+        return dealt.groupBy("of_block", "of_part").cogroup(wanted.groupBy("block", "part")).applyInPandas(lambda postings, terms: best_of_block(postings, terms, k), kind)
+
+    parts = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // SCORED))))
+    opening = top_k(bounds, ["q"], first, F.col("bound").desc(), F.col("block"), rank="place").select("q", "block")
+    found = written(score(opening, parts), "found")
+    floor = top_k(found, ["q"], k, F.col("s").desc(), F.col("id")).where(F.col("rank") == k).select("q", F.col("s").alias("floor"))
+    rest = bounds.join(opening, ["q", "block"], "left_anti").join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9)).select("q", "block")
+    every = found.unionByName(score(rest, parts))
+    return top_k(every, ["q"], k, F.round("s", 9).desc(), F.col("id")).select(F.col("q").alias(query_id), F.col("id").alias(doc_id), F.col("s").alias("lexical_score"), "rank")
+
+
+def best_of_block(postings: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k documents of one block for each query of ``asked(q, term)``, from ``postings(term, id, w)``."""
+    postings = postings.sort_values("term", kind="stable")
+    ids, at = np.unique(postings["id"].to_numpy(), return_inverse=True)
+    weights, words = postings["w"].to_numpy(float), postings["term"].to_numpy()
+    lo, hi = (np.searchsorted(words, asked["term"].to_numpy(), side) for side in ("left", "right"))
+    out = []
+    for q, rows in asked.groupby("q").indices.items():
+        spans = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
+        if len(spans):
+            scores = np.bincount(at[spans], weights[spans], len(ids))
+            hit = np.unique(at[spans])
+            best = hit[np.lexsort((hit, -np.round(scores[hit], 9)))[:k]]
+            out.append(pd.DataFrame({"q": q, "id": ids[best], "s": scores[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"q": asked["q"][:0], "id": ids[:0], "s": np.empty(0)})
+
+
 def hashed_vectors(corpus: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
     """(id, v array<double>): signed, hashed bag of words of unit length; texts without tokens have no row.
 
-    The row's tokens are folded inside the row, so that nothing is shuffled.
+    Sums of the buckets are combined in the task that reads a text, so one row of ``dims`` numbers a task and text is shuffled.
     """
-    zeros = F.array_repeat(F.lit(0.0), dims)
-    parts = F.transform(T.tokens(F.col(text_col)), lambda t: F.struct(V.hash_bucket(t, dims).cast("int").alias("at"), V.hash_sign(t).cast("double").alias("x")))
-    raw = corpus.select(F.col(id_col), parts.alias("p")).where(F.size("p") > 0)
-    sparse = raw.select(id_col, F.explode("p").alias("e")).groupBy(id_col, "e.at").agg(F.sum("e.x").alias("x"))
+    hashed = corpus.select(F.col(id_col), F.explode(T.tokens(F.col(text_col))).alias("t")).groupBy(id_col, "t").agg(F.count("*").alias("n"))
+    placed = hashed.select(id_col, V.hash_bucket(F.col("t"), dims).cast("int").alias("at"), (V.hash_sign(F.col("t")) * F.col("n")).cast("double").alias("x"))
+    sparse = placed.groupBy(id_col, "at").agg(F.sum("x").alias("x"))
     filled = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)))
     unit = filled.select(id_col, v.alias("v")).withColumn("n", V.norm(F.col("v")))
-    return unit.select(id_col, F.when(F.col("n") > 0, F.transform("v", lambda x: x / F.col("n"))).otherwise(zeros).alias("v"))
+    return unit.select(id_col, F.when(F.col("n") > 0, F.transform("v", lambda x: x / F.col("n"))).otherwise(F.array_repeat(F.lit(0.0), dims)).alias("v"))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, vec: str = "v", block: int = 64) -> DataFrame:
@@ -52,12 +112,12 @@ def knn(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: in
 
     Queries go in blocks of bounded size; a corpus row meets each block once and is scored against it inside the row.
     """
-    numbered = queries.select(F.col(query_id), F.col(vec).alias("qv"), F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-queries.count() // block)))).alias("block"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct(F.col(query_id), F.col("qv"))).alias("qs"))
-    ids = [r["block"] for r in blocks.select("block").collect()]
-    if not ids:
-        return corpus.select(F.col(doc_id)).limit(0).select(F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id), doc_id, F.lit(0.0).alias("vector_score"), F.lit(0).alias("rank"))
-    met = corpus.select(F.col(doc_id), F.col(vec), F.explode(F.array(*(F.lit(int(b)).cast("long") for b in ids))).alias("block")).join(blocks.withColumn("block", F.col("block").cast("long")), "block")
+    asked = queries.count()
+    n = max(1, -(-asked // block))
+    blocks = queries.select(F.col(query_id), F.col(vec).alias("qv"), F.pmod(F.xxhash64(query_id), F.lit(n)).alias("block")).groupBy("block").agg(F.collect_list(F.struct(F.col(query_id), F.col("qv"))).alias("qs"))
+    # A query set of known, small size goes to the corpus; a larger one meets it block by block.
+    blocks = F.broadcast(blocks) if asked <= 20_000 else blocks
+    met = corpus.select(F.col(doc_id), F.col(vec), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(blocks, "block")
     scored = met.select(doc_id, F.explode(F.transform("qs", lambda q: F.struct(q[query_id].alias(query_id), V.cosine(q["qv"], F.col(vec)).alias("vector_score")))).alias("s")).select(f"s.{query_id}", doc_id, "s.vector_score")
     return top_k(scored, [query_id], k, F.round("vector_score", 9).desc(), F.col(doc_id))
 
@@ -98,7 +158,7 @@ def backfill(primary: DataFrame, secondary: DataFrame, query_id: str, doc_id: st
 
 def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", doc_id: str = "chunk_id", text: str = "text", candidates: int = 30, output: int = 10, dims: int = 64) -> DataFrame:
     """Flagship: lexical and vector candidates, merged, fused and ordered; ten per query."""
-    lexical = top_k(bm25(queries, corpus, query_id, text, doc_id, text), [query_id], candidates, F.round("lexical_score", 9).desc(), F.col(doc_id))
+    lexical = bm25_top(queries, corpus, query_id, text, doc_id, text, candidates)
     nearest = knn(hashed_vectors(queries, query_id, text, dims), hashed_vectors(corpus, doc_id, text, dims), query_id, doc_id, candidates)
     merged = reliable(merge_sources(lexical, nearest, query_id, doc_id))
     best = top_k(merged, [query_id], output, F.round("fusion_score", 9).desc(), F.round("lexical_score", 9).desc(), F.round("vector_score", 9).desc(), F.col(doc_id))

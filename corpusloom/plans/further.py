@@ -11,7 +11,7 @@ from corpusloom.operators import ordering
 from corpusloom.operators import ranking as K
 from corpusloom.plans.registry import query
 from corpusloom.plans.relations import GRAPH
-from corpusloom.plans.retrieval import KNN_SQL, j3, j4
+from corpusloom.plans.retrieval import KNN_SQL, j4
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
 
@@ -215,12 +215,6 @@ def k32(spark, d):
     return s.groupBy("l_orderkey", "grp").agg(F.count("*").alias("boxes"), (F.max("y") - F.min("y")).alias("height"))
 
 
-@query("m8_lexical_rank", None)
-def m8(spark, d):
-    """Place of every chunk by lexical score per query; scores are those of j3."""
-    return ordering.top_k(j3(spark, d), ["query_id"], 30, F.col("lexical_score").desc(), F.col("chunk_id"), rank="place")
-
-
 @query("x3_relevance_plugin", "SELECT vec_id, round(CASE WHEN vec_id % 2 = 0 THEN 10 * 0.45 + (label / 10.0) * 100 * 0.55 ELSE 10 END, 6)::DOUBLE AS final_score FROM embeddings")
 def x3(spark, d):
     v = C.vectors(spark, d).select("vec_id", "label")

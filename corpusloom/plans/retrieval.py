@@ -75,15 +75,27 @@ def c23(spark, d):
     return C.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("place", "url"))
 
 
-@query("j3_lexical_bm25", using("kb_tokens kb_query_tokens", """, post AS (SELECT doc_id, term, count(*) AS tf FROM kb_tokens GROUP BY ALL), len AS (SELECT doc_id, count(*) AS length FROM kb_tokens GROUP BY ALL),
+BM25_SQL = """, post AS (SELECT doc_id, term, count(*) AS tf FROM kb_tokens GROUP BY ALL), len AS (SELECT doc_id, count(*) AS length FROM kb_tokens GROUP BY ALL),
 asked AS (SELECT DISTINCT query_id, term FROM kb_query_tokens WHERE length(term) >= 2), df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
-n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(length) FROM len) * 1.0 / (SELECT count(*) FROM documents) AS mean)
-SELECT query_id, post.doc_id AS chunk_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS lexical_score
-FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len ON len.doc_id = post.doc_id CROSS JOIN n GROUP BY ALL"""))
+n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(length) FROM len) * 1.0 / (SELECT count(*) FROM documents) AS mean),
+s AS (SELECT query_id, post.doc_id AS chunk_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len ON len.doc_id = post.doc_id CROSS JOIN n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM s)"""
+J3_TOP, M8_TOP = 100, 30
+
+
+@query("j3_lexical_bm25", using("kb_tokens kb_query_tokens", BM25_SQL + f" SELECT query_id, chunk_id, round(s, 6) AS lexical_score FROM r WHERE rank <= {J3_TOP}"))
 def j3(spark, d):
+    """The best hundred documents of each benchmark passage."""
     q = C.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     c = C.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bm25(q, c, "query_id", "text", "chunk_id", "text").select("query_id", "chunk_id", F.round("lexical_score", 6).alias("lexical_score"))
+    return retrieval.bm25_top(q, c, "query_id", "text", "chunk_id", "text", J3_TOP).select("query_id", "chunk_id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
+@query("m8_lexical_rank", using("kb_tokens kb_query_tokens", BM25_SQL + f" SELECT query_id, chunk_id, round(s, 6) AS lexical_score, rank AS place FROM r WHERE rank <= {M8_TOP}"))
+def m8(spark, d):
+    """The first thirty places by lexical score of each benchmark passage."""
+    q, c = _benchmark_queries(spark, d)
+    return retrieval.bm25_top(q, c, "query_id", "text", "chunk_id", "text", M8_TOP).select("query_id", "chunk_id", F.round("lexical_score", 6).alias("lexical_score"), F.col("rank").alias("place"))
 
 
 KNN_SQL = """, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS vector_score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
@@ -169,7 +181,7 @@ m AS (SELECT coalesce(kw.query_id, vec.query_id) AS query_id, coalesce(kw.chunk_
 @query("j5_keyword_vector_merge", using("kb_tokens kb_query_tokens", HYBRID + " SELECT query_id, chunk_id, round(lexical_score, 5) AS lexical_score, round(vector_score, 5) AS vector_score, keyword_rank, vector_rank, round(fusion_score, 6) AS fusion_score FROM m"))
 def j5(spark, d):
     q, c = _benchmark_queries(spark, d)
-    lexical = ordering.top_k(retrieval.bm25(q, c, "query_id", "text", "chunk_id", "text"), ["query_id"], 30, F.round("lexical_score", 9).desc(), F.col("chunk_id"))
+    lexical = retrieval.bm25_top(q, c, "query_id", "text", "chunk_id", "text", 30)
     near = retrieval.knn(retrieval.hashed_vectors(q, "query_id", "text"), retrieval.hashed_vectors(c, "chunk_id", "text"), "query_id", "chunk_id", 30)
     m = retrieval.merge_sources(lexical, near, "query_id", "chunk_id")
     return m.select("query_id", "chunk_id", F.round("lexical_score", 5).alias("lexical_score"), F.round("vector_score", 5).alias("vector_score"), "keyword_rank", "vector_rank", F.round("fusion_score", 6).alias("fusion_score"))

@@ -148,3 +148,18 @@ def test_no_python_or_cartesian_in_core_plans(spark):
     for name in ("k24_hybrid_retrieve", "j3_lexical_bm25", "k20_reconcile", "a15_publish_readiness", "j16_click_attribution", "k3_chunk"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "Python" not in plan and "NestedLoop" not in plan, name
+
+
+@pytest.mark.parametrize(("k", "block", "first"), [(1, 2, 1), (3, 4, 1), (3, 1, 2), (50, 8, 2), (5, 1000, 2)])
+def test_block_maxima_give_the_exact_best(spark, k, block, first):
+    rng = random.Random(k * block)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(vocab, weights=[1 / (i + 1) for i in range(40)], k=n))
+    docs = spark.createDataFrame([(i, text(rng.randint(1, 30))) for i in range(60)] + [(100, ""), (101, None), (102, "w39 " * 50), (103, "w39 " * 50)], "d long, t string")
+    asked = spark.createDataFrame([(i, text(rng.randint(1, 6))) for i in range(8)] + [(50, "unknown"), (51, ""), (52, "w39")], "q long, t string")
+    every = {}
+    for r in retrieval.bm25(asked, docs, "q", "t", "d", "t").collect():
+        every.setdefault(r.q, []).append((-round(r.lexical_score, 9), r.d))
+    expected = sorted((q, place + 1, d) for q, rows in every.items() for place, (_, d) in enumerate(sorted(rows)[:k]))
+    found = retrieval.bm25_top(asked, docs, "q", "t", "d", "t", k, block=block, first=first).collect()
+    assert sorted((r.q, r["rank"], r.d) for r in found) == expected
