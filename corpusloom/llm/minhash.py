@@ -268,8 +268,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     every = materialize(shingled(docs, id_col, text_col, cfg), "shingled")
     classes = every.where("class_key is not null and id is not null").groupBy("class_key").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count("*").alias("members"))
-    # A class goes by a number of its own, as an id may be the smallest of several classes; the number holds once the table is written.
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "class_key", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_text"), "members"), "classes")
+    # A class goes by a number of its own, as an id may be the smallest of several classes; the number holds once the table is written. Numbers follow
+    # the smallest ids, so that what others were copied from, which mostly comes first, is what they are compared with first.
+    first = classes.select("class_key", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_text"), "members")
+    classes = materialize(first.orderBy("first_id", "class_key").withColumn("rep", F.monotonically_increasing_id()), "classes")
     # Joined by class and id, so that a class of a third of all rows is spread over its ids.
     reps = materialize(every.join(classes.select("class_key", F.col("first_id").alias("id"), "rep"), ["class_key", "id"]).select("rep", "n", "sig", "keys").dropDuplicates(["rep"]), "reps")
     sigs = reps.select("rep", "sig")
