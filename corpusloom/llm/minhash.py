@@ -187,8 +187,10 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, cfg: MinHashConfig, hashes: in
 def _bags(reps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig) -> DataFrame:
     """(rep, bag, sig): full sets and cfg.more further hashes of one text of each class in ``reps(rep)``, in one pass over the texts."""
     wanted = reps.select("rep").distinct().join(classes, "rep").select("rep", F.col("first_id").alias("id"), F.col("first_text").alias("text_key"))
-    wanted = materialize(wanted, "wanted")  # its size is known, so that Spark can broadcast a small one
-    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).withColumn("text_key", F.xxhash64("text")).join(wanted, ["id", "text_key"]).select("rep", "text")
+    wanted = materialize(wanted, "wanted")
+    ids = materialize(wanted.select("id").distinct(), "wanted-ids")  # ids alone: their size is known, so that Spark can broadcast few of them; only what they keep is joined by text
+    texts = docs.select(name(id_col).cast("long").alias("id"), name(text_col).alias("text")).join(ids, "id", "left_semi")
+    texts = texts.withColumn("text_key", F.xxhash64("text")).join(wanted, ["id", "text_key"]).select("rep", "text")
 
     def run(batches):
         seen = set()  # rows that repeat an id with its text give one bag a task
