@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
+from corpusloom.sources.scratch import new_folder
 from corpusloom.streaming import logs
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _glob(path: str) -> str:
     """A pattern for the table's path, as a stream may read a single file by pattern only."""
     return path.removesuffix("t") + "[t]"
@@ -41,7 +30,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     A row of a key may appear again in update mode; the caller keeps the last.
     """
     spark = stream.sparkSession
-    base = _shared(spark)
+    base = new_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     else:
@@ -80,7 +69,7 @@ def t3(spark, d):
 @query("t5_embedding_backfill_stream", "SELECT vec_id AS id, 'm:64' AS spec, label AS embedded FROM embeddings")
 def t5(spark, d):
     path = f"{d}/embeddings.parquet"
-    base = _shared(spark)
+    base = new_folder(spark, "stream")
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_glob(path)).select(F.col("vec_id").alias("id"), "label")
     for run in range(2):  # the second run finds every row done
         logs.backfill(stream, f"{base}/rows", "m:64", f"{base}/state-{run}", lambda b: b.withColumnRenamed("label", "embedded"))
