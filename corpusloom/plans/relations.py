@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import graphs as GR
 from corpusloom.operators import ordering
 from corpusloom.operators import relations as R
-from corpusloom.operators import spatial
+from corpusloom.operators import similarity, spatial
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval import KNN_SQL, TOKENS, j4
 from corpusloom.plans.views import using
@@ -159,6 +159,48 @@ def k20_all(spark, d):
     return ordering.top_k(o.withColumn("relation", F.expr(RELATION)), ["a", "relation"], 5, F.col("overlap").desc(), F.col("b"), rank="place")
 
 
+SETS = f""", t AS (SELECT doc_id AS id, list_distinct({TOKENS.replace("content", "text")}) AS ts FROM documents), m AS (SELECT id, md5(array_to_string(list_sort(ts), ' ')) AS k, ts FROM t WHERE len(ts) > 0),
+    c AS (SELECT k, min(id) AS class_id, count(*) AS members, any_value(ts) AS ts, len(any_value(ts)) AS n FROM m GROUP BY k),
+    links AS (SELECT x.k AS ka, y.k AS kb, x.class_id AS a, y.class_id AS b, y.members AS mb, len(list_intersect(x.ts, y.ts)) AS shared, x.n AS size_a, y.n AS size_b FROM c x JOIN c y ON x.k <> y.k AND least(x.n, y.n) * 100 >= 82 * greatest(x.n, y.n) WHERE len(list_intersect(x.ts, y.ts)) * 100 >= 82 * greatest(x.n, y.n))"""
+
+
+def _similar(spark, d):
+    docs = C.table(spark, d, "documents").select("doc_id", "text")
+    rows, sets = similarity.set_classes(docs, "doc_id", "text")
+    return docs, rows, similarity.similar_sets(sets)
+
+
+def _named(rows, links):
+    """Links by the ids of their classes instead of the classes' numbers."""
+    ids = rows.select("rep", "class_id").distinct()
+    for c in "ab":
+        links = links.join(ids.select(F.col("rep").alias(c), F.col("class_id").alias(f"id_{c}")), c)
+    return links
+
+
+@query("j18_similar_documents", "WITH z AS (SELECT 1)" + SETS + ", n AS (SELECT ka AS k, sum(mb)::BIGINT AS n_links FROM links GROUP BY 1) SELECT id AS doc_id, class_id, members - 1 AS n_copies, coalesce(n_links, 0) AS n_links FROM m JOIN c USING (k) LEFT JOIN n USING (k) UNION ALL SELECT id, NULL, 0, 0 FROM t WHERE coalesce(len(ts), 0) = 0")
+def j18_similar(spark, d):
+    docs, rows, links = _similar(spark, d)
+    return similarity.link_counts(docs, "doc_id", "text", rows, links)
+
+
+@query("j18_similar_class_pairs", "WITH z AS (SELECT 1)" + SETS + " SELECT a, b, shared, size_a, size_b FROM links WHERE a < b")
+def j18_similar_pairs(spark, d):
+    _, rows, links = _similar(spark, d)
+    swap = F.col("id_a") > F.col("id_b")
+    ends = (F.when(swap, F.col(y)).otherwise(F.col(x)).alias(o) for x, y, o in (("size_a", "size_b", "size_a"), ("size_b", "size_a", "size_b")))
+    return _named(rows, links).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared", *ends)
+
+
+@query("k20_duplicate_documents", "WITH z AS (SELECT 1)" + SETS + ", o AS (SELECT a, b, round(shared / greatest(size_a, size_b), 6) AS overlap FROM links) SELECT a, b, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS place FROM o) WHERE place <= 5")
+def k20_duplicates(spark, d):
+    """The report's five best duplicates of each class, as the report's limit is; j18_similar_class_pairs has all of them."""
+    _, rows, links = _similar(spark, d)
+    o = _named(rows, links).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(F.col("shared") / F.greatest("size_a", "size_b"), 6).alias("overlap"))
+    o = o.unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
+    return ordering.top_k(o, ["a"], 5, F.col("overlap").desc(), F.col("b"), rank="place")
+
+
 @query("j19_polarity_conflicts", using("kb_units", f", t AS (SELECT version_id AS id, list_distinct({TOKENS}) AS ts, version_id % 2 = 0 AS allow, length(content) // 20 AS scope FROM kb_units WHERE chunk_index = 0) SELECT x.id AS a, y.id AS b, len(list_intersect(x.ts, y.ts)) AS shared FROM t x JOIN t y ON x.scope = y.scope AND x.id < y.id AND x.allow <> y.allow WHERE len(list_intersect(x.ts, y.ts)) >= 4"))
 def j19(spark, d):
     t = C.units(spark, d).where("chunk_index = 0").select(F.col("version_id").alias("id"), F.array_distinct(T.tokens(F.col("content"))).alias("ts"), F.floor(F.length("content") / 20).alias("scope"))

@@ -1,12 +1,13 @@
 """Parity cases on tiny frames."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import analytics, chunking, governance, graphs, ordering, ranking, relations, retrieval
+from corpusloom.operators import analytics, chunking, governance, graphs, ordering, ranking, relations, retrieval, similarity
 
 
 def plain_chunks(sizes, target, overlap):
@@ -163,3 +164,25 @@ def test_block_maxima_give_the_exact_best(spark, k, block, first):
     expected = sorted((q, place + 1, d) for q, rows in every.items() for place, (_, d) in enumerate(sorted(rows)[:k]))
     found = retrieval.bm25_top(asked, docs, "q", "t", "d", "t", k, block=block, first=first).collect()
     assert sorted((r.q, r["rank"], r.d) for r in found) == expected
+
+
+@pytest.mark.parametrize("block", [3, 4_000])
+def test_similar_sets_are_all_pairs(spark, block):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    base = [[rng.choice(words) for _ in range(n)] for n in (1, 5, 12, 30, 30)]
+    rows = [(9, "alpha beta gamma"), (9, "one two three four"), (9, "one two three four"), (3, "One  two three; four"), (4, None), (5, ""), (6, " ?! "), (None, "alpha beta gamma")]
+    rows += [(100 + k, " ".join(w if rng.random() > 0.06 else rng.choice(words) for w in base[k % 5])) for k in range(90)]
+    rows += [(300, "long " + " ".join(f"x{k}" for k in range(20_000))), (301, " ".join(f"x{k}" for k in range(18_000)))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
+    found, sets = similarity.set_classes(docs, "doc_id", "text")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.class_id or -1, r.n_copies, r.n_links) for r in similarity.link_counts(docs, "doc_id", "text", found, similarity.similar_sets(sets, 82, block, 1 << 10)).collect())
+    bags = [(i, frozenset(re.findall(r"\w+", (t or "").lower()))) for i, t in rows]
+    want = []
+    for i, s in bags:
+        same = [j for j, o in bags if o == s and j is not None]
+        near = [j for j, o in bags if j is not None and o != s and o and 100 * len(s & o) >= 82 * max(len(s), len(o))]
+        want.append((i is None, i or 0, min(same), len(same) - 1, len(near)) if s and i is not None else (i is None, i or 0, -1, 0, 0))
+    assert got == sorted(want) and max(w[4] for w in want) > 5
+    empty, none = similarity.set_classes(docs.limit(0), "doc_id", "text")
+    assert similarity.link_counts(docs.limit(0), "doc_id", "text", empty, similarity.similar_sets(none)).count() == 0
