@@ -9,6 +9,7 @@ K n exp(-lambda s). A text's evidence is summed over its significant segments an
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 from collections import Counter
@@ -227,8 +228,19 @@ def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     # A repeated id may bring more texts than ids: the bound holds for rows too.
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.fit_rows)
     found = found.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rank") == 1) | (F.col("total") <= cfg.fit_tokens))
-    rows_ = sorted((r["place"], r["y"], r["tokens"]) for r in found.select("place", "y", "tokens").toLocalIterator())
-    return fit([(y, list(map(sys.intern, t.split()))) for _, y, t in rows_], cfg)  # one object per word: the sample stays small
+
+    def fitted(batches):
+        held = []
+        for batch in batches:
+            for p, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((p, y, t, list(map(sys.intern, t.split()))))  # one object per word: the sample stays small
+        if held:
+            held.sort(key=lambda r: r[:3])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(y, w) for _, y, _, w in held], cfg))], pa.binary())], names=["model"])
+
+    # The sample is bounded, so that one task can fit on it; the driver gets the model only.
+    model = found.select("place", "y", "tokens").repartition(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(model["model"]) if model else fit([], cfg)
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
