@@ -175,8 +175,8 @@ def test_similar_sets_are_all_pairs(spark, block):
     rows += [(100 + k, " ".join(w if rng.random() > 0.06 else rng.choice(words) for w in base[k % 5])) for k in range(90)]
     rows += [(300, "long " + " ".join(f"x{k}" for k in range(20_000))), (301, " ".join(f"x{k}" for k in range(18_000)))]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
-    found, sets = similarity.set_classes(docs, "doc_id", "text")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.class_id or -1, r.n_copies, r.n_links) for r in similarity.link_counts(docs, "doc_id", "text", found, similarity.similar_sets(sets, 82, block, 1 << 10)).collect())
+    found, sets, reps = similarity.set_classes(docs, "doc_id", "text")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.class_id or -1, r.n_copies, r.n_links) for r in similarity.link_counts(docs, "doc_id", "text", found, similarity.similar_sets(sets, reps, 82, block, 1 << 10)).collect())
     bags = [(i, frozenset(re.findall(r"\w+", (t or "").lower()))) for i, t in rows]
     want = []
     for i, s in bags:
@@ -184,5 +184,5 @@ def test_similar_sets_are_all_pairs(spark, block):
         near = [j for j, o in bags if j is not None and o != s and o and 100 * len(s & o) >= 82 * max(len(s), len(o))]
         want.append((i is None, i or 0, min(same), len(same) - 1, len(near)) if s and i is not None else (i is None, i or 0, -1, 0, 0))
     assert got == sorted(want) and max(w[4] for w in want) > 5
-    empty, none = similarity.set_classes(docs.limit(0), "doc_id", "text")
-    assert similarity.link_counts(docs.limit(0), "doc_id", "text", empty, similarity.similar_sets(none)).count() == 0
+    empty, none, no_reps = similarity.set_classes(docs.limit(0), "doc_id", "text")
+    assert similarity.link_counts(docs.limit(0), "doc_id", "text", empty, similarity.similar_sets(none, no_reps)).count() == 0
