@@ -9,7 +9,7 @@ from corpusloom.plans.registry import query
 from corpusloom.plans.views import using
 from corpusloom.sources import corpus as C
 from corpusloom.sources.scratch import new_folder
-from corpusloom.streaming import logs
+from corpusloom.streaming import late, logs
 
 
 def _glob(path: str) -> str:
@@ -80,3 +80,62 @@ def t5(spark, d):
 def t6(spark, d):
     out = drained(logs.feedback_counts(_audit(events_stream(spark, d))), "update")
     return out.groupBy("query").agg(F.max_by("n", "epoch").alias("n"))
+
+
+LATE = "2 days"
+ARRIVALS = 3
+FED = """, a AS (SELECT *, least((day(ts) - 1) // 10 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, 2) AS arrival FROM kb_audit),
+m AS (SELECT arrival, max(ts) AS newest FROM a GROUP BY 1), lim AS (SELECT x.arrival, max(m.newest) - INTERVAL 2 DAY AS lim FROM m x LEFT JOIN m ON m.arrival < x.arrival GROUP BY 1),
+f AS (SELECT a.*, ts IS NULL OR coalesce(ts < lim, false) AS aside FROM a JOIN lim USING (arrival)), o AS (SELECT * FROM f WHERE NOT aside),
+e AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS closed FROM o)
+"""
+
+
+def _fed(spark: SparkSession, d: str, consumers: dict[str, late.Consumer]) -> tuple[str, DataFrame]:
+    """The audit log as a feed of three deliveries, each taken when it arrives; every seventh event comes one delivery late. Returns the folder and all rows."""
+    base = new_folder(spark, "feed")
+    events = C.audit(spark, d)
+    arrival = F.least(F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0), F.lit(ARRIVALS - 1))
+    for k in range(ARRIVALS):
+        events.where(F.coalesce(arrival, F.lit(0)) == k).write.mode("append").parquet(f"{base}/in")
+        late.drain(spark.readStream.schema(events.schema).parquet(f"{base}/in"), base, LATE, consumers)
+    return base, late.rows(spark, base, events.schema)
+
+
+def _closed(spark: SparkSession, d: str, name: str, work: late.Consumer) -> DataFrame:
+    """What one consumer has given out: the windows that the watermark closed."""
+    base, _ = _fed(spark, d, {name: work})
+    return spark.read.parquet(f"{base}/{name}")
+
+
+@query("t1_late_rows", using("kb_audit", FED + "SELECT event_id, arrival AS epoch FROM f WHERE aside"))
+def t1_late_rows(spark, d):
+    """Rows that came after their watermark, with the batch that brought them."""
+    return _fed(spark, d, {})[1].where("aside__").select("event_id", "epoch")
+
+
+@query("t1_closed_windows", using("kb_audit", FED + "SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS start_us, action, count(*) AS n, round(avg(rank), 6) AS avg_rank FROM o, e WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= closed GROUP BY ALL"))
+def t1_closed_windows(spark, d):
+    """Days that the watermark closed, without the late rows."""
+    out = _closed(spark, d, "daily", lambda s: logs.windowed_kpis(s, late=LATE))
+    return out.select(F.unix_micros("start").alias("start_us"), "action", "n", F.round("avg_rank", 6).alias("avg_rank"))
+
+
+@query("t1_trailing_windows", using("kb_audit", FED + ", w AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, action FROM o, range(7) r(k)) SELECT CAST(epoch_us(start) AS BIGINT) AS start_us, action, count(*) AS n FROM w, e WHERE start + INTERVAL 7 DAY <= closed GROUP BY ALL"))
+def t1_trailing_windows(spark, d):
+    """Trailing weeks, one a day, that the watermark closed."""
+    return _closed(spark, d, "weekly", lambda s: logs.windowed_kpis(s, "7 days", "1 day", LATE)).select(F.unix_micros("start").alias("start_us"), "action", "n")
+
+
+@query("t3_closed_alerts", using("kb_audit", FED + "SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS start_us, query, count(*) AS n FROM o, e WHERE rank % 7 = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= closed GROUP BY ALL HAVING count(*) >= 2"))
+def t3_closed_alerts(spark, d):
+    """Queries with two or more empty results on a closed day; the watermark is that of all rows, not of the empty results alone."""
+    empty = F.when(F.col("rank") % 7 == 0, 0).otherwise(1)
+    return _closed(spark, d, "alerts", lambda s: logs.closed_alerts(s.withColumn("result_count", empty), 2, late=LATE)).select(F.unix_micros("start").alias("start_us"), "query", "n")
+
+
+@query("t4_session_stream", using("kb_audit", FED + ", g AS (SELECT actor, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY actor ORDER BY ts)), s AS (SELECT actor, ts, sum(new) OVER (PARTITION BY actor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT actor AS user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, count(*) AS n FROM s, e GROUP BY actor, s, closed HAVING max(ts) + INTERVAL 6 HOUR <= closed"))
+def t4_session_stream(spark, d):
+    """Sessions of a user, ended by six idle hours, that the watermark closed."""
+    out = _closed(spark, d, "sessions", lambda s: logs.sessions(s.withColumnRenamed("actor", "user_id"), "6 hours", LATE))
+    return out.select("user_id", F.unix_micros("first").alias("first_us"), "n")

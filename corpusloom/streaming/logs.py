@@ -23,6 +23,13 @@ def zero_result_alerts(log: DataFrame, least: int, window: str = "1 day", late:
     return log.where("result_count = 0").withWatermark("ts", late).groupBy(F.window("ts", window), "query").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("window.start").alias("start"), "query", "n")
 
 
+def closed_alerts(log: DataFrame, least: int, window: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Alerts in append mode: the watermark follows all rows of the log, so that a day without empty results closes the days before it too."""
+    empty = F.sum(F.when(F.col("result_count") == 0, 1).otherwise(0))
+    counted = log.withWatermark("ts", late).groupBy(F.window("ts", window), "query").agg(empty.alias("n"))
+    return counted.where(F.col("n") >= least).select(F.col("window.start").alias("start"), "query", "n")
+
+
 def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
 
