@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import highlight
 from corpusloom.operators import ranking as K
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval import TOKENS
@@ -174,6 +175,12 @@ def c26(spark, d):
     return hit.join(docs, "doc_id").join(b.select("item_id", "b"), "item_id").where(F.contains("text", F.col("b"))).select("doc_id", "item_id", F.expr("instr(text, b)").cast("long").alias("start_at"), F.length("b").cast("long").alias("n"))
 
 
+@query("c26_highlight_alignment")
+def c26_alignment(spark, d):
+    """The best place of every benchmark passage in every document that has one: exact, normalised or within a tenth of its words."""
+    return highlight.highlights(C.table(spark, d, "documents"), C.table(spark, d, "benchmark"))
+
+
 @query("c31_answer_pruning", using("kb_lines", ", s AS (SELECT version_id, chunk_index, list_filter(string_split(raw, '. '), lambda x: NOT contains(lower(x), 'the')) AS s FROM kb_lines) SELECT version_id, chunk_index, array_to_string(s, '. ') AS pruned FROM s"))
 def c31(spark, d):
     lines = C.table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "raw"))
