@@ -88,8 +88,10 @@ def highlights(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", ite
     first = F.greatest(F.col("band") * (F.col("k") + 1) - F.col("k"), F.lit(0))
     last = (F.col("band") + 1) * (F.col("k") + 1) + F.size("pw") + F.col("k")
     placed = both.withColumn("first", first).withColumn("a", _aligned(F.slice(words(F.col("body")), F.col("first") + 1, last - F.col("first")), F.col("pw"), F.col("k")))
-    placed = placed.where("a.edits IS NOT NULL").withColumn("place", F.struct(F.col("a.edits").alias("edits"), (F.col("first") + F.col("a.start")).alias("start"), (F.col("first") + F.col("a.end")).alias("end")))
-    best = placed.groupBy("doc_id", "tk", "item_id", "nk").agg(F.min("place").alias("place"), F.first("body").alias("body"), F.first("passage").alias("passage"))
+    place = F.struct(F.col("a.edits").alias("edits"), (F.col("first") + F.col("a.start")).alias("start"), (F.col("first") + F.col("a.end")).alias("end"))
+    # the filter follows the grouping: before it, it would align every candidate a second time
+    placed = placed.withColumn("place", F.when(F.col("a.edits").isNotNull(), place))
+    best = placed.groupBy("doc_id", "tk", "item_id", "nk").agg(F.min("place").alias("place"), F.first("body").alias("body"), F.first("passage").alias("passage")).where("place IS NOT NULL")
     # word j (from 0) is piece 2j, or 2j + 1 if the text begins between words
     lead = F.when(F.col("body").rlike("^" + WORD), 0).otherwise(1)
     skip, span = F.col("place.start") * 2 + lead, (F.col("place.end") - F.col("place.start")) * 2 - 1
