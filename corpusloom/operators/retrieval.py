@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.operators.nearest import knn
 from corpusloom.operators.ordering import top_k
 from corpusloom.sources.scratch import written
 
@@ -107,21 +108,6 @@ def hashed_vectors(corpus: DataFrame, id_col: str, text_col: str, dims: int = 64
     return unit.select(id_col, F.when(F.col("n") > 0, F.transform("v", lambda x: x / F.col("n"))).otherwise(F.array_repeat(F.lit(0.0), dims)).alias("v"))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, vec: str = "v", block: int = 64) -> DataFrame:
-    """(query_id, doc_id, vector_score, rank): exact nearest by cosine for a stated query set, ties to the smaller id.
-
-    Queries go in blocks of bounded size; a corpus row meets each block once and is scored against it inside the row.
-    """
-    asked = queries.count()
-    n = max(1, -(-asked // block))
-    blocks = queries.select(F.col(query_id), F.col(vec).alias("qv"), F.pmod(F.xxhash64(query_id), F.lit(n)).alias("block")).groupBy("block").agg(F.collect_list(F.struct(F.col(query_id), F.col("qv"))).alias("qs"))
-    # A query set of known, small size goes to the corpus; a larger one meets it block by block.
-    blocks = F.broadcast(blocks) if asked <= 20_000 else blocks
-    met = corpus.select(F.col(doc_id), F.col(vec), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(blocks, "block")
-    scored = met.select(doc_id, F.explode(F.transform("qs", lambda q: F.struct(q[query_id].alias(query_id), V.cosine(q["qv"], F.col(vec)).alias("vector_score")))).alias("s")).select(f"s.{query_id}", doc_id, "s.vector_score")
-    return top_k(scored, [query_id], k, F.round("vector_score", 9).desc(), F.col(doc_id))
-
-
 def reciprocal_rank_fusion(rankings: list[DataFrame], query_id: str, doc_id: str, k: int = 60) -> DataFrame:
     """(query_id, doc_id, rrf) from frames with a rank column."""
     every = rankings[0].select(query_id, doc_id, "rank")
@@ -159,7 +145,7 @@ def backfill(primary: DataFrame, secondary: DataFrame, query_id: str, doc_id: st
 def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", doc_id: str = "chunk_id", text: str = "text", candidates: int = 30, output: int = 10, dims: int = 64) -> DataFrame:
     """Flagship: lexical and vector candidates, merged, fused and ordered; ten per query."""
     lexical = bm25_top(queries, corpus, query_id, text, doc_id, text, candidates)
-    nearest = knn(hashed_vectors(queries, query_id, text, dims), hashed_vectors(corpus, doc_id, text, dims), query_id, doc_id, candidates)
+    nearest = knn(hashed_vectors(queries, query_id, text, dims), written(hashed_vectors(corpus, doc_id, text, dims), "vectors"), query_id, doc_id, candidates)
     merged = reliable(merge_sources(lexical, nearest, query_id, doc_id))
     best = top_k(merged, [query_id], output, F.round("fusion_score", 9).desc(), F.round("lexical_score", 9).desc(), F.round("vector_score", 9).desc(), F.col(doc_id))
     return best.select(query_id, doc_id, "lexical_score", "vector_score", "fusion_score", "rank")
