@@ -83,11 +83,11 @@ ORIGIN_CONFIDENCE = {"node": 0.55, "text_block": 0.56, "annotation": 0.58}
 def semantic_nodes(nodes: DataFrame, blocks: DataFrame, by: str, types: tuple[tuple[str, str], ...], other: Column, normalize: Callable[[Column], Column], least_share: float = 0.5, cell: float = 64.0) -> DataFrame:
     """(by, semantic_id, semantic_type, key, origin, is_annotation, confidence): the drawn nodes, and the text blocks that no node stands for.
 
-    nodes and blocks(by, block_id, text, box). A block goes if a node of its page has the same normalised text, or covers ``least_share`` of the block's box
+    nodes and blocks(by, block_id, text, box; area, if corners don't give it exactly). A block goes if a node of its page has the same normalised text, or covers ``least_share`` of the block's box
     (found over a grid). ``types`` are (type, pattern) in order, ``other`` the type of the rest. Blank texts give nothing; null or flat boxes cover nothing.
     """
     kind = F.coalesce(*(F.when(F.col("text").rlike(p), F.lit(t)) for t, p in types), other)
-    typed = lambda df: df.where("trim(text) <> ''").select(by, "block_id", "box", normalize(F.col("text")).alias("key"), kind.alias("semantic_type"))
+    typed = lambda df: df.where("trim(text) <> ''").select(by, "block_id", "box", *(c for c in df.columns if c == "area"), normalize(F.col("text")).alias("key"), kind.alias("semantic_type"))
     drawn, loose = typed(nodes), typed(blocks)
     loose = spatial.uncovered(loose.join(drawn.select(by, "key").distinct(), [by, "key"], "left_anti"), drawn, by, "block_id", least_share, cell)
     every = drawn.withColumn("origin", F.lit("node")).unionByName(loose.select(*drawn.columns).withColumn("origin", F.lit("text_block")))

@@ -74,8 +74,9 @@ BOXES = """b AS (SELECT DISTINCT l_suppkey AS page, l_orderkey || '-' || l_linen
 def _boxes(spark, d):
     lines = C.table(spark, d, "lineitem").join(C.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
     x, y = (F.col("l_partkey") % 97 * 10.0 + F.col("l_discount").cast("double") * 100), (F.col("l_orderkey") % 89 * 10.0)
-    box = F.array(x, y, x + F.col("l_quantity").cast("double"), y + (5 + F.col("l_tax").cast("double") * 100))
-    return lines.select(F.col("l_suppkey").alias("page"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("block_id"), (F.col("l_returnflag") == "R").alias("is_node"), F.concat(F.coalesce("p_name", F.lit("")), F.lit(" "), (F.col("l_partkey") % 5).cast("string")).alias("text"), box.alias("box")).distinct()
+    w, h = F.col("l_quantity").cast("double"), 5 + F.col("l_tax").cast("double") * 100
+    box = F.array(x, y, x + w, y + h)
+    return lines.select(F.col("l_suppkey").alias("page"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("block_id"), (F.col("l_returnflag") == "R").alias("is_node"), F.concat(F.coalesce("p_name", F.lit("")), F.lit(" "), (F.col("l_partkey") % 5).cast("string")).alias("text"), box.alias("box"), (w * h).alias("area")).distinct()
 
 
 D60_SQL = f"""WITH {BOXES}, k AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key, CASE WHEN regexp_matches(text, '(^| )gear( |$)') THEN 'decision' WHEN regexp_matches(text, '(^| )(rod|ring)( |$)') THEN 'annotation' WHEN regexp_matches(text, '(^| )bolt( |$)') THEN 'warning' ELSE 'action' END AS semantic_type FROM b),

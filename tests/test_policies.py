@@ -105,3 +105,20 @@ def test_nearest_equals_all_pairs(spark, flat):
     assert {r.note: r.node for r in spatial.nearest(p, n, "page", "note", "node").collect()} == expected
     assert spatial.nearest(p, n.where(F.lit(False)), "page", "note", "node").count() == 0
     assert spatial.nearest(p.where(F.lit(False)), n, "page", "note", "node").count() == 0
+
+
+def test_half_covered_boxes_go_by_their_sides_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    lines = [(2, 97, 1, 1, 6.0, 0.07, 0.05, "N"), (2, 194, 1, 2, 40.0, 0.04, 0.0, "R"), (2, 97, 2, 1, 5.0, 0.07, 0.07, "N"), (2, 194, 2, 2, 30.0, 0.07, 0.01, "R")]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(97, "red bolt"), (194, "blue gear")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = registry.queries()["d60_layout_semantic_nodes"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()['d60_layout_semantic_nodes']})").fetchall()
+    assert len(want) == 4 and sorted(map(tuple, df.collect())) == sorted(want)
