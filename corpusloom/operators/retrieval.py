@@ -20,23 +20,52 @@ def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return long.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, lexical_score) of every pair that shares a term (OR semantics).
+SCORED = 4096  # queries that one group of a block scores
+
+
+def _weighted(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float, b: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(asked, weighted): asked(q, term, part) of the queries and weighted(block, term, id, w) of the asked terms' postings, documents being dealt to blocks.
 
-    Both sides are exploded to terms and meet in an equi-join; only terms that some query asks for leave the scan side, through
-    a semi-join, so that the shuffle carries the asked part of the corpus.
+    Texts are read once: a row without a term stands for each text, so that their number and mean length come from the written table.
     """
-    asked = queries.select(F.col(query_id), F.explode(T.or_terms(F.col(query_text))).alias("term"))
-    held = postings(corpus, doc_id, doc_text).join(asked.select("term").distinct(), "term", "left_semi")
-    stats = corpus.select(F.size(T.tokens(F.col(doc_text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    parts = max(1, -(-queries.count() // SCORED))
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(T.or_terms(F.col(query_text))).alias("term")).distinct()
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts))), "asked")
+    terms = asked.select("term").distinct()
+    few = terms.count() <= 200_000
+    terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
+    ts = F.coalesce(T.tokens(F.col(doc_text)), F.array().cast("array<string>"))
+    sized = corpus.select(F.col(doc_id).alias("id"), ts.alias("ts"))
+    long = sized.select("id", F.size("ts").alias("length"), F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("term")).alias("x")
+    known = (F.broadcast(terms) if few else terms).alias("y")
+    long = long.join(known, F.col("x.term").eqNullSafe(F.col("y.term")), "left_semi")
+    held = written(long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
+    docs, mean = held.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("tf") * F.col("length")) / F.sum("tf"), F.lit(0.0))).first()
+    held = held.where("term is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-docs // block)))))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    docs, mean = stats.first()
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    return held.join(df, "term").join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(weight).alias("lexical_score"))
+    return asked, held.join(df, "term").select("block", "term", "id", weight.alias("w"))
 
 
-SCORED = 4096  # queries that one group of a block scores
+def _scored(asked: DataFrame, weighted: DataFrame, k: int | None) -> DataFrame:
+    """(q, id, s): the best k documents, or all, of each block for asked(q, term, part, block)."""
+    dealt = weighted.join(asked.select("block", "part").distinct(), "block").select(F.col("block").alias("of_block"), F.col("part").alias("of_part"), "term", "id", "w")
+    kind = f"q {asked.schema['q'].dataType.simpleString()}, id {weighted.schema['id'].dataType.simpleString()}, s double"
+    return dealt.groupBy("of_block", "of_part").cogroup(asked.groupBy("block", "part")).applyInPandas(lambda postings, terms: best_of_block(postings, terms, k), kind)
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75, block: int = 512) -> DataFrame:
+    """(query_id, doc_id, lexical_score) of every pair that shares a term (OR semantics).
+
+    A block's postings meet the queries' terms in one task, so that a pair is a row once, with its sum, and not once a shared term. Queries and texts
+    without terms have no row; a document or query id is one row.
+    """
+    asked, weighted = _weighted(queries, corpus, query_id, query_text, doc_id, doc_text, k1, b, block)
+    every_part = asked.select("part").distinct().agg(F.collect_list("part").alias("parts")).first()["parts"]
+    met = weighted.select("block").distinct().withColumn("part", F.explode(F.array(*map(F.lit, every_part)).cast("array<long>")))
+    every = _scored(asked.join(met, "part"), weighted, None)
+    return every.select(F.col("q").alias(query_id), F.col("id").alias(doc_id), F.col("s").alias("lexical_score"))
 
 
 def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int, k1: float = 1.2, b: float = 0.75, block: int = 512, first: int = 2) -> DataFrame:
@@ -47,38 +76,21 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: s
     of the others only those are scored whose bound reaches it. Pairs of query and document never leave the task that scores a block: at most k a
     query do. Queries and texts without terms have no row; a document or query id is one row.
     """
-    asked = written(queries.select(F.col(query_id).alias("q"), F.explode(T.or_terms(F.col(query_text))).alias("term")).distinct(), "asked")
-    sized = corpus.select(F.col(doc_id).alias("id"), T.tokens(F.col(doc_text)).alias("ts"))
-    terms = asked.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= 200_000 else terms
-    long = sized.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
-    docs, mean = sized.select(F.size("ts").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    blocks = max(1, -(-docs // block))
-    held = written(long.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "postings")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    weighted = held.join(df, "term").select("block", "term", "id", weight.alias("w"))
+    asked, weighted = _weighted(queries, corpus, query_id, query_text, doc_id, doc_text, k1, b, block)
     bounds = asked.join(weighted.groupBy("term", "block").agg(F.max("w").alias("w")), "term").groupBy("q", "block").agg(F.sum("w").alias("bound"))
     bounds = written(bounds, "bounds")
 
-    def score(parts: DataFrame, part_of: Column) -> DataFrame:
-        wanted = asked.join(parts, "q").withColumn("part", part_of)
-        dealt = weighted.join(wanted.select("block", "part").distinct(), "block").select(F.col("block").alias("of_block"), F.col("part").alias("of_part"), "term", "id", "w")
-        kind = f"q {queries.schema[query_id].dataType.simpleString()}, id {corpus.schema[doc_id].dataType.simpleString()}, s double"
-        return dealt.groupBy("of_block", "of_part").cogroup(wanted.groupBy("block", "part")).applyInPandas(lambda postings, terms: best_of_block(postings, terms, k), kind)
-
-    parts = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // SCORED))))
+    score = lambda blocks: _scored(asked.join(blocks, "q"), weighted, k)
     opening = top_k(bounds, ["q"], first, F.col("bound").desc(), F.col("block"), rank="place").select("q", "block")
-    found = written(score(opening, parts), "found")
+    found = written(score(opening), "found")
     floor = top_k(found, ["q"], k, F.col("s").desc(), F.col("id")).where(F.col("rank") == k).select("q", F.col("s").alias("floor"))
     rest = bounds.join(opening, ["q", "block"], "left_anti").join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-9)).select("q", "block")
-    every = found.unionByName(score(rest, parts))
+    every = found.unionByName(score(rest))
     return top_k(every, ["q"], k, F.round("s", 9).desc(), F.col("id")).select(F.col("q").alias(query_id), F.col("id").alias(doc_id), F.col("s").alias("lexical_score"), "rank")
 
 
-def best_of_block(postings: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k documents of one block for each query of ``asked(q, term)``, from ``postings(term, id, w)``."""
+def best_of_block(postings: pd.DataFrame, asked: pd.DataFrame, k: int | None) -> pd.DataFrame:
+    """The best k documents, or all that share a term, of one block for each query of ``asked(q, term)``, from ``postings(term, id, w)``."""
     postings = postings.sort_values("term", kind="stable")
     ids, at = np.unique(postings["id"].to_numpy(), return_inverse=True)
     weights, words = postings["w"].to_numpy(float), postings["term"].to_numpy()
@@ -89,7 +101,7 @@ def best_of_block(postings: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.Dat
         if len(spans):
             scores = np.bincount(at[spans], weights[spans], len(ids))
             hit = np.unique(at[spans])
-            best = hit[np.lexsort((hit, -np.round(scores[hit], 9)))[:k]]
+            best = hit if k is None else hit[np.lexsort((hit, -np.round(scores[hit], 9)))[:k]]
             out.append(pd.DataFrame({"q": q, "id": ids[best], "s": scores[best]}))
     return pd.concat(out) if out else pd.DataFrame({"q": asked["q"][:0], "id": ids[:0], "s": np.empty(0)})
 

@@ -1,5 +1,6 @@
 """Parity cases on tiny frames."""
 
+import math
 import random
 import re
 
@@ -186,3 +187,16 @@ def test_similar_sets_are_all_pairs(spark, block):
     assert got == sorted(want) and max(w[4] for w in want) > 5
     empty, none, no_reps = similarity.set_classes(docs.limit(0), "doc_id", "text")
     assert similarity.link_counts(docs.limit(0), "doc_id", "text", empty, similarity.similar_sets(none, no_reps)).count() == 0
+
+
+def test_lexical_search_lists_every_pair_that_shares_a_term(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    docs = [(k, "common word" if k < 300 else None if k == 300 else "nothing") for k in range(302)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "common"), (2, "absent")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = registry.queries()["j3_lexical_bm25"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in rows) == [(1, k) for k in range(300)]
+    mean = (300 * 2 + 1) / 302
+    idf = math.log(1 + (302 - 300 + 0.5) / (300 + 0.5))
+    assert {r.lexical_score for r in rows} == {round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / mean)), 6)}
