@@ -101,7 +101,7 @@ class WordTokenizer:
     plain go through the library whole. With a file that normalises or splits in another way, all texts do.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 100_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -109,9 +109,9 @@ class WordTokenizer:
         spec = json.loads(self.whole.to_str())
         self.piecewise = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and not spec["model"]["dropout"]
         self.model, self.remember = self.whole.model, remember
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids of four bytes each: workers are reused, so this stays in all of them
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
             if PLAIN.fullmatch(piece):
@@ -119,6 +119,7 @@ class WordTokenizer:
                 ids = [t.id for t in self.model.tokenize(shown)]
             else:
                 ids = self.whole.encode(piece, add_special_tokens=False).ids
+            ids = np.array(ids, np.uint32).tobytes()
             if len(piece) <= 64:
                 if len(self.known) >= self.remember:
                     self.known.clear()
@@ -128,12 +129,12 @@ class WordTokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         if not self.piecewise:
             return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, np.uint32)
-        out: list[int] = []
+        out: list[bytes] = []
         known, piece = self.known, self._piece
         for part in [text or ""] if PLAIN.fullmatch(text or "") else SPACE.split(text):
             for x in PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [part]:
-                out += known.get(x) or piece(x)
-        return np.array(out, np.uint32)
+                out.append(known.get(x) or piece(x))
+        return np.frombuffer(bytearray().join(out), np.uint32)
 
 
 @lru_cache(2)

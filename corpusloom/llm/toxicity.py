@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import arrow_map, first_labelled, name
 
 WORD = re.compile(r"[^\W\d_]+")
+REMEMBERED = 50_000  # words whose scores a worker keeps
 
 
 @dataclass(frozen=True)
@@ -232,8 +233,9 @@ def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def fitted(batches):
         held = []
         for batch in batches:
-            for p, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((p, y, t, list(map(sys.intern, t.split()))))  # one object per word: the sample stays small
+            for at in range(0, batch.num_rows, 64):
+                for p, y, t in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    held.append((p, y, t, list(map(sys.intern, t.split()))))  # one object per word: the sample stays small
         if held:
             held.sort(key=lambda r: r[:3])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(y, w) for _, y, _, w in held], cfg))], pa.binary())], names=["model"])
@@ -250,7 +252,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     memo: dict[str, float] = {}
 
     def rows(ids, texts):
-        if len(memo) > 300_000:
+        if len(memo) > REMEMBERED:
             memo.clear()
         for i, t in zip(ids, texts, strict=True):
             yield i, *shared.value.score(t, memo)
@@ -280,7 +282,7 @@ def score_column(model: ToxicModel, text: Column, spark: SparkSession) -> Column
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        if len(memo) > 300_000:
+        if len(memo) > REMEMBERED:
             memo.clear()
         return pd.Series([shared.value.score(t, memo)[0] for t in texts], dtype=float)
 

@@ -235,3 +235,11 @@ def test_clashing_and_odd_names(spark):
     assert [(r["doc id.x"], r.offset, r["__group"]) for r in packing.pack(pieces, 1, "doc id.x").collect()] == [(1, 0, 0)]
     assert byte_bpe.round_trip(docs, RANKS, P.PATTERN, "doc id.x", "the text").count() == 1
     assert html_text.extract(docs, "doc id.x", "the text", "the text").collect()[0]["text"] == "a b"
+
+
+def test_remembered_pieces_are_four_bytes_an_id():
+    own = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    text = " ".join(f"word{k}" for k in range(2000))
+    ids = own.encode(text)
+    assert len(ids) and (own.encode("").size, own.encode(None).size) == (0, 0) and ids.flags.writeable
+    assert sum(map(len, own.known.values())) <= 4 * len(ids) and all(isinstance(v, bytes) for v in own.known.values())
