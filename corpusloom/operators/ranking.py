@@ -58,14 +58,24 @@ def intent_terms(queries: DataFrame, query_id: str, normalized: str, rules: dict
 def expand_query(queries: DataFrame, query_id: str, normalized: str, synonyms: DataFrame) -> DataFrame:
     """(query_id, expansions): other terms of every synonym group of which the query holds a term.
 
-    A group's terms are exploded to (first word, term): queries meet them by an equi-join on their words and then verify the phrase.
+    Queries are cut into word sequences as long as the terms are, which meet the terms by an equi-join; their texts go no further.
     """
-    words = queries.select(query_id, normalized, F.explode(F.array_distinct(F.split(normalized, " "))).alias("w"))
-    terms = synonyms.select("group_id", "term", F.split("term", " ")[0].alias("w"))
-    hit = words.join(terms, "w").where(T.phrase_in(F.col(normalized), F.col("term"))).select(query_id, "group_id", F.col("term").alias("held")).distinct()
+    terms = synonyms.where("term <> ''")
+    lengths = [r.n for r in terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()]
+    words = queries.select(query_id, F.split(normalized, " ").alias("words"))
+    grams = F.flatten(F.array(*(_sequences(F.col("words"), n) for n in sorted(lengths)))) if lengths else F.array().cast("array<string>")
+    hit = words.select(query_id, F.explode(F.array_distinct(grams)).alias("term")).join(terms, "term").select(query_id, "group_id", F.col("term").alias("held")).distinct()
     return hit.join(synonyms.select("group_id", F.col("term").alias("other")), "group_id").where("other <> held").groupBy(query_id).agg(F.array_sort(F.collect_set("other")).alias("expansions"))
 
 
+def _sequences(words: Column, n: int) -> Column:
+    """All sequences of n words, joined by blanks; null where the words end first."""
+    out = words
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, F.lit(k), F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
+
+
 def business_score(df: DataFrame, query_tokens: str, text_tokens: str, query_text: str, text: str, unit: str, approved: Column, high_risk: Column, config: dict | None = None) -> DataFrame:
     """Component columns (score_unit, score_phrase, score_tokens, score_review, score_risk) and their sum business_score."""
     c = ranking_config(config)

@@ -43,7 +43,7 @@ def c6(spark, d):
 
 def _synonyms(spark, d):
     n = C.table(spark, d, "nation").select(F.col("n_regionkey").alias("group_id"), F.lower("n_name").alias("term"))
-    extra = spark.createDataFrame([(0, "the"), (1, "der"), (2, "le"), (3, "el"), (4, "of the")], "group_id int, term string")
+    extra = spark.sql("SELECT * FROM VALUES (0, 'the'), (1, 'der'), (2, 'le'), (3, 'el'), (4, 'of the') AS v(group_id, term)")  # of known size, so that joins with the terms are broadcast
     return n.unionByName(extra.withColumn("group_id", F.col("group_id").cast(n.schema["group_id"].dataType)))
 
 

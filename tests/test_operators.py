@@ -200,3 +200,14 @@ def test_lexical_search_lists_every_pair_that_shares_a_term(spark, tmp_path):
     mean = (300 * 2 + 1) / 302
     idf = math.log(1 + (302 - 300 + 0.5) / (300 + 0.5))
     assert {r.lexical_score for r in rows} == {round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / mean)), 6)}
+
+
+def test_expansions_take_no_text_along(spark):
+    queries = spark.createDataFrame([(1, "go out of the red box"), (2, "of"), (3, ""), (4, "the box of"), (5, None), (1, "box")], "id int, n string")
+    synonyms = spark.createDataFrame([(1, "of the"), (1, "out of the red"), (1, "thereof"), (2, "box"), (2, "case"), (3, ""), (3, "void"), (4, "the red box of"), (4, "x")], "group_id int, term string")
+    out = ranking.expand_query(queries, "id", "n", synonyms)
+    assert {r.id: r.expansions for r in out.collect()} == {1: ["case", "of the", "out of the red", "thereof"], 4: ["case"]}
+    assert ranking.expand_query(queries, "id", "n", synonyms.limit(0)).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert len(joins) == 2 and "contains" not in " ".join(joins).lower()  # texts stay below the joins
