@@ -45,8 +45,9 @@ def seed_intent(queries: DataFrame, query_id: str, normalized: str, rules: dict[
     for i, (name, phrases) in enumerate(rules.items()):
         hits = F.filter(F.array(*map(F.lit, phrases)), lambda p: T.phrase_in(F.col(normalized), p))
         scored.append(F.struct(F.size(hits).alias("matches"), F.coalesce(F.array_max(F.transform(hits, F.length)), F.lit(0)).alias("longest"), F.lit(-i).alias("order"), F.lit(name).alias("intent")))
-    best = F.array_max(F.array(*scored))
-    return queries.select(query_id, best.alias("b")).where("b.matches > 0").select(query_id, "b.intent", "b.matches")
+    best = F.filter(F.array(F.array_max(F.array(*scored))), lambda b: b["matches"] > 0)
+    # A generator, since a filter over the best rule would be computed below the normalised text, which it would take apart once per phrase.
+    return queries.select(query_id, F.explode(best).alias("b")).select(query_id, "b.intent", "b.matches")
 
 
 def intent_terms(queries: DataFrame, query_id: str, normalized: str, rules: dict[str, list[str]]) -> DataFrame:

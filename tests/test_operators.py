@@ -211,3 +211,10 @@ def test_expansions_take_no_text_along(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert len(joins) == 2 and "contains" not in " ".join(joins).lower()  # texts stay below the joins
+
+
+def test_intents_take_texts_apart_once(spark):
+    queries = spark.createDataFrame([(1, "The dog and der Hund"), (2, "und der"), (3, "x"), (4, None)], "id int, text string").select("id", T.normalize_phrase(F.col("text")).alias("n"))
+    out = ranking.seed_intent(queries, "id", "n", {"english": ["the", "and", "of the"], "german": ["der", "und"]})
+    assert {r.id: (r.intent, r.matches) for r in out.collect()} == {1: ("english", 2), 2: ("german", 2)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
