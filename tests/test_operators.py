@@ -218,3 +218,25 @@ def test_intents_take_texts_apart_once(spark):
     out = ranking.seed_intent(queries, "id", "n", {"english": ["the", "and", "of the"], "german": ["der", "und"]})
     assert {r.id: (r.intent, r.matches) for r in out.collect()} == {1: ("english", 2), 2: ("german", 2)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_sets_are_written_and_shuffled_in_a_few_bytes_a_token(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(400))) for k in range(60)], "doc_id long, text string")
+    _, sets, reps = similarity.set_classes(docs, "doc_id", "text")
+    frequent = similarity.frequent_tokens(sets, 900)
+    counts = similarity.bucket_counts(sets, 64)
+    whole = {r.rep: set(r.ts) for r in sets.collect()}
+    assert counts.tolist() == [sum(t % 64 == k for ts in whole.values() for t in ts) for k in range(64)] and len(frequent) == 900
+    rows = similarity.coded_sets(sets, frequent).toArrow()
+    near, far = (rows.column(k).combine_chunks() for k in ("near", "far"))
+    row, t = similarity._tokens(near, far, frequent)
+    back = {rep: set() for rep in whole}
+    for k, x in zip(rows.column("rep").to_numpy()[row].tolist(), t.tolist(), strict=True):
+        back[k].add(x)
+    others = len(far.flatten())
+    assert back == whole and 0 < others < len(t) // 2
+    assert sum(len(x) for x in near.to_pylist()) < 2 * (len(t) - others)  # eight bytes a token before
+    assert similarity.similar_sets(sets, reps, consume=True).count() >= 0
+    with pytest.raises(Exception, match="(?i)path|file"):
+        sets.collect()
