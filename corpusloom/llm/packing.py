@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,13 @@ from corpusloom.llm.shared import arrow_map, ddl, name
 
 @dataclass(frozen=True)
 class PackConfig:
-    """length: tokens of a sequence. end_id: closes each document. group_rows: documents of a group, on average."""
+    """length: tokens of a sequence. end_id: closes each document. group_rows: documents of a group, on average. remember: pieces that a worker keeps, of about 200 bytes each."""
 
     length: int = 2048
     end_id: int = 1
     group_rows: int = 20_000
     seed: int = 11
+    remember: int = 100_000
 
 
 class TournamentTree:
@@ -93,6 +96,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces, found by ``ids`` when first asked for. At most twice ``most`` are kept: a full generation stays as the older one, from which what is asked for comes back."""
+
+    def __init__(self, ids: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.ids, self.most, self.older = ids, max(1, most), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.ids(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class WordTokenizer:
     """Token ids of whole texts by the vocabulary file's own model, without special tokens; their strings are ordinary text.
 
@@ -109,37 +131,31 @@ class WordTokenizer:
         spec = json.loads(self.whole.to_str())
         self.piecewise = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and not spec["model"]["dropout"]
         self.model, self.remember = self.whole.model, remember
-        self.known: dict[str, bytes] = {}  # ids of four bytes each: workers are reused, so this stays in all of them
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            if PLAIN.fullmatch(piece):
-                shown = piece if piece.isascii() else "".join(map(_byte_letters().__getitem__, piece.encode()))
-                ids = [t.id for t in self.model.tokenize(shown)]
-            else:
-                ids = self.whole.encode(piece, add_special_tokens=False).ids
-            ids = np.array(ids, np.uint32).tobytes()
-            if len(piece) <= 64:
-                if len(self.known) >= self.remember:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
+        self.known = _Pieces(self._ids, remember // 2)  # ids of four bytes each: workers are reused, so this stays in all of them
+
+    def _ids(self, piece: str) -> bytes:
+        if PLAIN.fullmatch(piece):
+            shown = piece if piece.isascii() else "".join(map(_byte_letters().__getitem__, piece.encode()))
+            ids = [t.id for t in self.model.tokenize(shown)]
+        else:
+            ids = self.whole.encode(piece, add_special_tokens=False).ids
+        return pack_ids("<%dI" % len(ids), *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not self.piecewise:
             return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, np.uint32)
+        text, ids = text or "", self.known.__getitem__
+        if PLAIN.fullmatch(text):
+            return np.frombuffer(bytearray().join(map(ids, PIECES.findall(text.lower()))), np.uint32)
         out: list[bytes] = []
-        known, piece = self.known, self._piece
-        for part in [text or ""] if PLAIN.fullmatch(text or "") else SPACE.split(text):
-            for x in PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [part]:
-                out.append(known.get(x) or piece(x))
+        for part in SPACE.split(text):
+            out += map(ids, PIECES.findall(part.lower())) if PLAIN.fullmatch(part) else [ids(part)]
         return np.frombuffer(bytearray().join(out), np.uint32)
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, remember: int) -> WordTokenizer:
+    return WordTokenizer(path, remember)
 
 
 def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cfg: PackConfig = PackConfig(), digest: bool = False) -> DataFrame:
@@ -149,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """
 
     def rows(ids, texts):
-        encode = tokenizer(path).encode
+        encode = tokenizer(path, cfg.remember).encode
         for i, text in zip(ids, texts, strict=True):
             tokens = np.append(encode(text), np.uint32(cfg.end_id)).astype("<u4")
             for start in range(0, len(tokens), cfg.length):

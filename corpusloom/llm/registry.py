@@ -29,7 +29,7 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cfg=packing.PackConfig(remember=400_000), digest=True)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,3 +243,14 @@ def test_remembered_pieces_are_four_bytes_an_id():
     ids = own.encode(text)
     assert len(ids) and (own.encode("").size, own.encode(None).size) == (0, 0) and ids.flags.writeable
     assert sum(map(len, own.known.values())) <= 4 * len(ids) and all(isinstance(v, bytes) for v in own.known.values())
+
+
+def test_frequent_pieces_stay_when_the_memory_is_full():
+    own = packing.WordTokenizer(P.path("word_bpe_49k.json"), remember=40)
+    asked, ids = [], own.known.ids
+    own.known.ids = lambda piece: asked.append(piece) or ids(piece)
+    for k in range(500):
+        own.encode(f"often word{chr(97 + k % 26)}{chr(97 + k // 26)}x")
+    assert asked.count("often") == 1 and len(asked) == 501
+    assert len(own.known) + len(own.known.older) <= 40
+    assert packing.tokenizer(P.path("word_bpe_49k.json"), 7).known.most == 3
