@@ -111,8 +111,8 @@ def hashed_vectors(corpus: DataFrame, id_col: str, text_col: str, dims: int = 64
 
     Sums of the buckets are combined in the task that reads a text, so one row of ``dims`` numbers a task and text is shuffled.
     """
-    hashed = corpus.select(F.col(id_col), F.explode(T.tokens(F.col(text_col))).alias("t")).groupBy(id_col, "t").agg(F.count("*").alias("n"))
-    placed = hashed.select(id_col, V.hash_bucket(F.col("t"), dims).cast("int").alias("at"), (V.hash_sign(F.col("t")) * F.col("n")).cast("double").alias("x"))
+    words = corpus.select(F.col(id_col), F.explode(T.tokens(F.col(text_col))).alias("t"))
+    placed = words.select(id_col, V.hash_bucket(F.col("t"), dims).cast("int").alias("at"), V.hash_sign(F.col("t")).cast("double").alias("x"))
     sparse = placed.groupBy(id_col, "at").agg(F.sum("x").alias("x"))
     filled = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)))

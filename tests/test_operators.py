@@ -1,5 +1,6 @@
 """Parity cases on tiny frames."""
 
+import hashlib
 import math
 import random
 import re
@@ -240,3 +241,18 @@ def test_sets_are_written_and_shuffled_in_a_few_bytes_a_token(spark):
     assert similarity.similar_sets(sets, reps, consume=True).count() >= 0
     with pytest.raises(Exception, match="(?i)path|file"):
         sets.collect()
+
+
+def test_hashed_words_are_summed_before_they_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "go up go down"), (1, "up"), (2, "?"), (3, None), (4, "one")], "id int, text string")
+    out = retrieval.hashed_vectors(docs, "id", "text")
+    got = {r.id: [round(x, 9) for x in r.v] for r in out.collect()}
+    want = {}
+    for i, words in ((1, ["go", "up", "go", "down", "up"]), (4, ["one"])):
+        v = [0] * 64
+        for w in words:
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:8], 16) % 64] += 1 if int(h[8], 16) % 2 == 0 else -1
+        want[i] = [round(x / math.sqrt(sum(y * y for y in v)), 9) for x in v]
+    assert got == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # no grouping by words
