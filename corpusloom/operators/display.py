@@ -16,28 +16,29 @@ def display_context(hits: DataFrame, contexts: DataFrame, sections: DataFrame, b
     paragraph (parted by ``break_``, the first of the best) that shares enough of its words of over two letters. Normalised
     offsets are given only if taking accents off keeps the section's length. A null or blank hit is unmatched; what isn't matched falls back to its text.
     """
-    h = hits.join(contexts, "version_id", "left").join(sections, ["version_id", "section_id"], "left")
+    # What depends on the section alone is made once a section; what a better strategy makes needless is left out.
+    ready = sections.select("version_id", "section_id", "section_text", F.lower(T.strip_accents(F.col("section_text"))).alias("plain"), T.normalize_match(F.col("section_text")).alias("flat"), F.split("section_text", break_).alias("ps"))
+    ready = ready.withColumn("gaps", F.split("plain", "[a-z0-9]+")).withColumn("pw", F.transform("ps", lambda p: F.split(T.normalize_match(p), " ")))
+    h = hits.join(contexts, "version_id", "left").join(ready, ["version_id", "section_id"], "left")
     missing = F.when(F.col("context_version_id").isNull(), F.struct(F.lit("parent_missing").alias("status"), F.lit("display_context_not_loaded").alias("reason"))).when(
         F.col("context_version_id") != F.col("version_id"), F.struct(F.lit("version_mismatch").alias("status"), F.lit("retrieval_version_does_not_match_display_context").alias("reason")),
     ).when(F.col("section_text").isNull(), F.struct(F.lit("parent_missing").alias("status"), F.lit("section_parent_not_found").alias("reason")))
-    plain = F.lower(T.strip_accents(F.col("section_text")))
-    h = h.withColumn("missing", missing).withColumn("plain", plain).withColumn("words", F.filter(F.split(T.normalize_match(F.col("content")), " "), lambda x: x != ""))
+    literal = (F.trim("content") != "") & F.contains("section_text", F.col("content"))
+    h = h.withColumn("missing", missing).withColumn("literal", F.coalesce(literal, F.lit(False))).withColumn("words", F.filter(F.split(T.normalize_match(F.col("content")), " "), lambda x: x != ""))
     # Words parted by single blanks hold the hit or not; the lengths of what parts them in the section lead back to its own offsets.
-    h = h.withColumn("flat", T.normalize_match(F.col("section_text"))).withColumn("needle", F.array_join("words", " "))
-    h = h.withColumn("found", F.when(F.size("words") > 0, F.nullif(F.expr("instr(flat, needle)"), F.lit(0)) - 1).cast("int"))
-    h = h.withColumn("gaps", F.split("plain", "[a-z0-9]+"))
+    h = h.withColumn("needle", F.array_join("words", " "))
+    h = h.withColumn("found", F.when(~F.col("literal") & F.col("missing").isNull() & (F.size("words") > 0), F.nullif(F.expr("instr(flat, needle)"), F.lit(0)) - 1).cast("int"))
 
     def original(at):
         words = F.length(F.regexp_replace(F.substring(F.col("flat"), F.lit(1), at), "[^ ]+", ""))
         return at - words + F.length(F.array_join(F.slice("gaps", F.lit(1), words + 1), ""))
 
-    h = h.withColumn("wanted", F.array_distinct(F.filter("words", lambda x: F.length(x) > 2))).withColumn("ps", F.split("section_text", break_))
-    shared = F.transform("ps", lambda p: F.size(F.array_intersect(F.col("wanted"), F.split(T.normalize_match(p), " "))))
+    h = h.withColumn("wanted", F.array_distinct(F.filter("words", lambda x: F.length(x) > 2)))
+    shared = F.when(~F.col("literal") & F.col("missing").isNull() & F.col("found").isNull(), F.transform("pw", lambda p: F.size(F.array_intersect(F.col("wanted"), p))))
     h = h.withColumn("shared", shared).withColumn("best", F.array_max("shared"))
     h = h.withColumn("p", F.array_position("shared", F.col("best")).cast("int"))
     enough = F.least(F.lit(5), F.greatest(F.lit(2), F.floor((F.size("wanted") + 1) / 2)))
-    literal = (F.trim("content") != "") & F.contains("section_text", F.col("content"))
-    strategy = F.when(literal, "exact").when(F.col("found").isNotNull(), "normalized").when((F.size("wanted") > 0) & (F.col("best") >= enough), "paragraph").otherwise("unmatched")
+    strategy = F.when(F.col("literal"), "exact").when(F.col("found").isNotNull(), "normalized").when((F.size("wanted") > 0) & (F.col("best") >= enough), "paragraph").otherwise("unmatched")
     h = h.withColumn("strategy", F.when(F.col("missing").isNull(), strategy))
     before = F.when(F.col("p") > 1, F.length(F.array_join(F.slice("ps", F.lit(1), F.greatest(F.col("p") - 1, F.lit(0))), break_)) + len(break_)).otherwise(0)
     same = F.length("plain") == F.length("section_text")

@@ -112,3 +112,13 @@ def test_semantic_candidates(spark):
     edges = [(1, 1, 3), (1, 3, 3), (2, 1, 6), (1, None, 6)]
     got = enrichment.semantic_candidates(spark.createDataFrame(nodes, "g int, semantic_id int, semantic_type string, title string, content string"), spark.createDataFrame(edges, "g int, from_node int, to_node int"), "g").collect()
     assert {r.semantic_id: (r.unit_type, len(r.heading), len(r.content), r.uncertain_edges) for r in got} == {1: ("candidate_action", 4, 4, 1), 3: ("candidate_annotation", 9, 9, 2), 6: ("macro_script", 180, 300, 1)}
+
+
+def test_sections_are_normalised_once_for_all_their_hits(spark):
+    hits = spark.createDataFrame([("1:0", 1, 0, "Red box"), ("1:1", 1, 0, "red - BOX"), ("1:2", 1, 0, "boxes green opens"), ("1:3", 1, 0, " ")], "hit_id string, version_id int, section_id int, content string")
+    contexts = spark.createDataFrame([(1, 1)], "version_id int, context_version_id int")
+    sections = spark.createDataFrame([(1, 0, "The Red box\n\nopens green boxes")], "version_id int, section_id int, section_text string")
+    out = display.display_context(hits, contexts, sections)
+    assert {r.hit_id: (r.strategy, r.start_offset, r.end_offset) for r in out.collect()} == {"1:0": ("exact", 4, 11), "1:1": ("normalized", 4, 11), "1:2": ("paragraph", 13, 30), "1:3": ("unmatched", None, None)}
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "translate(section_text" not in above
