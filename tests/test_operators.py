@@ -5,11 +5,12 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import analytics, chunking, governance, graphs, ordering, ranking, relations, retrieval, similarity
+from corpusloom.operators import analytics, chunking, governance, graphs, ordering, overlaps, ranking, relations, retrieval, similarity
 
 
 def plain_chunks(sizes, target, overlap):
@@ -94,6 +95,50 @@ def test_pairs_of_frequent_tokens_are_kept(spark):
     assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in rows} == want
 
 
+def test_class_pairs_go_through_no_shuffle(spark):
+    docs = spark.createDataFrame([(k, ["the", f"w{k}"]) for k in range(200)], "id long, ts array<string>")
+    pairs = relations.class_pairs(relations.token_classes(docs, "id", "ts"), block=30)
+    assert pairs.count() == 200 * 199 // 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    pairs_at = plan.index("FlatMapGroupsInArrow")
+    assert "Exchange" not in plan[:pairs_at]
+
+
+def test_best_partners_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    sets = {k: {"the"} | {f"w{min(int(rng.expovariate(0.3)), 30)}" for _ in range(rng.randint(0, 9))} for k in range(140)}
+    sets |= {k: {"same", "title", "the"} for k in range(140, 230)} | {230: set(), 2**40: {"w1", "w2"}}
+    docs = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [(None, ["the"])], "id long, ts array<string>")
+    classes = relations.token_classes(docs, "id", "ts")
+    bounds = (350_000, 820_000)
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] & sets[b]:
+                x = round(len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b])), 6)
+                want.setdefault((a, (x >= 0.35) + (x >= 0.82)), []).append((-x, b))
+    want = {g: sorted(v)[:3] for g, v in want.items()}
+    def by_range(rows):
+        found = {}
+        for a, b, shared, m, n in rows:
+            x = round(shared / max(m, n), 6)
+            assert a < b and (m, n) == (len(sets[a]), len(sets[b]))
+            found.setdefault((a, (x >= 0.35) + (x >= 0.82)), []).append((-x, b))
+        return {g: sorted(v)[:3] for g, v in found.items()}
+
+    for width, block in ((65_536, 16_384), (50, 20)):
+        assert by_range(overlaps.best_partners(classes, "id", 3, bounds, block=block, width=width).collect()) == want
+    # One cell in small tiles and pieces.
+    monkeypatch.setattr(overlaps, "TILE", 500)
+    monkeypatch.setattr(overlaps, "PIECE", 2_000)
+    held = {}
+    for k, v in sets.items():
+        held.setdefault(frozenset(v), []).append(k)
+    held = [(sorted(ids), [hash(t) for t in sorted(v)]) for v, ids in held.items() if v]
+    table = pa.table({"ids": [x for x, _ in held], "ts": [x for _, x in held]} | {c: [0] * len(held) for c in ("own", "p", "q")})
+    assert by_range(zip(*overlaps.best_of_cell(table, 3, bounds).to_pydict().values(), strict=True)) == want
+
+
 def test_graph_paths_and_cycles(spark):
     n = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "node_id long, title string")
     e = spark.createDataFrame([(0, 1, "no"), (0, 2, "yes"), (1, 3, "yes"), (3, 1, "no"), (3, 4, "yes")], "from_node long, to_node long, condition string")
