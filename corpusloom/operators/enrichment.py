@@ -12,6 +12,7 @@ GRAPH_TYPES = ["start", "end", "action", "decision", "queue_rule", "sla_rule"]
 FLOW_PRIORITY = {"workflow_v3_graph_primary": 4, "workflow_v2_vision_primary": 3, "workflow_legacy": 2, "semantic_workflow_structuring": 0}
 UNREVIEWABLE_FLOW = "semantic_workflow_structuring"
 MIN_NODES, MIN_EDGES = 2, 1
+MATCHES = ["id", "code", "words"]
 STEP_CODE = r"\b(\d+(?:\.\d+)*)[.)]?\s+"
 
 
@@ -22,20 +23,23 @@ def compatible(graph_type: Column, semantic_type: Column) -> Column:
     return (g == "") | (s == "") | (g == s) | ((g == "action") & s.isin(*steps))
 
 
-def enrich_nodes(nodes: DataFrame, semantic: DataFrame, by: str, least: float = 0.72) -> DataFrame:
-    """(by, node_id, matched_by, semantic_id, node_type, content): each node with the longer content and the type of its best semantic node.
+def _best_in_lists(n: DataFrame, s: DataFrame, by: str, least: float) -> DataFrame:
+    """n with its best semantic node's semantic_id, matched_by, semantic_content and semantic_type, all of a graph's semantic nodes being at hand as a list."""
+    lists = s.groupBy(by).agg(F.collect_list(F.struct("semantic_id", "semantic_content", "semantic_type", "s_code", "sw")).alias("all"))
 
-    nodes(by, node_id, node_type, content) unique by node_id, semantic(by, semantic_id, semantic_type, semantic_content), ids as text. Of semantic nodes with the
-    same id the longest counts. A node takes the one with its id; else, of those with its step code, a compatible, then the longest one; else the
-    one whose words it shares most, ``least`` of the smaller set at least; ties go to the smallest id. Which one an earlier node took plays no part. Candidates by words
-    meet on the rarest words of either side, enough of them that no pair above the threshold is missed.
-    """
-    longest = F.struct(F.length("semantic_content"), F.col("semantic_content"), F.col("semantic_type"))
-    s = semantic.where("semantic_id is not null").fillna("", ["semantic_content", "semantic_type"]).groupBy(by, "semantic_id").agg(F.max_by(F.struct("semantic_content", "semantic_type"), longest).alias("x")).select(by, "semantic_id", "x.*")
-    code = lambda c: F.regexp_extract(c, STEP_CODE, 1)
-    words = lambda c: F.array_distinct(T.tokens(F.regexp_replace(c, r"^\d+(\.\d+)*[.)]?\s*", "")))
-    n = nodes.fillna("", ["content", "node_type"]).withColumn("code", code("content")).withColumn("nw", words(F.col("content")))
-    s = s.withColumn("s_code", code("semantic_content")).withColumn("sw", words(F.col("semantic_content")))
+    def match(x):
+        fit = lambda rank, first, second: F.struct(F.lit(rank).alias("rank"), first.cast("double").alias("first"), second.cast("double").alias("second"), x["semantic_id"].alias("semantic_id"), x["semantic_content"].alias("semantic_content"), x["semantic_type"].alias("semantic_type"), F.lit(MATCHES[rank]).alias("matched_by"))
+        score = T.containment(F.col("nw"), x["sw"])
+        coded = (F.col("code") != "") & (F.col("code") == x["s_code"])
+        by_code = fit(1, (~compatible(F.col("node_type"), x["semantic_type"])).cast("int"), -F.length(x["semantic_content"]))
+        return F.when(F.col("node_id") == x["semantic_id"], fit(0, F.lit(0), F.lit(0))).when(coded, by_code).when(score >= least, fit(2, -score, F.lit(0)))
+
+    found = n.join(lists, by, "left").withColumn("m", F.array_min(F.transform("all", match))).drop("all")
+    return found.select(*n.columns, "m.semantic_id", "m.matched_by", "m.semantic_content", "m.semantic_type")
+
+
+def _best_by_joins(n: DataFrame, s: DataFrame, by: str, least: float) -> DataFrame:
+    """The same as ``_best_in_lists`` by joins alone, for graphs of any size."""
     direct = n.join(s, (n[by] == s[by]) & (n["node_id"] == s["semantic_id"])).select(n[by], "node_id", "semantic_id", F.lit("id").alias("matched_by"))
     fit = F.struct(~compatible(F.col("node_type"), F.col("semantic_type")), -F.length("semantic_content"), F.col("semantic_id"))
     coded = n.where("code <> ''").join(s, (n[by] == s[by]) & (n["code"] == s["s_code"])).groupBy(n[by], "node_id").agg(F.min_by("semantic_id", fit).alias("semantic_id")).select(by, "node_id", "semantic_id", F.lit("code").alias("matched_by"))
@@ -51,9 +55,32 @@ def enrich_nodes(nodes: DataFrame, semantic: DataFrame, by: str, least: float =
     pairs = rarest(a, "node_id").join(b, [by, "t"]).unionByName(rarest(b, "semantic_id").join(a, [by, "t"]), allowMissingColumns=True).select(by, "node_id", "semantic_id").distinct()
     met = pairs.join(n.select(by, "node_id", "nw"), [by, "node_id"]).join(s.select(by, "semantic_id", "sw"), [by, "semantic_id"]).withColumn("score", T.containment(F.col("nw"), F.col("sw"))).where(F.col("score") >= least)
     alike = met.groupBy(by, "node_id").agg(F.min_by("semantic_id", F.struct(-F.col("score"), F.col("semantic_id"))).alias("semantic_id")).select(by, "node_id", "semantic_id", F.lit("words").alias("matched_by"))
-    order = F.array_position(F.array(*map(F.lit, ["id", "code", "words"])), F.col("matched_by"))
+    order = F.array_position(F.array(*map(F.lit, MATCHES)), F.col("matched_by"))
     best = direct.unionByName(coded).unionByName(alike).groupBy(by, "node_id").agg(F.min_by(F.struct("semantic_id", "matched_by"), order).alias("m")).select(by, "node_id", "m.*")
-    x = n.join(best, [by, "node_id"], "left").join(s.select(by, "semantic_id", "semantic_content", "semantic_type"), [by, "semantic_id"], "left")
+    return n.join(best, [by, "node_id"], "left").join(s.select(by, "semantic_id", "semantic_content", "semantic_type"), [by, "semantic_id"], "left")
+
+
+def enrich_nodes(nodes: DataFrame, semantic: DataFrame, by: str, least: float = 0.72, small: int = 64) -> DataFrame:
+    """(by, node_id, matched_by, semantic_id, node_type, content): each node with the longer content and the type of its best semantic node.
+
+    nodes(by, node_id, node_type, content) unique by node_id, semantic(by, semantic_id, semantic_type, semantic_content), ids as text. Of semantic nodes with the
+    same id the longest counts. A node takes the one with its id; else, of those with its step code, a compatible, then the longest one; else the
+    one whose words it shares most, ``least`` of the smaller set at least; ties go to the smallest id. Which one an earlier node took plays no part. Candidates by words
+    of a graph with more than ``small`` semantic nodes meet on the rarest words of either side, enough of them that no pair above the threshold is missed. The semantic
+    nodes of other graphs go along as a list, so that each node is compared with them in its row.
+    """
+    longest = F.struct(F.length("semantic_content"), F.col("semantic_content"), F.col("semantic_type"))
+    s = semantic.where("semantic_id is not null").fillna("", ["semantic_content", "semantic_type"]).groupBy(by, "semantic_id").agg(F.max_by(F.struct("semantic_content", "semantic_type"), longest).alias("x")).select(by, "semantic_id", "x.*")
+    code = lambda c: F.regexp_extract(c, STEP_CODE, 1)
+    words = lambda c: F.array_distinct(T.tokens(F.regexp_replace(c, r"^\d+(\.\d+)*[.)]?\s*", "")))
+    n = nodes.fillna("", ["content", "node_type"]).withColumn("code", code("content")).withColumn("nw", words(F.col("content")))
+    s = s.withColumn("s_code", code("semantic_content")).withColumn("sw", words(F.col("semantic_content")))
+    large = semantic.groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > small).select(by)
+    if large.isEmpty():
+        x = _best_in_lists(n, s, by, least)
+    else:
+        few = _best_in_lists(n.join(large, by, "left_anti"), s.join(large, by, "left_anti"), by, least)
+        x = few.unionByName(_best_by_joins(n.join(large, by, "left_semi"), s.join(large, by, "left_semi"), by, least).select(few.columns))
     longer = F.length("semantic_content") > F.length("content")
     kind = F.when(F.col("semantic_type").isin("decision", "start", "end"), F.col("semantic_type")).when(F.col("semantic_type").isin(*GRAPH_TYPES), "action").when(F.coalesce("semantic_type", F.lit("")) != "", "annotation")
     return x.select(by, "node_id", F.coalesce("matched_by", F.lit("")).alias("matched_by"), "semantic_id", F.coalesce(kind, F.nullif("node_type", F.lit("")), F.lit("action")).alias("node_type"), F.when(longer, F.col("semantic_content")).otherwise(F.col("content")).alias("content"))

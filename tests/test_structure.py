@@ -122,3 +122,23 @@ def test_sections_are_normalised_once_for_all_their_hits(spark):
     assert {r.hit_id: (r.strategy, r.start_offset, r.end_offset) for r in out.collect()} == {"1:0": ("exact", 4, 11), "1:1": ("normalized", 4, 11), "1:2": ("paragraph", 13, 30), "1:3": ("unmatched", None, None)}
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "translate(section_text" not in above
+
+
+def test_nodes_are_enriched_alike_in_lists_and_by_joins(spark):
+    rng = random.Random(5)
+    name = lambda: " ".join(rng.choices(["red", "blue", "gear", "bolt", "ring", "rod"], k=rng.randint(0, 4)))
+    kinds = ["decision", "action", "sla_rule", "warning", "", None]
+    nodes = spark.createDataFrame([(g, str(k), rng.choice(kinds), f"{rng.randint(1, 9)}. {name()}") for g in range(6) for k in range(5)] + [(None, "1", "", "x"), (7, "1", "", "alone")], "g int, node_id string, node_type string, content string")
+    found = [(g, rng.choice(["0", "1", "p1", "p2", "p3", None]), rng.choice(kinds), rng.choice([None, f"{rng.randint(1, 9)}) {name()}"])) for g in range(6) for _ in range(3 + 20 * (g == 3))]
+    semantic = spark.createDataFrame(found, "g int, semantic_id string, semantic_type string, semantic_content string")
+    rows = [sorted(map(repr, enrichment.enrich_nodes(nodes, semantic, "g", small=k).collect())) for k in (64, 10, 0)]
+    assert len(rows[0]) == 32 and rows[0] == rows[1] == rows[2]
+    assert {k: sum(f"matched_by='{k}'" in r for r in rows[0]) > 0 for k in ("id", "code", "words", "")} == dict.fromkeys(("id", "code", "words", ""), True)
+
+
+def test_small_graphs_are_enriched_with_few_shuffles(spark):
+    nodes = spark.createDataFrame([(1, "1", "action", "1. red gear")], "g int, node_id string, node_type string, content string")
+    semantic = spark.createDataFrame([(1, "p", "warning", "2) red gear box")], "g int, semantic_id string, semantic_type string, semantic_content string")
+    df = enrichment.enrich_nodes(nodes, semantic, "g")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 4
+    assert [(r.matched_by, r.semantic_id, r.node_type, r.content) for r in df.collect()] == [("words", "p", "annotation", "2) red gear box")]
