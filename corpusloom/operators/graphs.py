@@ -51,12 +51,8 @@ def compile_graph(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ())
     return nodes.select(*by, "node_id", "title").unionByName(bounds), edges.unionByName(more)
 
 
-def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18, by: tuple[str, ...] = ()) -> DataFrame:
-    """Simple paths from roots to terminals, yes before no, at most ``keep`` per root: (by, root, path, conditions, place).
-
-    One join per level; a path ends where its last node has no exit, and never visits a node twice, so there are no more levels than the
-    largest graph has nodes. That one number is all that the driver learns.
-    """
+def _paths_by_joins(nodes: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...]) -> DataFrame:
+    """(by, root, path, conditions) by one join a level, for graphs of any size; there are no more levels than the largest graph has nodes."""
     size = nodes.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     ends = terminals(nodes, edges, by).select(*by, F.col("node_id").alias("to_node"), F.lit(True).alias("last"))
     steps = edges.join(ends, [*by, "to_node"], "left").select(*by, F.col("from_node").alias("at"), "to_node", "condition", F.coalesce("last", F.lit(False)).alias("next_last"))
@@ -67,8 +63,51 @@ def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18, b
         met = front.where(~F.col("last")).join(steps, [*by, "at"]).where(~F.array_contains("path", F.col("to_node")))
         front = met.select(*by, "root", F.array_append("path", F.col("to_node")).alias("path"), F.array_append("conditions", F.col("condition")).alias("conditions"), F.col("to_node").alias("at"), F.col("next_last").alias("last"))
         done = done.unionByName(front.where("last"))
+    return done.select(*by, "root", "path", "conditions")
+
+
+def _paths_in_rows(nodes: DataFrame, edges: DataFrame, depth: int, by: tuple[str, ...]) -> DataFrame:
+    """The same, all nodes and edges of a graph being lists in one row, where the levels are folded."""
+    known = nodes.dropna(subset=[*by, "node_id"]).groupBy(*by).agg(F.collect_list(F.col("node_id").cast("long")).alias("ids"))
+    drawn = edges.dropna(subset=[*by, "from_node", "to_node"]).groupBy(*by).agg(F.collect_list(F.struct("from_node", "to_node", "condition")).alias("drawn"))
+    given = known.join(drawn, [*by], "left").withColumn("drawn", F.coalesce("drawn", F.array().cast(drawn.schema["drawn"].dataType)))
+    away = lambda end: F.filter("ids", lambda k: ~F.exists("drawn", lambda e: e[end] == k))
+    given = given.withColumns({"roots": away("to_node"), "ends": away("from_node")})
+    kind = "array<struct<path: array<bigint>, conditions: array<string>>>"
+    at = lambda p: F.element_at(p["path"], -1)
+    step = lambda p, e: F.struct(F.array_append(p["path"], e["to_node"].cast("long")).alias("path"), F.array_append(p["conditions"], e["condition"]).alias("conditions"))
+    ahead = lambda p: F.transform(F.filter("drawn", lambda e: (e["from_node"] == at(p)) & ~F.array_contains(p["path"], e["to_node"])), lambda e: step(p, e))
+    over = lambda front: F.filter(front, lambda p: F.array_contains("ends", at(p)))
+
+    def level(seen, _):
+        front = F.flatten(F.transform(seen["front"], ahead)).cast(kind)
+        return F.struct(front.alias("front"), F.concat(seen["done"], over(front)).alias("done"))
+
+    first = F.transform("roots", lambda k: F.struct(F.array(k).alias("path"), F.array().cast("array<string>").alias("conditions"))).cast(kind)
+    start = F.struct(first.alias("front"), over(first).alias("done"))
+    levels = F.slice(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), F.least(F.size("ids"), F.lit(depth)) - 1)
+    return given.select(*by, F.explode(F.aggregate(levels, start, level)["done"]).alias("p")).select(*by, F.col("p.path")[0].alias("root"), "p.path", "p.conditions")
+
+
+def paths(nodes: DataFrame, edges: DataFrame, depth: int = 18, keep: int = 18, by: tuple[str, ...] = (), small: tuple[int, int] = (64, 24)) -> DataFrame:
+    """Simple paths from roots to terminals, yes before no, at most ``keep`` per root: (by, root, path, conditions, place).
+
+    A path ends where its last node has no exit, and never visits a node twice. Graphs of at most ``small`` nodes and edges are folded in a row each, the
+    others go by joins; whether there are any is all that the driver learns. Ids are integers.
+    """
+    if by:
+        one = lambda df, n, m: df.select(*by, F.lit(n).alias("__n"), F.lit(m).alias("__m"))
+        counts = one(nodes, 1, 0).unionByName(one(edges, 0, 1)).groupBy(*by).agg(F.sum("__n").alias("__n"), F.sum("__m").alias("__m"))
+        large = counts.where((F.col("__n") > small[0]) | (F.col("__m") > small[1])).select(*by)
+    if not by:
+        done = _paths_by_joins(nodes, edges, depth, by)
+    elif large.isEmpty():
+        done = _paths_in_rows(nodes, edges, depth, by)
+    else:
+        few, rest = ((nodes.join(large, [*by], how), edges.join(large, [*by], how)) for how in ("left_anti", "left_semi"))
+        done = _paths_in_rows(*few, depth, by).unionByName(_paths_by_joins(*rest, depth, by))
     order = F.array_join(F.transform("conditions", lambda c: F.when(c == "yes", "0").otherwise("1")), "")
-    return top_k(done, [*by, "root"], keep, order, F.array_join(F.transform("path", lambda x: x.cast("string")), ","), rank="place").drop("at", "last")
+    return top_k(done, [*by, "root"], keep, order, F.array_join(F.transform("path", lambda x: x.cast("string")), ","), rank="place")
 
 
 def layout_edges(connectors: DataFrame, shapes: DataFrame, page: str) -> DataFrame:

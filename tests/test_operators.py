@@ -159,6 +159,15 @@ def test_graphs_apart(spark):
     assert graphs.paths(n.limit(0), e.limit(0), by=by).count() == 0
 
 
+def test_graph_paths_alike_in_rows_and_by_joins(spark):
+    rng = random.Random(3)
+    n = spark.createDataFrame([(g, k, "") for g in range(20) for k in range(rng.randint(1, 7))] + [(None, 1, ""), (9, None, "")], "g long, node_id long, title string")
+    e = spark.createDataFrame([(g, rng.randint(0, 6), rng.choice([*range(7), None]), rng.choice(["yes", "no"])) for g in range(20) for _ in range(rng.randint(0, 5))], "g long, from_node long, to_node long, condition string")
+    rows = [sorted((r.g, r.root, r.place, r.path, [str(c) for c in r.conditions]) for r in graphs.paths(n, e, by=("g",), small=small).collect()) for small in ((64, 24), (4, 4), (0, 0))]
+    assert len(rows[0]) > 20 and max(len(r[3]) for r in rows[0]) > 2 and rows[0] == rows[1] == rows[2]
+    assert graphs.paths(n.where("g is not null"), e, by=("g",))._jdf.queryExecution().executedPlan().toString().count("Join") <= 2
+
+
 def test_exact_search_asks_from_the_whole_table(spark, tmp_path):
     from corpusloom.plans import registry
 
