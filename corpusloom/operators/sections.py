@@ -41,7 +41,8 @@ def fixed_types(text: Column, section: Column, kind: Column) -> list[tuple[str,
 @dataclass(frozen=True)
 class SectionRules:
     """Patterns over normalised text. types: (text, section titles, kind) to (unit type, condition) in order; groups: what a unit of that type must have to
-    be grouped within its section, or within its list where the block names one; condition: three groups, the condition, a separator and the action."""
+    be grouped within its section, or within its list where the block names one; condition: three groups, the condition, a separator and the action; signs: what all these
+    patterns need of a normalised text, such as the words they look for. Patterns are tried on that alone, and it goes through the shuffle instead of the text."""
 
     risk: tuple[tuple[str, str, str], ...] = RISK_SIGNALS
     not_to_tell: tuple[str, ...] = NOT_TO_TELL
@@ -49,6 +50,7 @@ class SectionRules:
     channels: tuple[tuple[str, str], ...] = CHANNELS
     groups: tuple[tuple[str, str], ...] = (("wording_rule", "xin loi|rat tiec|wording|mau cau"), ("handling_rule", "neu |truong hop|chua |da |already|not yet"), ("compliance_rule", ""))
     condition: str = "(?i)^(neu .*?)(\\s*:\\s*|\\s*=>\\s*|\\s*->\\s*| thi )(.*)$"
+    signs: Callable[[Column], Column] = lambda text: text
     levels: int = 6
 
 
@@ -89,13 +91,13 @@ def sectioned_units(blocks: DataFrame, doc: str, normalize: Callable[[Column], C
     """
     step = lambda k: F.nullif(F.trim(F.regexp_extract("text", rules.condition, k)), F.lit(""))
     # What depends on the text alone is found first, so that only headings' texts go through the windows.
-    plain = blocks.where("trim(text) <> ''").withColumn("plain", normalize(F.col("text")))
+    plain = blocks.where("trim(text) <> ''").withColumn("plain", normalize(F.col("text"))).withColumn("plain", rules.signs(F.col("plain")))
     risk, category = _risk(F.col("plain"), rules)
     grouped = F.array_compact(F.array(*(F.when(F.lit(p == "") | F.col("plain").rlike(p or "^"), F.lit(t)) for t, p in rules.groups)))
     read = plain.withColumns({"risk": risk, "category": category, "said": _channels(F.col("plain"), rules), "groupable": grouped, "condition": step(1), "action": step(3), "title": F.when(F.col("level").isNotNull(), F.col("text"))}).drop("text")
     placed = open_sections(read, doc, "index", "level", "title", rules.levels)
     titles = placed.withColumn("titles", F.transform("path", lambda p: F.trim(p["title"])))
-    named = titles.withColumns({"section": F.array_join("titles", " > "), "above": F.array_join(F.slice("titles", 1, F.greatest(F.size("titles") - 1, F.lit(0))), " > ")}).withColumn("head", normalize(F.col("section")))
+    named = titles.withColumns({"section": F.array_join("titles", " > "), "above": F.array_join(F.slice("titles", 1, F.greatest(F.size("titles") - 1, F.lit(0))), " > ")}).withColumn("head", normalize(F.col("section"))).withColumn("head", rules.signs(F.col("head")))
     kinds = F.coalesce(F.when(F.col("risk") >= LEVELS.index("high"), F.when(F.col("category").isin(*rules.not_to_tell), "compliance_rule").otherwise("warning")), *(F.when(hit, F.lit(t)) for t, hit in rules.types(F.col("plain"), F.col("head"), F.col("kind"))))
     typed = named.withColumn("unit_type", F.when(F.col("level").isNull(), kinds)).withColumn("own", _channels(F.concat_ws(" ", "head", "plain"), rules))
     kept = written(typed.select(doc, "index", "list_group", "section", "above", "risk", "category", "unit_type", "own", "said", "groupable", "condition", "action"), "blocks")

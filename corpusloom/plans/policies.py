@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -19,11 +21,19 @@ RISK = ((WORD.format("stupid|idiot|ist"), "critical", "internal_process_disclosu
 SAID = (("call", WORD.format("are|est")), ("chat", WORD.format("die|was|une")), ("email", WORD.format("que|from|der")))
 GROUPS = (("wording_rule", WORD.format("the|la|die")), ("handling_rule", WORD.format("of|de|und")), ("compliance_rule", ""))
 IF = "(?i)^(in .*?)(\\s*,\\s*)(.*)$"
+# Words of these patterns and of the types: a text's patterns are tried on those of them that it has, after a mark if it opens like an operational note.
+LOOKED_FOR = sorted({w for p in (*(x[0] for x in RISK), *(x[1] for x in SAID), *(x[1] for x in GROUPS), "with con avec the by pour an are die of en de und") for w in re.findall("[a-z]+", p)})
+OPENS = "> "
 
 
 def _types(text, section, kind):
     has = lambda c, words: c.rlike(WORD.format(words))
-    return [("wording_rule", has(text, "with|con|avec") | has(section, "the")), ("example", has(text, "by|pour")), ("operational_note", text.rlike("^(la|it|er|el) ")), ("macro_script", has(text, "an") & (has(text, "are|die") | has(section, "of|en"))), ("handling_rule", (kind == "list_item") | has(text, "of|de|und"))]
+    return [("wording_rule", has(text, "with|con|avec") | has(section, "the")), ("example", has(text, "by|pour")), ("operational_note", text.startswith(OPENS)), ("macro_script", has(text, "an") & (has(text, "are|die") | has(section, "of|en"))), ("handling_rule", (kind == "list_item") | has(text, "of|de|und"))]
+
+
+def _signs(text):
+    words = F.array_intersect(F.split(text, " "), F.array(*map(F.lit, LOOKED_FOR)))
+    return F.concat(F.when(text.rlike("^(la|it|er|el) "), OPENS).otherwise(""), F.array_join(words, " "))
 
 
 def _rlike(x: str, words: str) -> str:
@@ -61,9 +71,9 @@ SELECT e.version_id, unit_id, chunk_type, unit_type, parent_unit_id, section, ar
 
 @query("k6_sectioned_policy_units", using("kb_units", K6_SQL))
 def k6(spark, d):
-    words = F.size(F.split("content", " "))
+    words = F.size(F.split("content", " ", 5))  # more than four are no heading
     blocks = C.units(spark, d).select("version_id", F.col("chunk_index").alias("index"), F.when(words <= 4, words).alias("level"), F.when(F.col("content").startswith("The ") | F.col("content").startswith("A "), "list_item").otherwise("paragraph").alias("kind"), F.when(F.col("content").startswith("A "), "a").alias("list_group"), F.col("content").alias("text"))
-    rules = S.SectionRules(risk=RISK, types=_types, channels=SAID, groups=GROUPS, condition=IF)
+    rules = S.SectionRules(risk=RISK, types=_types, channels=SAID, groups=GROUPS, condition=IF, signs=_signs)
     return S.sectioned_units(blocks, "version_id", T.normalize_match, rules)
 
 

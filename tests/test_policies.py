@@ -67,6 +67,36 @@ def test_units_groups_and_inherited_fields(spark):
     assert df.limit(0).count() == 0
 
 
+def test_rule_words_go_through_the_shuffle_and_texts_do_not(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    rng = random.Random(4)
+    words = "la it The of De und mit avec été pour are die Elle est stupid idiote ist inoran the an en In, from que straße ça".split() + ["la.", "A", "(the", "der-die", "l\u0301a"]
+    lines = lambda: [" ".join(rng.choices(words, k=rng.choice([1, 1, 2, 3, 4, 5, 5, 8, 12]))) for _ in range(60)]
+    texts = ["\n".join([*lines(), "la " + "filler Füller " * 400 + "stupid", "", "  it  ", "it", "it was " + "word " * 900, *lines()]) for _ in range(3)]
+    spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    shuffled, placed = [], sections.open_sections
+    monkeypatch.setattr(sections, "open_sections", lambda df, *a, **k: (shuffled.append(df), placed(df, *a, **k))[1])
+    df = registry.queries()["k6_sectioned_policy_units"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()['k6_sectioned_policy_units']})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert len(want) > 300 and sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r[3] for r in got} >= {"wording_rule", "example", "operational_note", "macro_script", "handling_rule", "warning", "compliance_rule"}
+    assert shuffled[0].agg(F.max(F.length("plain"))).first()[0] < 200
+
+
+def test_normalised_texts_with_and_without_accents(spark):
+    texts = ["", " ", "Plain TEXT, 2 words!", "Été Đường", "e\u0301a \u212aelvin İst ß \uff29\uff34", "A\u0000b\tc\nd", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.trim(F.regexp_replace(F.lower(T.strip_accents(F.col("t"))), "[^a-z0-9]+", " "))
+    rows = df.select(T.normalize_match(F.col("t")).alias("a"), whole.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == ["", "", "plain text 2 words", "ete duong", "ea kelvin ist it", "a b c d", None]
+
+
 def boxes(rng, n, far):
     out = []
     for i in range(n):
