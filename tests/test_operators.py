@@ -5,12 +5,14 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import analytics, chunking, governance, graphs, ordering, overlaps, ranking, relations, retrieval, similarity
+from corpusloom.plans import relations as relation_plans
 
 
 def plain_chunks(sizes, target, overlap):
@@ -139,6 +141,43 @@ def test_best_partners_against_all_pairs(spark, monkeypatch):
     assert by_range(zip(*overlaps.best_of_cell(table, 3, bounds).to_pydict().values(), strict=True)) == want
 
 
+def test_opposed_pairs_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    sets = [(k - 60, k % 3, {"the"} | {f"w{min(int(rng.expovariate(0.2)), 30)}" for _ in range(rng.randint(0, 9))}) for k in range(120)]
+    sets += [(k, 0, {"same", "title", "the", "of"}) for k in range(60, 130)] + [(200, 5, {"the", "of"}), (201, None, {"the"}), (None, 0, {"same", "title", "the", "of"}), (202, 0, set())]
+    docs = spark.createDataFrame([((k, scope), sorted(ts)) for k, scope, ts in sets], "of struct<id: long, scope: long>, ts array<string>")
+    classes = relations.token_classes(docs, "of", "ts").select("class", "ts", "of.*", F.expr("of.id % 2 = 0").alias("even"))
+    want = {(a, b): len(x & y) for a, s, x in sets for b, t, y in sets if None not in (a, b, s, t) and a < b and s == t and a % 2 != b % 2 and len(x & y) >= 3}
+    assert any(b < 0 for _, b in want)
+    monkeypatch.setattr(overlaps, "TILE", 100)
+    monkeypatch.setattr(overlaps, "BATCH", 50)
+    for width, block in ((1024, 16_384), (7, 20)):
+        pairs = overlaps.opposed_pairs(classes, "id", "scope", "even", 3, block=block, width=width)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+        rows = pairs.collect()
+        assert len(rows) == len(want) and {(r.a, r.b): r.shared for r in rows} == want
+
+
+def test_polarity_conflicts_meet_as_classes(spark):
+    """A pair is a row of the result only: scopes aren't joined text by text."""
+    plan = relation_plans.j19(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "array_intersect" not in plan
+
+
+@pytest.mark.parametrize("words", (0, 3, 512))
+def test_shared_counts_by_product_and_by_postings(monkeypatch, words):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(overlaps, "WORDS", words)
+    monkeypatch.setattr(overlaps, "TILE", 200)
+    sides = [[np.unique(np.minimum(rng.exponential(6, rng.integers(0, 12)).astype(np.int64), 40)) for _ in range(n)] for n in (50, 40)]
+    upto = rng.integers(0, 41, 50)
+    want = [(i, j, s) for i, x in enumerate(sides[0]) for j, y in enumerate(sides[1][: upto[i]]) if (s := len(np.intersect1d(x, y))) >= 2]
+    flat = [(np.array([len(x) for x in side]), np.concatenate(side)) for side in sides]
+    got = [z for i, j, s in overlaps.shared_counts(*flat, upto, 2) for z in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)]
+    assert got == want
+
+
 def test_graph_paths_and_cycles(spark):
     n = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "node_id long, title string")
     e = spark.createDataFrame([(0, 1, "no"), (0, 2, "yes"), (1, 3, "yes"), (3, 1, "no"), (3, 4, "yes")], "from_node long, to_node long, condition string")
