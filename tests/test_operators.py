@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -283,6 +284,58 @@ def test_similar_sets_are_all_pairs(spark, block):
     assert similarity.link_counts(docs.limit(0), "doc_id", "text", empty, similarity.similar_sets(none, no_reps)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def near_copies(tmp_path_factory):
+    """Documents in groups of near copies, some with one id for two near texts."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(50)]
+    base = [[rng.choice(words) for _ in range(n)] for n in (1, 6, 15, 30, 40)]
+    texts = [" ".join(w if rng.random() > 0.05 else rng.choice(words) for w in base[k % 5]) for k in range(120)]
+    rows = [(k % 100, t) for k, t in enumerate(texts)] + [(200, "É e one"), (201, "one e"), (202, ""), (None, texts[3]), (204, None)]
+    path = tmp_path_factory.mktemp("near")
+    pq.write_table(pa.table({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]}), path / "documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["j18_similar_class_pairs"])
+@pytest.mark.parametrize("target", [300, 16_000_000])
+def test_similar_documents_by_blocks(spark, near_copies, monkeypatch, name, target):
+    from corpusloom.plans import registry
+
+    def in_blocks(*a):
+        return blocks(*a[:3], target)
+
+    blocks = similarity.size_blocks
+    monkeypatch.setattr(similarity, "size_blocks", in_blocks)
+    out = registry.queries()[name](spark, near_copies)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{near_copies}/documents.parquet' WHERE doc_id IS NOT NULL")
+    want = con.execute(registry.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    shown = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    got = out.select(*names).collect() if name != "j18_similar_documents" else out.select(*names).where("doc_id is not null").collect()
+    assert len(got) > 50 and shown(got) == shown(want.fetchall())
+
+
+def test_similar_class_pairs_go_through_no_shuffle(spark, near_copies):
+    plan = relation_plans.j18_similar_pairs(spark, near_copies)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_size_blocks_meet_all_sizes_that_can_be_linked():
+    rng = np.random.default_rng(2)
+    sizes = np.unique(rng.integers(1, 400, 90))
+    counts = rng.integers(1, 30, len(sizes))
+    counts[20] = 5_000
+    first, parts, low, blocks = similarity.size_blocks(sizes, counts, 82, 20_000)
+    assert parts[20] > 1 and blocks == (first + parts).max() and (low <= first).all()
+    for k, big in enumerate(sizes):
+        for j, small in enumerate(sizes[: k + 1]):
+            assert 100 * small < 82 * big or first[j] >= low[k]
+
+
 def test_lexical_search_lists_every_pair_that_shares_a_term(spark, tmp_path):
     from corpusloom.plans import registry
 
