@@ -299,7 +299,7 @@ def near_copies(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["j18_similar_class_pairs"])
+@pytest.mark.parametrize("name", ["j18_similar_class_pairs", "j18_similar_documents"])
 @pytest.mark.parametrize("target", [300, 16_000_000])
 def test_similar_documents_by_blocks(spark, near_copies, monkeypatch, name, target):
     from corpusloom.plans import registry
