@@ -299,7 +299,7 @@ def near_copies(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["j18_similar_class_pairs", "j18_similar_documents"])
+@pytest.mark.parametrize("name", ["j18_similar_class_pairs", "j18_similar_documents", "k20_duplicate_documents"])
 @pytest.mark.parametrize("target", [300, 16_000_000])
 def test_similar_documents_by_blocks(spark, near_copies, monkeypatch, name, target):
     from corpusloom.plans import registry
@@ -324,6 +324,12 @@ def test_similar_class_pairs_go_through_no_shuffle(spark, near_copies):
     assert "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
+def test_duplicates_leave_a_task_as_the_best_ones(spark, near_copies):
+    _, _, sets, reps = relation_plans._set_classes(spark, near_copies)
+    every, best = similarity.similar_sets(sets, reps).count(), similarity.best_links(sets, reps, 2).count()
+    assert best <= 2 * reps.count() < every
+
+
 def test_size_blocks_meet_all_sizes_that_can_be_linked():
     rng = np.random.default_rng(2)
     sizes = np.unique(rng.integers(1, 400, 90))
