@@ -142,6 +142,21 @@ def test_best_partners_against_all_pairs(spark, monkeypatch):
     assert by_range(zip(*overlaps.best_of_cell(table, 3, bounds).to_pydict().values(), strict=True)) == want
 
 
+def test_blocks_meet_in_a_few_bytes_a_token(spark, monkeypatch):
+    """What is shuffled once a block are numbers of tokens, neither hashes nor names of classes."""
+    met, cells = [], overlaps.cells
+    monkeypatch.setattr(overlaps, "cells", lambda sets, *key, block: met.append((sets, block)) or cells(sets, *key, block=block))
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, sorted({f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(60)})) for k in range(200)], "id long, ts array<string>")
+    classes = relations.token_classes(docs, "id", "ts")
+    assert overlaps.best_partners(classes, "id", 5).count() and relations.class_pairs(classes).count()
+    n = sum(len(r.ts) for r in docs.collect())
+    assert [b >= 65_536 for _, b in met] == [True, True]
+    for sets, _ in met:
+        size = sets.select(F.sum(F.length("near") + 8 * F.size("far"))).first()[0]
+        assert size < 2.5 * n and "class" not in sets.columns  # eight bytes a token before
+
+
 def test_opposed_pairs_against_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     sets = [(k - 60, k % 3, {"the"} | {f"w{min(int(rng.expovariate(0.2)), 30)}" for _ in range(rng.randint(0, 9))}) for k in range(120)]
