@@ -308,7 +308,7 @@ def near_copies(tmp_path_factory):
     words = [f"w{k}" for k in range(50)]
     base = [[rng.choice(words) for _ in range(n)] for n in (1, 6, 15, 30, 40)]
     texts = [" ".join(w if rng.random() > 0.05 else rng.choice(words) for w in base[k % 5]) for k in range(120)]
-    rows = [(k % 100, t) for k, t in enumerate(texts)] + [(200, "É e one"), (201, "one e"), (202, ""), (None, texts[3]), (204, None)]
+    rows = [(k % 100, t) for k, t in enumerate(texts)] + [(200, "É e one"), (201, "one e"), (202, ""), (None, texts[3]), (204, None), (205, " ?! "), (206, "é"), (207, "日本"), (208, "\u0301")]
     path = tmp_path_factory.mktemp("near")
     pq.write_table(pa.table({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]}), path / "documents.parquet")
     return str(path)
